@@ -100,16 +100,21 @@ def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str =
         + [T.StructField(c, T.DoubleType()) for c in ("dropped_from", "dropped_to", "rose_to", "rise")])
     rise_above, min_rise, reach = th.rise_above, th.min_rise, th.followup_seconds * 1_000_000
 
+    group = ["_block", *names]
+    mark = F.xxhash64(*group, *[F.col(k).isNull() for k in names])
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", "_tie"], kind="stable")
         at, b_now = pdf["_at"].to_numpy(), pdf["_b"].to_numpy(dtype=float)
+        mine = pdf["_group"].to_numpy()
+        fresh = np.cumsum(np.r_[True, mine[1:] != mine[:-1]])
         level = np.where(b_now > rise_above, b_now, -np.inf)
         i = np.flatnonzero((pdf["_drop"] & pdf["_own"]).to_numpy())
         base = b_now[i]
         # Without a level at the drop the rise counts as 0.
         need = np.where(np.isnan(base), np.finfo(float).min if min_rise <= 0 else np.inf, least_level(base, min_rise))
         j = first_rises(level, i + 1, need)
-        ok = (j >= 0) & (at[j] - at[i] <= reach)
+        # A first hit in a later group means that the drop's own group has none.
+        ok = (j >= 0) & (fresh[j] == fresh[i]) & (at[j] - at[i] <= reach)
         i, j, base = i[ok], j[ok], base[ok]
         rise = np.where(np.isnan(base), 0.0, b_now[j] - base)
         out = {k: pdf[k].to_numpy()[i] for k in names}
@@ -118,7 +123,27 @@ def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str =
                 "rose_to": b_now[j], "rise": rise}
         return pd.DataFrame(out)
 
-    found = blocks.groupBy("_block", *names).applyInPandas(search, schema)
+    def search_all(batches):
+        """Whole groups at a time: the unfinished last group of a batch waits for the next."""
+        held = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mine = pdf["_group"].to_numpy()
+            breaks = np.flatnonzero(mine[1:] != mine[:-1]) + 1
+            if held and held[-1]["_group"].iloc[-1] != mine[0]:
+                yield search(pd.concat(held, ignore_index=True))
+                held = []
+            if len(breaks):
+                yield search(pd.concat([*held, pdf.iloc[:breaks[-1]]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[breaks[-1]:] if len(breaks) else pdf)
+        if held:
+            yield search(pd.concat(held, ignore_index=True))
+
+    placed = (blocks.repartition(*group).sortWithinPartitions(*group, "_at", "_tie")
+              .withColumn("_group", mark).drop("_block"))
+    found = placed.mapInPandas(search_all, schema)
     kind = fields[ts]
     return found.withColumn("drop_ts", F.timestamp_micros("drop_us").cast(kind)).withColumn(
         "ts", F.timestamp_micros("rise_us").cast(kind)).drop("drop_us", "rise_us")

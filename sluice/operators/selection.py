@@ -23,6 +23,13 @@ from sluice.sources.readers import sample_n
 VARIANCE, NULLS, CORRELATION = 1e-6, 0.5, 0.98
 LABELS = (S.TIME_COLUMN, S.LABEL_COLUMN, "Normal/Attack")
 ONE_PASS_COLUMNS = 16
+TREE_MEMORY_MB = 1024
+
+
+def at_full_width(df: DataFrame) -> DataFrame:
+    """Spread a frame of few partitions over all cores before repeated passes over it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = LABELS) -> list[str]:
@@ -150,8 +157,9 @@ def forest_importance(df: DataFrame, columns: Sequence[str], label: str = "label
     """(feature, importance) of a distributed random forest."""
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
                        F.col(label).cast("double").alias("_y"))
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(filled).select("_x", "_y")
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(at_full_width(filled)).select("_x", "_y")
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
+                                   maxMemoryInMB=TREE_MEMORY_MB).fit(rows)
     scores = model.featureImportances.toArray()
     return _per_feature(df.sparkSession, [(c, float(s)) for c, s in zip(columns, scores)], "feature string, importance double")
 
