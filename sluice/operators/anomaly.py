@@ -210,9 +210,12 @@ class ParameterStore:
                 if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return max((int(d.split("=")[1]) for d in done if d.startswith("version=")), default=None)
 
+    def version(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/version={number:08d}")
+
     def latest(self) -> DataFrame | None:
-        version = self.latest_version()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/version={version:08d}")
+        number = self.latest_version()
+        return None if number is None else self.version(number)
 
 
 def clean_rows(df: DataFrame, columns: Sequence[str], text: Sequence[str], moments=None) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from sluice.plans.registry import ORACLES, QUERIES, SURVEY_IDS
 
-_MODULES = ["ingest", "dashboards", "rolling", "mining", "scoring"]
+_MODULES = ["ingest", "dashboards", "rolling", "mining", "scoring", "live"]
 
 
 def _load() -> None:
