@@ -32,12 +32,13 @@ def trim_text(df: DataFrame, columns: Sequence[str] = (S.TIME_COLUMN, S.LABEL_CO
 
 
 def parse_timestamp(text: Column, fallback: Column | None = None) -> Column:
-    """First format that fits; unreadable text gives ``fallback`` (null by default)."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in S.TIME_FORMATS]
-    tries.append(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp")))
-    if fallback is not None:
-        tries.append(fallback)
-    return F.coalesce(*tries)
+    """Time from text in any accepted format; unreadable text gives ``fallback`` (null by
+    default). The shape picks the format, so no row pays for formats that cannot fit."""
+    parsed = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, fmt in S.TIME_FORMATS.items():
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
+    parsed = parsed.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    return parsed if fallback is None else F.coalesce(parsed, fallback)
 
 
 def numeric_frame(df: DataFrame) -> DataFrame:

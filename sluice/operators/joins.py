@@ -63,8 +63,10 @@ def offset_align(df: DataFrame, every: str, value: str = "value", stage: str = "
     """Stages shifted by their lag in minutes and lined up on one time axis: latest value
     per stage and window. The shift is a literal per stage, so no join is needed."""
     offsets = S.STAGE_OFFSETS if offsets is None else offsets
-    lag = F.coalesce(*[F.when(F.col(stage) == s, F.lit(m)) for s, m in offsets.items()], F.lit(0))
-    shifted = df.withColumn("_at", F.col(ts) + F.make_dt_interval(mins=lag))
+    lagged = F.when(F.lit(False), F.col(ts))
+    for name, minutes in offsets.items():
+        lagged = lagged.when(F.col(stage) == name, F.col(ts) + F.expr(f"INTERVAL '{minutes}' MINUTE"))
+    shifted = df.withColumn("_at", lagged.otherwise(F.col(ts)))
     keyed = shifted.groupBy(F.window("_at", every).alias("w"))
     latest = [F.max_by(F.when(F.col(stage) == s, F.col(value)), F.when(F.col(stage) == s, F.col(ts))).alias(s)
               for s in offsets]

@@ -17,7 +17,7 @@ from sluice.operators import windows as W
 from sluice.plans.ingest import TAG_SQL, TEXT_CLEAN, tag_of, text_rows
 from sluice.plans.registry import POINTS, WIDE, WIDE_FEATURES, WIDE_ORDER, points, query, rounded, wide
 from sluice.plans.rolling import HOURLY, actual_and_forecast
-from sluice.session import scratch_path
+from sluice.session import cut_lineage, scratch_path
 from sluice.sources.sinks import score_messages
 
 ENTITY = ["entity"]
@@ -46,8 +46,11 @@ def energy(spark, sf_dir, k=0):
     return A.reconstruction_score(rows, model, ENTITY, WIDE_ORDER)
 
 
-def yearly(scores):
-    return scores.withColumn("grp", F.date_trunc("year", "ts").cast("timestamp_ntz"))
+def thresholded(spark, sf_dir):
+    """Scores are stored once, then read for the thresholds and for the flags."""
+    stored = cut_lineage(energy(spark, sf_dir).select(*IDS, "label", "anomaly_score"))
+    yearly = stored.withColumn("grp", F.date_trunc("year", "ts").cast("timestamp_ntz"))
+    return A.percentile_threshold(yearly, ["grp"])
 
 
 @query("I1", "reconstruction_score")
@@ -68,7 +71,7 @@ fl AS (SELECT score.*, threshold, CASE WHEN anomaly_score > threshold THEN 1 ELS
 @query("I3", "percentile_threshold", sql=f"""
 WITH {THRESHOLD} SELECT {IDS_SQL}, grp, round(anomaly_score, 6) AS anomaly_score, round(threshold, 6) AS threshold, is_anomaly FROM fl""")
 def percentile_threshold(spark, sf_dir):
-    flagged = A.percentile_threshold(yearly(energy(spark, sf_dir)), ["grp"])
+    flagged = thresholded(spark, sf_dir)
     return rounded(flagged.select(*IDS, "grp", "anomaly_score", "threshold", "is_anomaly"))
 
 
@@ -78,12 +81,12 @@ WITH {THRESHOLD}, l AS (SELECT grp, arg_max(anomaly_score, (ts, orderkey, linenu
 SELECT grp, round(last_score, 6) AS last_score, round(threshold, 6) AS threshold, any_anomaly, anomalies, scores,
   round(least(greatest(CASE WHEN threshold > 0 THEN last_score / threshold ELSE last_score END, 0), 1), 6) AS normalised_score FROM l""")
 def score_batch_summary(spark, sf_dir):
-    flagged = A.percentile_threshold(yearly(energy(spark, sf_dir)), ["grp"])
+    flagged = thresholded(spark, sf_dir)
     return rounded(A.score_batch_summary(flagged, ["grp"], [*WIDE_ORDER, "entity"]))
 
 
 def judged(spark, sf_dir):
-    flagged = A.percentile_threshold(yearly(energy(spark, sf_dir)), ["grp"])
+    flagged = thresholded(spark, sf_dir)
     return flagged.select((F.col("label") == S.ATTACK).cast("int").alias("truth"), "is_anomaly")
 
 

@@ -22,14 +22,15 @@ NORMAL = "Normal"
 NORMAL_LABELS = ["normal", "0", ""]
 FORECAST_TAGS = ["AIT201", "FIT301", "LIT101"]
 
-# Accepted time formats, tried in this order; ISO text is tried last.
-TIME_FORMATS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy/M/d H:m:s",
-    "d/M/yyyy H:m:s",
-    "d/M/yyyy h:m:s a",
-]
+# Accepted time formats with the shape of text each one reads. ISO text of
+# any other shape is tried last.
+TIME_FORMATS = {
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$": "yyyy-M-d H:m:s",
+    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$": "yyyy-M-d'T'H:m:s",
+    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$": "yyyy/M/d H:m:s",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$": "d/M/yyyy H:m:s",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2} [AaPp][Mm]$": "d/M/yyyy h:m:s a",
+}
 
 # Rule limits and tag groups of the live metrics.
 LEVEL_TAGS = ["LIT101", "LIT401", "LIT301"]
