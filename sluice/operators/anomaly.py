@@ -14,7 +14,8 @@ from sluice import schema as S
 from sluice.functions.clean import clean_numeric, fit_moments, standard_scale, trim_text, zscore_normalise
 from sluice.operators import tsquery as Q
 from sluice.operators import windows as W
-from sluice.operators.series import SERIES_ROWS, group_quantiles, small_side
+from sluice.operators.series import QUANTILE_ROWS, group_quantiles, join_on, small_side
+from sluice.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -68,12 +69,12 @@ def reconstruction_score(df: DataFrame, model: Reconstruction, keys: Sequence[st
 
 
 def percentile_threshold(scores: DataFrame, group: Sequence[str], q: float = S.SCORE_PERCENTILE,
-                         score: str = "anomaly_score", max_rows: int = SERIES_ROWS) -> DataFrame:
+                         score: str = "anomaly_score", max_rows: int = QUANTILE_ROWS) -> DataFrame:
     """Scores with their group's quantile threshold; a score is anomalous only above it."""
     limits = group_quantiles(scores, group, score, [q], max_rows)
-    limits = limits.select(*group, F.col("quantiles")[0].alias("threshold"))
+    limits = cut_lineage(limits.select(*group, F.col("quantiles")[0].alias("threshold")))
     if group:
-        flagged = scores.join(small_side(limits), list(group))
+        flagged = join_on(scores, small_side(limits), group)
     else:
         flagged = scores.withColumn("threshold", F.lit(limits.first()["threshold"]))
     return flagged.withColumn("is_anomaly", (F.col(score) > F.col("threshold")).cast("int"))
@@ -121,7 +122,7 @@ def _distance(columns: Sequence[str], moments) -> Column:
 
 
 def oneclass_boundary(df: DataFrame, normal: DataFrame, columns: Sequence[str], nu: float = 0.01,
-                      max_rows: int = SERIES_ROWS) -> DataFrame:
+                      max_rows: int = QUANTILE_ROWS) -> DataFrame:
     """+1 inside and -1 outside the boundary holding all but a share ``nu`` of the normal
     rows, by scaled squared distance from their centre."""
     moments = fit_moments(normal, columns)
@@ -136,7 +137,7 @@ NUS = [0.001, 0.005, 0.01, 0.02]
 
 
 def grid_search_f1(df: DataFrame, normal: DataFrame, columns: Sequence[str], label: str, nus: Sequence[float] = tuple(NUS),
-                   max_rows: int = SERIES_ROWS) -> DataFrame:
+                   max_rows: int = QUANTILE_ROWS) -> DataFrame:
     """(nu, boundary, f1 of the anomaly class, best): all boundaries are counted in one
     aggregate; the first best share wins."""
     moments = fit_moments(normal, columns)
@@ -179,7 +180,7 @@ def merge_moments(states: DataFrame) -> DataFrame:
     """One state per feature from any number of partial states."""
     n, mean = F.col("n"), F.col("mean")
     centred = states.groupBy("feature").agg(F.sum("n").alias("_n"), (F.sum(n * mean) / F.sum("n")).alias("_mean"))
-    joined = states.join(small_side(centred), "feature")
+    joined = states.join(centred, "feature")
     return joined.groupBy("feature").agg(
         F.max("_n").alias("n"), F.max("_mean").alias("mean"),
         F.sum(F.col("m2") + n * F.pow(mean - F.col("_mean"), 2)).alias("m2"))

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from sluice import schema as S
 from sluice.functions.clean import is_normal
 from sluice.operators import tsquery as Q
-from sluice.operators.series import SERIES_ROWS, carry_last, group_quantiles, largest_series, over_series, time_blocks
+from sluice.operators.series import (
+    QUANTILE_ROWS, carry_last, group_quantiles, join_on, largest_series, over_series, time_blocks)
 from sluice.session import cut_lineage
 
 FOLD_ROWS = 2_000
@@ -217,16 +218,16 @@ def _follow_pointers(matches, keys, seconds, followup_seconds, start, end, tie,
                          .filter("_head").select(*keys, F.col(tie).alias("_from")))
     n = marked.count()
     while True:
-        reached = marked.join(jump, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))
+        reached = join_on(marked, jump, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))
         marked = cut_lineage(marked.unionByName(reached).distinct())
         grown = marked.count()
         if grown == n:
             break
         n = grown
         onward = jump.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
-        jump = cut_lineage(jump.join(onward, [*keys, "_to"]).select(*keys, "_from", F.col("_far").alias("_to")))
+        jump = cut_lineage(join_on(jump, onward, [*keys, "_to"]).select(*keys, "_from", F.col("_far").alias("_to")))
     kept = marked.withColumnRenamed("_from", tie)
-    return nodes.join(kept, [*keys, tie]).select(*matches.columns)
+    return join_on(nodes, kept, [*keys, tie]).select(*matches.columns)
 
 
 def detect(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str = "ts", tie: str = "event_id",
@@ -239,7 +240,7 @@ def detect(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str = "ts", t
 def tune_thresholds(df: DataFrame, a: str, b: str, label: str | None = None, low_q: float = 0.05, high_q: float = 0.95,
                     drop_share: float = 0.10, rise_share: float = 0.10, a_range=(1.0, 5.0), b_range=(400.0, 600.0),
                     least_drop: float = 0.05, least_rise: float = 0.5, defaults: Thresholds = Thresholds(),
-                    max_rows: int = SERIES_ROWS) -> Thresholds:
+                    max_rows: int = QUANTILE_ROWS) -> Thresholds:
     """Thresholds from normal rows: a low quantile of ``a``, a high one of ``b`` and shares
     of their ranges; values outside the guard rails fall back to the defaults."""
     rows = df if label is None else df.filter(is_normal(F.col(label)))

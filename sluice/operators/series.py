@@ -19,6 +19,7 @@ from sluice.session import cut_lineage
 
 SERIES_ROWS = 4_000_000
 BLOCK_ROWS = 500_000
+QUANTILE_ROWS = 500_000
 BROADCAST_ROWS = 200_000
 
 
@@ -35,6 +36,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` in which a null key meets a null key, as in grouping."""
+    l, r = left.alias("l"), right.alias("r")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return l.join(r, same, how).select("l.*", *extra)
+
+
 def _in_order(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
 
@@ -103,7 +114,7 @@ def series_position(
         return indexed.withColumn(out, F.col("_idx") + 1).drop("_idx")
     firsts = indexed.groupBy(*keys).agg(F.min("_idx").alias("_first"))
     return (
-        indexed.join(small_side(firsts), list(keys))
+        join_on(indexed, small_side(firsts), keys)
         .withColumn(out, F.col("_idx") - F.col("_first") + 1)
         .drop("_idx", "_first")
     )
@@ -168,11 +179,7 @@ def carry_last(
     blocks_before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select("_block", *keys, F.last("_tail", ignorenulls=True).over(blocks_before).alias("_carry"))
     inside = Window.partitionBy("_block", *keys).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    left, right = indexed.alias("l"), small_side(carried).alias("r")
-    same = F.col("l._block") == F.col("r._block")
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.join(right, same, "left").select("l.*", "r._carry")
+    joined = join_on(indexed, small_side(carried), ["_block", *keys], "left")
     return joined.withColumn(
         out, F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_carry"))
     ).drop("_idx", "_block", "_carry")
@@ -183,7 +190,7 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     quantiles: Sequence[float],
-    max_rows: int = SERIES_ROWS,
+    max_rows: int = QUANTILE_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``keys`` + ``quantiles array<double>``.
 
@@ -200,7 +207,7 @@ def group_quantiles(
     groups = ranked.groupBy(*keys).agg(F.min("_start").alias("_base"), F.sum("_c").alias("_n"))
     asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)])
     if keys:
-        placed = ranked.join(small_side(groups), list(keys))
+        placed = join_on(ranked, small_side(cut_lineage(groups)), keys)
     else:
         base = groups.first()
         placed = ranked.withColumn("_base", F.lit(base["_base"])).withColumn("_n", F.lit(base["_n"]))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.clean import stage_of
-from sluice.operators.series import SERIES_ROWS, group_quantiles, small_side
+from sluice.operators.series import QUANTILE_ROWS, group_quantiles
 
 
 def latest_time(df: DataFrame, ts: str = "ts") -> datetime:
@@ -80,7 +80,7 @@ def tumble_last(df, every, by=("field",), value="value", ts="ts", tie=None):
 
 
 def tumble_median(df: DataFrame, every: str, by: Sequence[str] = ("field",), value: str = "value", ts: str = "ts",
-                  approximate: bool = False, max_rows: int = SERIES_ROWS) -> DataFrame:
+                  approximate: bool = False, max_rows: int = QUANTILE_ROWS) -> DataFrame:
     """Exact by default, whatever the window holds; ``approximate`` uses a fixed-size sketch."""
     if approximate:
         return tumble(df, every, by, F.percentile_approx(value, 0.5, 10_000).alias("value"), ts=ts)
@@ -224,5 +224,6 @@ def tail_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
 
 
 def join_exact(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner equi join on time (and field); a small right side is broadcast after a count."""
-    return left.join(small_side(right), list(on))
+    """Inner equi join on time (and field). Adaptive execution broadcasts the right side
+    when its measured size is small and splits skewed partitions otherwise."""
+    return left.join(right, list(on))

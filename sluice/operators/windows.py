@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import schema as S
-from sluice.operators.series import SERIES_ROWS, largest_series, over_series, series_position, small_side, time_blocks
+from sluice.operators.series import (
+    SERIES_ROWS, join_on, largest_series, over_series, series_position, small_side, time_blocks)
 
 EPSILON = 1e-8
 
@@ -116,7 +117,7 @@ def time_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], train:
         placed = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     elif keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        placed = placed.join(small_side(sizes), list(keys))
+        placed = join_on(placed, small_side(sizes), keys)
     else:
         placed = placed.withColumn("_n", F.lit(df.count()))
     held = F.ceil(F.col("_n") * F.lit(1 - train).cast("decimal(6,4)"))

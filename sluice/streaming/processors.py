@@ -44,11 +44,12 @@ def settle(batch: DataFrame, batch_id: int, carry: Carry, ts: str, delay_seconds
     late rows."""
     clock = carry.read("clock", batch_id, CLOCK).first()
     since = clock["horizon"] if clock else None
+    batch = cut_lineage(batch)  # the source is read once
     seen = batch.agg(F.max(micros(ts)).alias("m"), F.count_if(micros(ts) <= F.lit(since)).alias("late")).first()
     upto = since if seen["m"] is None else max(seen["m"] - delay_seconds * 1_000_000, since or 0)
     late = (clock["late"] if clock else 0) + (seen["late"] or 0)
     fresh = batch if since is None else batch.filter(micros(ts) > since)
-    rows = cut_lineage(carry.read("rows", batch_id, batch.schema).unionByName(fresh))
+    rows = carry.read("rows", batch_id, batch.schema).unionByName(fresh)
     carry.write("clock", batch_id, carry.spark.createDataFrame([(upto, late)], CLOCK))
     return Settled(rows, since, upto)
 

@@ -139,3 +139,16 @@ def test_moving_aggregate_equals_one_window(skewed):
         inside = [s["value"] for s in rows if s["entity"] == r["entity"] and r["t"] - 30 <= s["t"] <= r["t"]
                   and s["value"] is not None]
         assert got[r["id"]] == (pytest.approx(sum(inside) / len(inside)) if inside else None)
+
+
+def test_a_null_key_is_a_series_too(spark):
+    rows = [(None if i % 3 else 1, i, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "entity int, t int, value double")
+    for fn in (lambda **kw: R.series_position(df, ["entity"], ["t"], **kw).select("t", "position"),
+               lambda **kw: R.carry_last(df, ["entity"], ["t"], "value", "m", **kw).select("t", "m"),
+               lambda **kw: W.time_split(df, ["entity"], ["t"], **kw).select("t", "part"),
+               lambda **kw: W.last_step(df, ["entity"], ["t"], 7, **kw).select("t"),
+               lambda **kw: R.group_quantiles(df, ["entity"], "value", [0.3], **kw).select("entity", "quantiles")):
+        plain = sorted(map(str, fn().collect()))
+        split = sorted(map(str, fn(max_rows=5).collect()))
+        assert plain == split and plain
