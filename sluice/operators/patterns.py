@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,8 @@ from sluice import schema as S
 from sluice.functions.clean import is_normal
 from sluice.operators import tsquery as Q
 from sluice.operators.series import (
-    QUANTILE_ROWS, carry_last, group_quantiles, join_on, largest_series, over_series, time_blocks)
+    BLOCK_ROWS, QUANTILE_ROWS, SERIES_ROWS, carry_last, group_quantiles, join_on, largest_series, over_series,
+    running_total, time_blocks)
 from sluice.session import cut_lineage
 
 FOLD_ROWS = 2_000
@@ -68,63 +69,40 @@ def least_level(base: np.ndarray, rise: float) -> np.ndarray:
     return need
 
 
-def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str = "ts", tie: str = "event_id",
-                   th: Thresholds = Thresholds(), block_seconds: int | None = None, **sizing) -> DataFrame:
-    """Each qualifying drop of ``a`` with the first qualifying rise of ``b`` after it.
+class _Search:
+    """Finds, for the drops of sorted whole groups, their first qualifying rise.
 
-    Drops are found with one lag. Drops and high levels alone go on, cut into stretches of
-    time that carry the follow-up window along, and each stretch is searched without
-    forming pairs.
+    A group is a run of rows with one ``_group``. Visiting drops (from an earlier block)
+    stand in front of the rows they are tried on.
     """
-    order = [ts, tie]
 
-    def drops(frame, w):
-        before = F.lag(a).over(w)
-        fires = (before - F.col(a) >= th.min_drop) & (F.col(a) < th.drop_below)
-        return frame.withColumn("_before", before).withColumn("_drop", F.coalesce(fires, F.lit(False)))
+    def __init__(self, names: Sequence[str], th: Thresholds):
+        self.names, self.above, self.rise = list(names), th.rise_above, th.min_rise
+        self.reach = th.followup_seconds * 1_000_000
 
-    number = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in (a, b)}
-    rows = df.select(*keys, *order, *number.values())
-    marked = over_series(rows, keys, order, drops, before=1, **sizing)
-    high = F.coalesce(F.col(b) > th.rise_above, F.lit(False))
-    slim = marked.filter(F.col("_drop") | high).select(
-        *keys, ts, F.col(tie).alias("_tie"), _micros(ts).alias("_at"), F.col(a).alias("_now"), "_before",
-        F.col(b).alias("_b"), "_drop")
-    width = block_seconds or max(3600, 4 * th.followup_seconds)
-    blocks = time_blocks(slim, ts, width, ahead_seconds=th.followup_seconds)
-    names = list(keys)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, fields[k]) for k in names]
-        + [T.StructField("drop_id", fields[tie]), T.StructField("drop_us", T.LongType()),
-           T.StructField("rise_us", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("dropped_from", "dropped_to", "rose_to", "rise")])
-    rise_above, min_rise, reach = th.rise_above, th.min_rise, th.followup_seconds * 1_000_000
-
-    group = ["_block", *names]
-    mark = F.xxhash64(*group, *[F.col(k).isNull() for k in names])
+    def need(self, base: np.ndarray) -> np.ndarray:
+        # Without a level at the drop the rise counts as 0.
+        blank = np.finfo(float).min if self.rise <= 0 else np.inf
+        return np.where(np.isnan(base), blank, least_level(base, self.rise))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def groups(self, pdf: pd.DataFrame) -> pd.DataFrame:
         at, b_now = pdf["_at"].to_numpy(), pdf["_b"].to_numpy(dtype=float)
         mine = pdf["_group"].to_numpy()
         fresh = np.cumsum(np.r_[True, mine[1:] != mine[:-1]])
-        level = np.where(b_now > rise_above, b_now, -np.inf)
-        i = np.flatnonzero((pdf["_drop"] & pdf["_own"]).to_numpy())
-        base = b_now[i]
-        # Without a level at the drop the rise counts as 0.
-        need = np.where(np.isnan(base), np.finfo(float).min if min_rise <= 0 else np.inf, least_level(base, min_rise))
-        j = first_rises(level, i + 1, need)
+        level = np.where((b_now > self.above) & ~pdf["_visit"].to_numpy(dtype=bool), b_now, -np.inf)
+        i = np.flatnonzero((pdf["_drop"] & pdf["_own"]).to_numpy(dtype=bool))
+        j = first_rises(level, i + 1, self.need(b_now[i]))
         # A first hit in a later group means that the drop's own group has none.
-        ok = (j >= 0) & (fresh[j] == fresh[i]) & (at[j] - at[i] <= reach)
-        i, j, base = i[ok], j[ok], base[ok]
-        rise = np.where(np.isnan(base), 0.0, b_now[j] - base)
-        out = {k: pdf[k].to_numpy()[i] for k in names}
-        out |= {"drop_id": pdf["_tie"].to_numpy()[i], "drop_us": at[i], "rise_us": at[j],
-                "dropped_from": pdf["_before"].to_numpy()[i], "dropped_to": pdf["_now"].to_numpy()[i],
-                "rose_to": b_now[j], "rise": rise}
+        here = (j >= 0) & (fresh[j] == fresh[i])
+        ok = here & (at[j] - at[i] <= self.reach)
+        base, top = b_now[i], np.where(ok, b_now[j], np.nan)
+        out = {k: pdf[k].to_numpy()[i] for k in [*self.names, "_block", "_series"]}
+        out |= {"drop_id": pdf["_tie"].to_numpy()[i], "drop_us": at[i], "rise_us": np.where(ok, at[j], 0), "_base": base,
+                "dropped_from": pdf["_before"].to_numpy()[i], "dropped_to": pdf["_now"].to_numpy()[i], "rose_to": top,
+                "rise": np.where(np.isnan(base), 0.0, top - base), "_hit": ok, "_open": ~here}
         return pd.DataFrame(out)
 
-    def search_all(batches):
+    def batches(self, batches):
         """Whole groups at a time: the unfinished last group of a batch waits for the next."""
         held = []
         for pdf in batches:
@@ -133,21 +111,106 @@ def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str =
             mine = pdf["_group"].to_numpy()
             breaks = np.flatnonzero(mine[1:] != mine[:-1]) + 1
             if held and held[-1]["_group"].iloc[-1] != mine[0]:
-                yield search(pd.concat(held, ignore_index=True))
+                yield self.groups(pd.concat(held, ignore_index=True))
                 held = []
             if len(breaks):
-                yield search(pd.concat([*held, pdf.iloc[:breaks[-1]]], ignore_index=True))
+                yield self.groups(pd.concat([*held, pdf.iloc[:breaks[-1]]], ignore_index=True))
                 held = []
             held.append(pdf.iloc[breaks[-1]:] if len(breaks) else pdf)
         if held:
-            yield search(pd.concat(held, ignore_index=True))
+            yield self.groups(pd.concat(held, ignore_index=True))
+
+    def over(self, rows: DataFrame, order: Sequence[str], schema: T.StructType) -> DataFrame:
+        group = F.xxhash64("_block", "_series")
+        placed = rows.repartition("_block", "_series").sortWithinPartitions("_block", "_series", *order)
+        columns = [*self.names, "_block", "_series", "_tie", "_at", "_now", "_before", "_b", "_drop", "_own", "_visit"]
+        return placed.select(*columns, group.alias("_group")).mapInPandas(self.batches, schema)
+
+
+def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str = "ts", tie: str = "event_id",
+                   th: Thresholds = Thresholds(), block_seconds: int | None = None, max_rows: int = SERIES_ROWS,
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each qualifying drop of ``a`` with the first qualifying rise of ``b`` after it.
+
+    Drops are found with one lag. Drops and high levels alone go on, cut into stretches of
+    time that carry the follow-up window along, and each stretch is searched without
+    forming pairs. Should one stretch of one series be crowded, blocks of equal row count
+    are searched instead.
+    """
+    order, names = [ts, tie], list(keys)
+
+    def drops(frame, w):
+        before = F.lag(a).over(w)
+        fires = (before - F.col(a) >= th.min_drop) & (F.col(a) < th.drop_below)
+        return frame.withColumn("_before", before).withColumn("_drop", F.coalesce(fires, F.lit(False)))
 
-    placed = (blocks.repartition(*group).sortWithinPartitions(*group, "_at", "_tie")
-              .withColumn("_group", mark).drop("_block"))
-    found = placed.mapInPandas(search_all, schema)
+    number = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in (a, b)}
+    rows = df.select(*names, *order, *number.values())
+    marked = over_series(rows, keys, order, drops, before=1, max_rows=max_rows, block_rows=block_rows)
+    high = F.coalesce(F.col(b) > th.rise_above, F.lit(False))
+    series = F.xxhash64(*names, *[F.col(k).isNull() for k in names]) if names else F.lit(0).cast("bigint")
+    slim = marked.filter(F.col("_drop") | high).select(
+        *names, ts, F.col(tie).alias("_tie"), _micros(ts).alias("_at"), F.col(a).alias("_now"), "_before",
+        F.col(b).alias("_b"), "_drop", series.alias("_series"), F.lit(False).alias("_visit"))
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType(
+        [T.StructField(k, fields[k]) for k in names]
+        + [T.StructField(c, T.LongType()) for c in ("_block", "_series")]
+        + [T.StructField("drop_id", fields[tie]), T.StructField("drop_us", T.LongType()), T.StructField("rise_us", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("_base", "dropped_from", "dropped_to", "rose_to", "rise")]
+        + [T.StructField(c, T.BooleanType()) for c in ("_hit", "_open")])
+    search = _Search(names, th)
+    width = block_seconds or max(3600, 4 * th.followup_seconds)
+    blocks = time_blocks(slim, ts, width, ahead_seconds=th.followup_seconds)
+    if largest_series(blocks, ["_block", "_series"]) <= max_rows:
+        found = search.over(blocks, ["_at", "_tie"], schema).filter("_hit")
+    else:
+        found = _in_row_blocks(slim.drop(ts), names, search, schema, block_rows)
     kind = fields[ts]
-    return found.withColumn("drop_ts", F.timestamp_micros("drop_us").cast(kind)).withColumn(
-        "ts", F.timestamp_micros("rise_us").cast(kind)).drop("drop_us", "rise_us")
+    return found.select(*names, "drop_id", "dropped_from", "dropped_to", "rose_to", "rise",
+                        F.timestamp_micros("drop_us").cast(kind).alias("drop_ts"),
+                        F.timestamp_micros("rise_us").cast(kind).alias("ts"))
+
+
+def _in_row_blocks(slim: DataFrame, names: Sequence[str], search: _Search, schema: T.StructType, block_rows: int) -> DataFrame:
+    """The same search over blocks of equal row count.
+
+    A drop is tried on its own block first. If the series goes on, the highest level of
+    each later block (one number per block) tells the one block that holds its rise, and
+    the drop visits that block.
+    """
+    spark = slim.sparkSession
+    indexed = running_total(slim, ["_series"], ["_at", "_tie"], None, "_idx")
+    indexed = indexed.withColumn("_block", F.floor(F.col("_idx") / block_rows)).withColumn("_own", F.lit(True))
+    local = cut_lineage(search.over(indexed, ["_idx"], schema))
+    level = F.when(F.col("_b") > search.above, F.col("_b"))
+    tops = indexed.groupBy("_series", "_block").agg(F.max(level).alias("top"), F.min("_at").alias("at"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("_series"))
+    ahead = tops.withColumn("_n", several).filter("_n > 1").orderBy("_series", "_block").toPandas()
+    if ahead.empty:
+        return local.filter("_hit")
+    known = spark.sparkContext.broadcast(
+        (ahead["_series"].to_numpy(), ahead["_block"].to_numpy(), ahead["top"].fillna(-np.inf).to_numpy(dtype=float), ahead["at"].to_numpy()))
+
+    def aim(batches):
+        series, block, top, at = known.value
+        where = pd.MultiIndex.from_arrays([series, block])
+        for pdf in batches:
+            place = where.get_indexer(pd.MultiIndex.from_arrays([pdf["_series"], pdf["_block"]]))
+            pdf, place = pdf[place >= 0], place[place >= 0]
+            j = first_rises(top, place + 1, search.need(pdf["_base"].to_numpy(dtype=float)))
+            ok = (j >= 0) & (series[j] == series[place]) & (at[j] - pdf["drop_us"].to_numpy() <= search.reach)
+            yield pdf[ok].assign(_block=block[j[ok]])
+
+    open_drops = local.filter("_open AND NOT _hit")
+    visits = cut_lineage(open_drops.mapInPandas(aim, schema))
+    visitors = visits.select(*names, "_series", "_block", F.col("drop_id").alias("_tie"), F.col("drop_us").alias("_at"),
+                             F.col("dropped_to").alias("_now"), F.col("dropped_from").alias("_before"), F.col("_base").alias("_b"),
+                             F.lit(True).alias("_drop"), F.lit(True).alias("_own"), F.lit(True).alias("_visit"), F.lit(-1).alias("_idx"))
+    visited = visits.select("_series", "_block").distinct()
+    hosts = indexed.join(visited, ["_series", "_block"], "left_semi").withColumn("_drop", F.lit(False))
+    later = search.over(hosts.unionByName(visitors), ["_idx"], schema)
+    return local.filter("_hit").unionByName(later.filter("_hit"))
 
 
 def _iso(ts: str) -> Column:

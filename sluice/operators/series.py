@@ -51,10 +51,10 @@ def _in_order(order: Sequence[str], descending: bool) -> list[Column]:
 
 
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool) -> DataFrame:
-    """Range-partitioned and sorted rows with ``_at``: partition number and place in it."""
+    """Range-partitioned and sorted rows with ``__place``: partition number and place in it."""
     sort = [F.col(k).asc_nulls_first() for k in keys] + _in_order(order, descending)
     ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    return cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    return cut_lineage(ranged.withColumn("__place", F.monotonically_increasing_id()))
 
 
 def running_total(
@@ -70,24 +70,24 @@ def running_total(
 
     Only one number per range partition reaches the driver.
     """
-    placed = _placed(df, keys, order, descending).withColumn("_part", F.shiftright("_at", 33))
+    placed = _placed(df, keys, order, descending).withColumn("__part", F.shiftright("__place", 33))
     one = F.lit(1).cast("bigint") if amount is None else amount
     totals = {
-        r["_part"]: r["t"]
-        for r in placed.groupBy("_part").agg(F.sum(one).alias("t")).collect()
+        r["__part"]: r["t"]
+        for r in placed.groupBy("__part").agg(F.sum(one).alias("t")).collect()
     }
     starts, seen = [], 0
     for part in sorted(totals):
         starts.append((int(part), seen))
         seen += totals[part]
-    bases = df.sparkSession.createDataFrame(starts, "_part bigint, _base bigint")
-    placed = placed.join(F.broadcast(bases), "_part")
+    bases = df.sparkSession.createDataFrame(starts, "__part bigint, __base bigint")
+    placed = placed.join(F.broadcast(bases), "__part")
     if amount is None:
-        before = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        before = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     else:
-        inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum(one).over(inside), F.lit(0))
-    return placed.withColumn(out, F.col("_base") + before).drop("_part", "_base", "_at")
+    return placed.withColumn(out, F.col("__base") + before).drop("__part", "__base", "__place")
 
 
 def with_row_index(
