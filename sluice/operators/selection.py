@@ -27,9 +27,9 @@ TREE_MEMORY_MB = 1024
 
 
 def at_full_width(df: DataFrame) -> DataFrame:
-    """Spread a frame of few partitions over all cores before repeated passes over it."""
+    """Spread a frame read from fewer files than cores before repeated passes over it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = LABELS) -> list[str]:

@@ -180,6 +180,11 @@ def stage_anomaly_counts(df: DataFrame, every: str, tag: str = "tag", flag: str
     return tumble(staged, every, ["stage"], F.sum(F.col(flag).cast("bigint")).alias("anomalies"), ts=ts)
 
 
+def anomaly_totals(df: DataFrame, tag: str = "tag", flag: str = "is_anomaly") -> DataFrame:
+    """Cumulative anomalies per sensor and stage."""
+    return df.groupBy(tag, stage_of(F.col(tag)).alias("stage")).agg(F.sum(F.col(flag).cast("bigint")).alias("anomalies"))
+
+
 def mean_by_field(df: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
     return df.groupBy(field).agg(F.avg(value).alias("value"))
 

@@ -127,13 +127,33 @@ def time_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], train:
 
 def moving_aggregate(df: DataFrame, keys: Sequence[str], seconds: int, ts: str = "ts", value: str = "value",
                      out: str = "rolling_mean", block_seconds: int | None = None) -> DataFrame:
-    """Mean over the last ``seconds`` of each series, cut into stretches of time so that a
-    long series is spread over many tasks."""
+    """Mean over the last ``seconds`` of each series, both ends included.
+
+    Series are cut into stretches of time, so a long one is spread over many tasks. Within a
+    stretch the mean is the difference of two running sums: each row is met again by a
+    marker at the open end of its frame. The cost does not grow with the rows in a frame,
+    and all windows share one shuffle.
+    """
     block_seconds = block_seconds or max(24 * 3600, 4 * seconds)
     spread = time_blocks(df, ts, block_seconds, back_seconds=seconds)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy("_block", *keys).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return spread.withColumn(out, F.avg(value).over(w)).filter("_own").drop("_block", "_own")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    # Rows take odd places; a marker takes the even place just before its frame's first row.
+    places = F.array_compact(F.array(
+        F.struct((at * 2 + 1).alias("k"), F.lit(False).alias("m")),
+        F.when(F.col("_own"), F.struct(((at - seconds * 1_000_000) * 2).alias("k"), F.lit(True).alias("m")))))
+    both = spread.withColumn("_p", F.explode(places)).select(
+        *keys, *[F.when(~F.col("_p.m"), F.col(c)).alias(c) for c in df.columns if c not in keys],
+        "_block", "_own", F.col("_p.k").alias("_k"), F.col("_p.m").alias("_m"))
+    stretch = Window.partitionBy("_block", *keys)
+    upto = stretch.orderBy("_k").rangeBetween(Window.unboundedPreceding, 0)
+    summed = both.withColumn("_s", F.coalesce(F.sum(value).over(upto), F.lit(0.0))).withColumn("_c", F.count(value).over(upto))
+    # Markers stand in the order of their rows: the n-th belongs to the n-th.
+    nth = Window.partitionBy("_block", *keys, "_own", "_m").orderBy("_k")
+    paired = Window.partitionBy("_block", *keys, "_own", "_n")
+    before = summed.withColumn("_n", F.row_number().over(nth)).withColumn(
+        "_b", F.max(F.when(F.col("_m"), F.struct("_s", "_c"))).over(paired))
+    mean = F.try_divide(F.col("_s") - F.col("_b._s"), F.col("_c") - F.col("_b._c"))
+    return before.filter("_own AND NOT _m").select(*df.columns, mean.alias(out))
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,

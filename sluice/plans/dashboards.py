@@ -241,6 +241,14 @@ def stage_anomaly_counts(spark, sf_dir):
     return Q.stage_anomaly_counts(rows, "1 day")
 
 
+@query("D20", "sensor_anomaly_totals", sql=f"""
+WITH {POINTS}, t AS (SELECT {TAG_SQL} AS tag, value > 150 AS hit FROM points)
+SELECT tag, concat('P', regexp_extract(tag, '(\\d)\\d{{2}}$', 1)) AS stage, count_if(hit)::BIGINT AS anomalies FROM t GROUP BY ALL""")
+def sensor_anomaly_totals(spark, sf_dir):
+    rows = points(spark, sf_dir).select(tag_of().alias("tag"), (F.col("value") > 150).cast("int").alias("is_anomaly"))
+    return Q.anomaly_totals(rows)
+
+
 @query("D21", "mean_by_field", sql=f"""
 WITH {POINTS}
 SELECT field, round(avg(value), 6) AS value FROM points

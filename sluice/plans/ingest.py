@@ -103,8 +103,7 @@ def decode_device_arrays(spark, sf_dir):
                       "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"),
         F.col("label").cast("string").alias("device_id"), F.col("embedding").alias("measurements"),
     )).alias("value"))
-    decoded = M.decode_device_arrays(sent)
-    long = decoded.select("vec_id", "timestamp", "device_id", F.posexplode("measurements").alias("position", "value"))
+    long = M.device_points(M.decode_device_arrays(sent))
     return rounded(long.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), "device_id", "vec_id",
                                "position", F.col("value").cast("double").alias("value")))
 

@@ -138,7 +138,11 @@ def selection_report(spark, sf_dir):
     return spark.createDataFrame(list(found.removal_summary().items()), "item string, n bigint")
 
 
-@query("B7", "write_report")
+@query("B7", "write_report", sql=f"""
+WITH {SELECTION}, {_STEPS}, g AS (SELECT feature, 'static_features' AS step, FALSE AS kept FROM st
+  UNION ALL SELECT feature, 'high_null_features', FALSE FROM hn UNION ALL SELECT feature, 'correlated_features', FALSE FROM co)
+SELECT *, (SELECT count(*) FROM sel) AS dataset_rows FROM (SELECT * FROM g UNION ALL SELECT feature, 'selected', TRUE FROM (
+  SELECT unnest({FEATURES + EXTRA}) AS feature) WHERE feature NOT IN (SELECT feature FROM g))""")
 def write_report(spark, sf_dir):
     """The cleaned rows, read back from the written report folder."""
     found, kept = G.run_selection(selection_frame(spark, sf_dir), keep=_KEYS, importance=False)

@@ -30,8 +30,9 @@ def decode_device_arrays(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def device_points(decoded: DataFrame) -> DataFrame:
-    """One row per measurement, by position."""
-    return decoded.select("timestamp", "device_id", F.posexplode("measurements").alias("position", "value"))
+    """One row per measurement, by position; other columns are kept."""
+    rest = [c for c in decoded.columns if c != "measurements"]
+    return decoded.select(*rest, F.posexplode("measurements").alias("position", "value"))
 
 
 def decode_logs(df: DataFrame, value: str = "value") -> DataFrame:

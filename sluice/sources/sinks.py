@@ -42,6 +42,11 @@ def score_messages(scores: DataFrame, columns: Sequence[str] = ("entity", "ts",
     return scores.select(F.col(columns[0]).cast("string").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
 
 
+def to_topic(messages: DataFrame, servers: str, topic: str) -> None:
+    """Write ``key, value`` messages to a topic (the connector package must be present)."""
+    (messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save())
+
+
 def append_points(path: str, time: str = "time") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer. Each batch owns one folder and overwrites it, so a
     repeated batch leaves no duplicates. Rebalancing splits a crowded (measurement, date)

@@ -169,9 +169,14 @@ def explain_job(carry: Carry, scores: Callable[[], DataFrame], columns: Sequence
         return W.rolling_features(rows, keys, order, columns, window)
 
     def explain(feats: DataFrame, batch_id: int) -> None:
-        joined = feats.join(scores(), [*keys, ts])
         names = [c for c in feats.columns if "__" in c]
-        data = cut_lineage(joined.fillna(0.0, subset=names))
+        feats = cut_lineage(feats.fillna(0.0, subset=names))
+        span = feats.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        if span["lo"] is None:
+            return
+        # Literal bounds let the scan of the score table skip all other times.
+        known = scores().filter(F.col(ts).between(F.lit(span["lo"]), F.lit(span["hi"])))
+        data = cut_lineage(feats.join(known, [*keys, ts]))
         if data.isEmpty():
             return
         fit = X.linear_surrogate(data, names, "anomaly_score")

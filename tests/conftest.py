@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -53,12 +53,11 @@ def test_equal_to_the_sequential_rules(series, th):
     rows, df = series
     matches, kept = sequential(rows, th)
     assert len(matches) > 30
-    found = P.drop_then_rise(df, ["entity"], "a", "b", th=th, block_seconds=100)
+    found = P.cut_lineage(P.drop_then_rise(df, ["entity"], "a", "b", th=th, block_seconds=100))
     assert picked(found) == matches
     assert picked(P.cooldown(found, ["entity"], th.cooldown_seconds, th.followup_seconds)) == kept
-    for reach in (th.followup_seconds, None):
-        spread = P.cooldown(found, ["entity"], th.cooldown_seconds, reach, fold_rows=0)
-        assert picked(spread) == kept
+    spread = P.cooldown(found, ["entity"], th.cooldown_seconds, None, fold_rows=0)
+    assert picked(spread) == kept
     blocks = P.drop_then_rise(df, ["entity"], "a", "b", th=th, block_seconds=3600, max_rows=50, block_rows=80)
     assert picked(blocks) == matches
     held = P.cooldown(found, ["entity"], th.cooldown_seconds, th.followup_seconds, fold_rows=0, max_rows=5, block_rows=9)

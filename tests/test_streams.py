@@ -164,3 +164,25 @@ def test_points_are_appended_once(spark, rows, tmp_path):
     for batch_id in (0, 1, 1):
         write(named.filter(F.col("event_id") % 2 == batch_id), batch_id)
     assert spark.read.parquet(str(tmp_path / "points")).count() == rows.count()
+
+
+def test_progress_metrics(spark, rows, tmp_path):
+    import time
+
+    from sluice.streaming.metrics import ProgressMetrics
+
+    source, listener = tmp_path / "in", ProgressMetrics()
+    for k, part in enumerate(in_files(rows, source, 2)):
+        drop_in(part, source, k)
+    spark.streams.addListener(listener)
+    try:
+        run(stream_of(spark, rows, source), lambda df, batch_id: df.count(), tmp_path / "state")
+        for _ in range(40):
+            if len(listener._rows) >= 8:
+                break
+            time.sleep(0.25)
+    finally:
+        spark.streams.removeListener(listener)
+    got = listener.drain(spark)
+    assert got.filter("metric = 'batch_rows'").agg(F.sum("value")).first()[0] >= rows.count()
+    assert listener.drain(spark).count() == 0
