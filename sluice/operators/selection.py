@@ -22,7 +22,6 @@ from sluice.sources.readers import sample_n
 
 VARIANCE, NULLS, CORRELATION = 1e-6, 0.5, 0.98
 LABELS = (S.TIME_COLUMN, S.LABEL_COLUMN, "Normal/Attack")
-ONE_PASS_COLUMNS = 16
 TREE_MEMORY_MB = 1024
 
 
@@ -68,22 +67,13 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present; each unordered pair once. Null where undefined."""
     columns = list(columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if len(columns) <= ONE_PASS_COLUMNS:
-        row = df.agg(*[_pearson(columns[i], columns[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)]).first() if pairs else None
-        values = [row[f"c{k}"] for k in range(len(pairs))]
-    else:
-        table = _pair_moments(df, columns)
-        values = [table.get(p) for p in pairs]
+    table = _pair_moments(df, columns) if pairs else {}
+    values = [table.get(p) for p in pairs]
     rows = [(columns[i], columns[j], i, j, None if v is None or np.isnan(v) else abs(float(v)))
             for (i, j), v in zip(pairs, values)]
     return _per_feature(df.sparkSession, rows, "a string, b string, a_pos int, b_pos int, r double")
 
 
-def _pearson(a: str, b: str):
-    """Null for a constant side, where the built-in raises in ANSI mode."""
-    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
-
-
 def _pair_moments(df: DataFrame, columns: Sequence[str]) -> dict[tuple[int, int], float]:
     """Pair sums by matrix products on Arrow batches: each task sends one row per pair."""
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()

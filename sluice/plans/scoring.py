@@ -344,7 +344,7 @@ def surrogate_dataset(spark, sf_dir):
 @query("K2", "surrogate_fit")
 def surrogate_fit(spark, sf_dir):
     """Held-out error of both tree surrogates (fewer trees than the default of 200)."""
-    data = surrogate(spark, sf_dir).persist()
+    data = stored_surrogate(spark, sf_dir)
     rows = []
     for kind, trees in (("forest", 20), ("boosted", 10)):
         _, quality = X.surrogate_fit(data, COLUMNS, IDS, kind=kind, trees=trees, depth=6)
@@ -356,7 +356,7 @@ def surrogate_fit(spark, sf_dir):
 WITH {SURROGATE} SELECT 'price' AS feature, round(regr_slope(lstm_score, price), 5) AS weight,
   round(regr_intercept(lstm_score, price), 5) AS intercept FROM su""")
 def linear_surrogate(spark, sf_dir):
-    fit = X.linear_surrogate(surrogate(spark, sf_dir), ["price"])
+    fit = X.linear_surrogate(stored_surrogate(spark, sf_dir), ["price"])
     out = spark.createDataFrame([("price", fit.weights[0], fit.intercept)], "feature string, weight double, intercept double")
     return rounded(out, 5)
 
@@ -365,8 +365,13 @@ PHI = f"""{SURROGATE}, fit AS (SELECT regr_slope(lstm_score, price) AS w, avg(pr
 phi AS (SELECT {IDS_SQL}, label, 'price' AS feature, (price - m) * w AS phi FROM su, fit)"""
 
 
+def stored_surrogate(spark, sf_dir):
+    """The data set as a written table: fitting and explaining read it several times."""
+    return cut_lineage(surrogate(spark, sf_dir))
+
+
 def attributed(spark, sf_dir, columns=("price",)):
-    data = surrogate(spark, sf_dir)
+    data = stored_surrogate(spark, sf_dir)
     return X.linear_surrogate(data, list(columns)).attribution(data, [*IDS, "label"])
 
 
@@ -378,7 +383,7 @@ def attribution(spark, sf_dir):
 @query("K4", "forest_attribution")
 def forest_attribution(spark, sf_dir):
     """Sampled contributions of a forest for the newest row of every entity."""
-    data = surrogate(spark, sf_dir).persist()
+    data = stored_surrogate(spark, sf_dir)
     model, _ = X.surrogate_fit(data, COLUMNS, IDS, trees=20, depth=6)
     newest = Q.tail_sequence(data, ENTITY, WIDE_ORDER, 1)
     return rounded(X.forest_attribution(model, newest, data, IDS, COLUMNS))
@@ -392,7 +397,7 @@ STATED = f"{SURROGATE}, phi AS ({_STATED})"
 
 
 def stated(spark, sf_dir):
-    data = surrogate(spark, sf_dir)
+    data = stored_surrogate(spark, sf_dir)
     means = data.agg(*[F.avg(c).alias(c) for c in COLUMNS]).first()
     fit = X.LinearSurrogate(COLUMNS, list(WEIGHTS.values()), 0.0, [means[c] for c in COLUMNS])
     return rounded(fit.attribution(data, [*IDS, "label"]))

@@ -28,19 +28,17 @@ def test_a_dropped_column_still_drops_others(chain):
     assert got == {"b": "a", "c": "b"}
 
 
-def test_many_columns_take_the_matrix_way(chain, monkeypatch):
-    _, df = chain
+def test_correlation_of_rows_where_both_are_present(chain):
+    values, df = chain
     gappy = df.withColumn("b", F.when(F.col("far") > -1, F.col("b"))).withColumn("flat", F.lit(1.0))
-    names = gappy.columns
-    plain = {(x["a"], x["b"]): x["r"] for x in G.corr_matrix(gappy, names).collect()}
-    monkeypatch.setattr(G, "ONE_PASS_COLUMNS", 1)
-    matrix = {(x["a"], x["b"]): x["r"] for x in G.corr_matrix(gappy.repartition(5), names).collect()}
-    assert plain.keys() == matrix.keys()
-    for k in plain:
-        if "flat" in k:
-            assert plain[k] is None
-        else:
-            assert matrix[k] == pytest.approx(plain[k], abs=1e-12)
+    got = {(x["a"], x["b"]): x["r"] for x in G.corr_matrix(gappy.repartition(5), gappy.columns).collect()}
+    there = values[:, 3] > -1
+    for i, a in enumerate(df.columns):
+        for j, b in enumerate(df.columns[:i]):
+            rows = values[there] if "b" in (a, b) else values
+            assert got[b, a] == pytest.approx(abs(np.corrcoef(rows[:, i], rows[:, j])[0, 1]), abs=1e-12)
+        assert got[a, "flat"] is None
+    assert len(got) == 10
 
 
 def test_static_and_null_limits_are_strict(spark):
