@@ -58,3 +58,41 @@ def op9(spark, sf_dir):
     from sluice.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query("op5_sharding")
+def op5(spark, sf_dir):
+    """40 contiguous shards of equal bytes."""
+    from sluice.llm.sharding import byte_shards
+
+    return byte_shards(table(spark, sf_dir, "documents"), 40)
+
+
+TOPK_SQL = """WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e::DOUBLE[], d.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@query("op6_exact_top_k", TOPK_SQL)
+def op6(spark, sf_dir):
+    """The ten nearest of every hundredth vector."""
+    from pyspark.sql import functions as F
+
+    from sluice.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    """Words packed into sequences of 1,024 to 8,192."""
+    from sluice.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
