@@ -96,3 +96,30 @@ def op10(spark, sf_dir):
     from sluice.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_mixture")
+def op8(spark, sf_dir):
+    """Language of every document; learned from three quarters of the labelled ones."""
+    from sluice.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(4, 2)
+    found = identify(docs, fit(docs, ~apart))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    """Every document freed of the blocks it shares with an earlier one."""
+    from sluice.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    """Every document against every benchmark item."""
+    from sluice.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
