@@ -64,11 +64,12 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
             out.append((ahi, bhi))
         if alo == ahi or blo == bhi:
             continue
-        for i, j in unique_anchors(a, b, alo, ahi, blo, bhi):
+        anchors = unique_anchors(a, b, alo, ahi, blo, bhi)
+        for i, j in anchors:
             todo.append((alo, i, blo, j))
             out.append((i, j))
             alo, blo = i + 1, j + 1
-        if alo and out and (ahi, bhi) != (alo, blo) and (alo - 1, blo - 1) in out[-1:]:
+        if anchors:
             todo.append((alo, ahi, blo, bhi))
     return sorted(out)
 
