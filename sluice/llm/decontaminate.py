@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     rows = _canonical(docs.filter("doc_id is not null and text is not null"), F.col("doc_id").cast("bigint"), "text")
     found = None
     for kind, width, which in spans:
-        own = _windows(items.filter(which), width, 1, ["item_id", F.col("_n").alias("words")])
+        own = _windows(items.filter(which), width, 1, ["item_id", "_n"]).withColumnRenamed("_n", "words")
         full = F.aggregate(F.transform(F.coalesce("slots", F.array()), lambda x: F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT).cast("int")),
                            F.lit(0), lambda a, x: a + x)
         own = own.filter(F.lit(2) * (F.lit(width) - full) >= width)
