@@ -123,3 +123,25 @@ def op7(spark, sf_dir):
     from sluice.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality_convolution")
+def op1(spark, sf_dir):
+    """Quality of every document; two thirds of the labels may be learned from."""
+    from sluice.llm.language import held_out
+    from sluice.llm.quality import fit, quality
+
+    docs, apart = table(spark, sf_dir, "documents"), held_out(3, 1)
+    scored = quality(docs, fit(docs, table(spark, sf_dir, "labels"), ~apart))
+    return scored.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+@query("op3_toxicity_lexicon")
+def op3(spark, sf_dir):
+    """Toxicity of every document; four fifths of the labels may be learned from."""
+    from sluice.llm.language import held_out
+    from sluice.llm.toxicity import fit, toxicity
+
+    docs, apart = table(spark, sf_dir, "documents"), held_out(5, 0)
+    scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), ~apart))
+    return scored.select("doc_id", apart.alias("held_out"), "score", "predicted", "level", "hits")
