@@ -145,3 +145,12 @@ def op3(spark, sf_dir):
     docs, apart = table(spark, sf_dir, "documents"), held_out(5, 0)
     scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), ~apart))
     return scored.select("doc_id", apart.alias("held_out"), "score", "predicted", "level", "hits")
+
+
+@query("op4_pii_semi_markov")
+def op4(spark, sf_dir):
+    """Personal data in every document."""
+    from sluice.llm.pii import fit, personal_data
+
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, fit(docs))
