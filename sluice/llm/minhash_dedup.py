@@ -86,11 +86,39 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return data[offsets[0]:offsets[-1]].view(dtype).reshape(len(column), -1)
 
 
-def _pairs_in_nodes(table: pa.Table, percent: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within nodes that their sketches leave open. ``table`` is sorted by node.
-
-    A pair is left to the first tree in which both meet in a small first-level node.
+def _strongest_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges make a maximum spanning forest (all components grow at once)."""
+    order = np.argsort(weight, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    group, chosen, live = np.arange(n), np.zeros(len(order), bool), np.arange(len(order))
+    while True:
+        live = live[group[i[live]] != group[j[live]]]
+        if not len(live):
+            return chosen
+        best = np.full(n, -1, np.int64)
+        np.maximum.at(best, group[i[live]], rank[live])
+        np.maximum.at(best, group[j[live]], rank[live])
+        own = np.flatnonzero(best >= 0)
+        edge = order[best[own]]
+        chosen[edge] = True
+        parent = np.arange(n)
+        parent[own] = group[i[edge]] + group[j[edge]] - own
+        twice = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
+        parent[twice] = np.flatnonzero(twice)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        group = parent[group]
+
+
+def _pairs_in_nodes(table: pa.Table, percent: int, trees: int, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within nodes whose sketches leave a link open and whose groups differ, and the nodes
+    with further such pairs. ``table`` is sorted by node.
+
+    With ``forest``, only a maximum spanning forest by agreement of the sketches is given; without
+    it, all pairs. A pair is left to the first tree in which both meet in a small first-level node.
     """
+    group = table.column("grp").to_numpy()
     node, ids = table.column("node").to_numpy(), table.column("doc_id").to_numpy()
     size, crowded = table.column("n_shingles").to_numpy(), table.column("crowded").to_numpy()
     seen_in, sketch = table.column("upto").to_numpy(), _matrix(table.column("sketch").combine_chunks(), np.uint8)
@@ -99,7 +127,7 @@ def _pairs_in_nodes(table: pa.Table, percent: int, trees: int) -> tuple[np.ndarr
     t = percent / 100
     cut = SKETCH * t - SIGMAS * math.sqrt(SKETCH * t * (1 - t))
     order = np.arange(trees)
-    left, right = [], []
+    left, right, weight = [], [], []
     here, d = np.arange(len(node)), 1
     while True:
         here = here[here + d < last[here]]
@@ -107,28 +135,36 @@ def _pairs_in_nodes(table: pa.Table, percent: int, trees: int) -> tuple[np.ndarr
             break
         i, j = here, here + d
         small, big = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = (100 * small >= percent * big) & (ids[i] != ids[j])
-        i, j = i[ok], j[ok]
-        ok = (sketch[i] == sketch[j]).sum(1) >= cut
+        ok = (100 * small >= percent * big) & (group[i] != group[j])
         i, j = i[ok], j[ok]
+        agree = (sketch[i] == sketch[j]).sum(1)
+        ok = agree >= cut
+        i, j, agree = i[ok], j[ok], agree[ok]
         if len(i):
             met = (base[i] == base[j]) & (order < seen_in[i, None]) & ((crowded[i, None] >> order) & 1 == 0)
             ok = ~met.any(1)
-            left.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            right.append(np.maximum(ids[i[ok]], ids[j[ok]]))
+            left.append(i[ok])
+            right.append(j[ok])
+            weight.append(agree[ok])
         d += 1
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    keep = _strongest_forest(i, j, np.concatenate(weight), len(node)) if forest else np.ones(len(i), bool)
+    return np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]]), np.unique(node[i[~keep]])
 
 
-def _compare(batches, percent: int, trees: int) -> Iterator[pa.RecordBatch]:
-    """Compares whole nodes; the last node of a batch waits for the next batch."""
+def _compare(batches, percent: int, trees: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Compares whole nodes; the last node of a batch waits for the next batch. A row is a pair, or
+    a node that has further pairs."""
     kept = None
 
     def pairs(table):
-        a, b = _pairs_in_nodes(table, percent, trees)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b, more = _pairs_in_nodes(table, percent, trees, forest)
+        none_a, none_m = pa.nulls(len(a), pa.int64()), pa.nulls(len(more), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(a), none_m]), pa.concat_arrays([pa.array(b), none_m]), pa.concat_arrays([none_a, pa.array(more)])],
+            ["a", "b", "more"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -168,10 +204,10 @@ def _blocks(crowd: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "tree", "doc_id")
 
 
-def candidates(reps: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
-    """``a, b``: pairs of documents whose sketches leave a link possible, each once.
+def tree_nodes(reps: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
+    """``node, doc_id, upto, crowded``: the documents of all end nodes of all trees.
 
-    ``reps`` needs ``doc_id, n_shingles, low, sketch, base``.
+    ``reps`` needs ``doc_id, low, base``.
     """
     trees = trees_for(percent, miss)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
@@ -193,13 +229,39 @@ def candidates(reps: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
         ended = ended.unionByName(
             below.filter(F.col("rows") <= NODE_ROWS).select("node", "doc_id", F.lit(trees).alias("upto")))
         crowd = below.filter(F.col("rows") > NODE_ROWS)
-    rows = (ended.join(reps.select("doc_id", "n_shingles", "sketch", "base"), "doc_id")
-            .join(busy, "doc_id", "left")
-            .select("node", "doc_id", "n_shingles", F.coalesce("crowded", F.lit(0)).cast("bigint").alias("crowded"),
-                    F.col("upto").cast("int").alias("upto"), "sketch", "base"))
+    return ended.join(busy, "doc_id", "left").select(
+        "node", "doc_id", F.col("upto").cast("int").alias("upto"), F.coalesce("crowded", F.lit(0)).cast("bigint").alias("crowded"))
+
+
+def open_pairs(nodes: DataFrame, reps: DataFrame, percent: int, trees: int, forest: bool) -> DataFrame:
+    """``a, b, more`` of the documents that meet in a node; ``nodes`` also names each one's ``grp``."""
+    rows = nodes.join(reps.select("doc_id", "n_shingles", "sketch", "base"), "doc_id").select(
+        "node", "doc_id", "grp", "n_shingles", "crowded", "upto", "sketch", "base")
     rows = rows.repartition("node").sortWithinPartitions("node", "doc_id")
-    found = rows.mapInArrow(lambda batches: _compare(batches, percent, trees), "a bigint, b bigint")
-    return found.distinct()
+    return rows.mapInArrow(lambda batches: _compare(batches, percent, trees, forest), "a bigint, b bigint, more bigint")
+
+
+def linked(reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float = MISS) -> DataFrame:
+    """``node, component`` of all documents with links, as :func:`components` gives them.
+
+    First every node gives the pairs of a maximum spanning forest by sketch agreement; they are
+    confirmed and contracted. Then the nodes with further open pairs give those of them whose
+    ends the first links have not yet joined. So no link between groups is left out, and a
+    group of many copies gives about as many pairs as it has members.
+    """
+    trees = trees_for(percent, miss)
+    nodes = stored(tree_nodes(reps, percent, miss), "ends")
+    first = stored(open_pairs(nodes.withColumn("grp", F.col("doc_id")), reps, percent, trees, True).distinct(), "pairs")
+    links = stored(confirmed(first.filter("more is null").select("a", "b"), texts, k, percent), "links")
+    joined = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+    again = nodes.join(first.filter("more is not null").select(F.col("more").alias("node")).distinct(), "node", "left_semi")
+    again = again.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
+        "grp", F.coalesce("component", "doc_id")).drop("component")
+    split = again.groupBy("node").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least < most")
+    again = again.join(split.select("node"), "node", "left_semi")
+    rest = stored(open_pairs(again, reps, percent, trees, False).select("a", "b").distinct(), "rest")
+    more = confirmed(rest, texts, k, percent)
+    return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
@@ -242,10 +304,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     reps = (named.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")), "doc_id")
             .filter("digest = _d").drop("_d", "digest").dropDuplicates(["doc_id"]))
     reps = stored(reps, "reps")
-    pairs = stored(candidates(reps, percent, miss), "pairs")
     texts = slim.join(reps.select("doc_id"), "doc_id", "left_semi")
-    links = confirmed(pairs, texts, k, percent)
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = linked(reps, texts, k, percent, miss)
     labelled = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
     out = features.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
