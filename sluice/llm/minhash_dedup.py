@@ -28,6 +28,8 @@ from sluice.llm.components import components, stored
 SKETCH = 128
 BRANCHES = 2
 NODE_ROWS = 2048
+NODE_SHINGLES = 1 << 22
+FIRST_TREES = 3
 MAX_LEVELS = 8
 MISS = 1e-7
 SIGMAS = 5.0
@@ -111,15 +113,14 @@ def _strongest_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int)
         group = parent[group]
 
 
-def _pairs_in_nodes(table: pa.Table, percent: int, trees: int, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs within nodes whose sketches leave a link open and whose groups differ, and the nodes
-    with further such pairs. ``table`` is sorted by node.
+def _open_in_nodes(table: pa.Table, percent: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the pairs within nodes whose sketches leave a link open and whose groups differ, and
+    their agreement. ``table`` is sorted by node.
 
-    With ``forest``, only a maximum spanning forest by agreement of the sketches is given; without
-    it, all pairs. A pair is left to the first tree in which both meet in a small first-level node.
+    A pair is left to the first tree in which both meet in a small first-level node.
     """
     group = table.column("grp").to_numpy()
-    node, ids = table.column("node").to_numpy(), table.column("doc_id").to_numpy()
+    node = table.column("node").to_numpy()
     size, crowded = table.column("n_shingles").to_numpy(), table.column("crowded").to_numpy()
     seen_in, sketch = table.column("upto").to_numpy(), _matrix(table.column("sketch").combine_chunks(), np.uint8)
     base = _matrix(table.column("base").combine_chunks(), np.uint32)
@@ -127,7 +128,7 @@ def _pairs_in_nodes(table: pa.Table, percent: int, trees: int, forest: bool) ->
     t = percent / 100
     cut = SKETCH * t - SIGMAS * math.sqrt(SKETCH * t * (1 - t))
     order = np.arange(trees)
-    left, right, weight = [], [], []
+    left, right, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     here, d = np.arange(len(node)), 1
     while True:
         here = here[here + d < last[here]]
@@ -147,25 +148,62 @@ def _pairs_in_nodes(table: pa.Table, percent: int, trees: int, forest: bool) ->
             right.append(j[ok])
             weight.append(agree[ok])
         d += 1
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    keep = _strongest_forest(i, j, np.concatenate(weight), len(node)) if forest else np.ones(len(i), bool)
-    return np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]]), np.unique(node[i[~keep]])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(weight)
+
+
+def _ends(table: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids = table.column("doc_id").to_numpy()
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def _forest(table: pa.Table, percent: int, trees: int) -> pa.RecordBatch:
+    """Pairs of a maximum spanning forest by agreement of the sketches, and the nodes with further
+    open pairs. A row is a pair, or a node that has further pairs."""
+    i, j, weight = _open_in_nodes(table, percent, trees)
+    keep = _strongest_forest(i, j, weight, table.num_rows)
+    a, b = _ends(table, i[keep], j[keep])
+    more = np.unique(table.column("node").to_numpy()[i[~keep]])
+    none_a, none_m = pa.nulls(len(a), pa.int64()), pa.nulls(len(more), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([pa.array(a), none_m]), pa.concat_arrays([pa.array(b), none_m]), pa.concat_arrays([none_a, pa.array(more)])],
+        ["a", "b", "more"])
+
+
+def _shared(tokens: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many tokens the sets ``i`` and ``j`` share; ``tokens`` are numbers from 0, distinct in each set."""
+    out, mark = np.zeros(len(i), np.int64), np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, bool)
+    order = np.argsort(i, kind="stable")
+    firsts = np.flatnonzero(np.diff(i[order], prepend=-1))
+    for at, to in zip(firsts, [*firsts[1:], len(order)]):
+        own = tokens[offsets[i[order[at]]]:offsets[i[order[at]] + 1]]
+        mark[own] = True
+        for pair in order[at:to]:
+            out[pair] = np.count_nonzero(mark[tokens[offsets[j[pair]]:offsets[j[pair] + 1]]])
+        mark[own] = False
+    return out
 
 
-def _compare(batches, percent: int, trees: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Compares whole nodes; the last node of a batch waits for the next batch. A row is a pair, or
-    a node that has further pairs."""
+def _exact_forest(table: pa.Table, percent: int, trees: int) -> pa.RecordBatch:
+    """The open pairs confirmed on the full sets; of the links, a forest that joins the same rows."""
+    i, j, weight = _open_in_nodes(table, percent, trees)
+    if len(i):
+        lists = table.column("shingles").combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        tokens = np.unique(lists.values.to_numpy()[offsets[0]:offsets[-1]], return_inverse=True)[1]
+        offsets = offsets - offsets[0]
+        both, sizes = _shared(tokens, offsets, i, j), np.diff(offsets)
+        ok = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+        i, j, weight = i[ok], j[ok], both[ok]
+        keep = _strongest_forest(i, j, weight, table.num_rows)
+        i, j = i[keep], j[keep]
+    a, b = _ends(table, i, j)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _whole_nodes(batches) -> Iterator[pa.Table]:
+    """Runs of whole nodes, of about ``NODE_ROWS`` rows or one node; the last node of a batch waits
+    for the next batch."""
     kept = None
-
-    def pairs(table):
-        a, b, more = _pairs_in_nodes(table, percent, trees, forest)
-        none_a, none_m = pa.nulls(len(a), pa.int64()), pa.nulls(len(more), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(a), none_m]), pa.concat_arrays([pa.array(b), none_m]), pa.concat_arrays([none_a, pa.array(more)])],
-            ["a", "b", "more"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -173,12 +211,14 @@ def _compare(batches, percent: int, trees: int, forest: bool) -> Iterator[pa.Rec
         if kept is not None:
             table = pa.concat_tables([kept, table])
         node = table.column("node").to_numpy()
-        cut = int(np.searchsorted(node, node[-1], "left"))
-        kept = table.slice(cut).combine_chunks()
-        if cut:
-            yield pairs(table.slice(0, cut).combine_chunks())
+        at, cut = 0, int(np.searchsorted(node, node[-1], "left"))
+        while at < cut:
+            to = max(int(np.searchsorted(node, node[min(at + NODE_ROWS, cut)], "left")), int(np.searchsorted(node, node[at], "right")))
+            yield table.slice(at, to - at).combine_chunks()
+            at = to
+        kept = table.slice(cut)
     if kept is not None:
-        yield pairs(kept)
+        yield kept.combine_chunks()
 
 
 def _with_counts(entries: DataFrame) -> DataFrame:
@@ -205,7 +245,7 @@ def _blocks(crowd: DataFrame) -> DataFrame:
 
 
 def tree_nodes(reps: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
-    """``node, doc_id, upto, crowded``: the documents of all end nodes of all trees.
+    """``node, tree, doc_id, upto, crowded``: the documents of all end nodes of all trees.
 
     ``reps`` needs ``doc_id, low, base``.
     """
@@ -217,50 +257,75 @@ def tree_nodes(reps: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
     first = stored(_with_counts(entries), "nodes")
     crowd = first.filter(F.col("rows") > NODE_ROWS)
     busy = crowd.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("crowded"))
-    ended = first.filter(F.col("rows") <= NODE_ROWS).select("node", "doc_id", F.col("tree").alias("upto"))
+    ended = first.filter(F.col("rows") <= NODE_ROWS).select("node", "tree", "doc_id", F.col("tree").alias("upto"))
     level = 0
     while not crowd.isEmpty():
         level += 1
         if level > MAX_LEVELS:
             rest = _blocks(crowd)
-            ended = ended.unionByName(rest.select("node", "doc_id", F.lit(trees).alias("upto")))
+            ended = ended.unionByName(rest.select("node", "tree", "doc_id", F.lit(trees).alias("upto")))
             break
         below = stored(_with_counts(_branch(crowd, reps, level)), "nodes")
         ended = ended.unionByName(
-            below.filter(F.col("rows") <= NODE_ROWS).select("node", "doc_id", F.lit(trees).alias("upto")))
+            below.filter(F.col("rows") <= NODE_ROWS).select("node", "tree", "doc_id", F.lit(trees).alias("upto")))
         crowd = below.filter(F.col("rows") > NODE_ROWS)
     return ended.join(busy, "doc_id", "left").select(
-        "node", "doc_id", F.col("upto").cast("int").alias("upto"), F.coalesce("crowded", F.lit(0)).cast("bigint").alias("crowded"))
+        "node", "tree", "doc_id", F.col("upto").cast("int").alias("upto"), F.coalesce("crowded", F.lit(0)).cast("bigint").alias("crowded"))
+
+
+def _by_node(rows: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
+    """Entries with the sketches of their documents, whole nodes together."""
+    rows = rows.join(reps.select("doc_id", "n_shingles", "sketch", "base"), "doc_id").select(
+        "node", "doc_id", "grp", "n_shingles", "crowded", "upto", "sketch", "base", *more)
+    return rows.repartition("node").sortWithinPartitions("node", "doc_id")
 
 
-def open_pairs(nodes: DataFrame, reps: DataFrame, percent: int, trees: int, forest: bool) -> DataFrame:
-    """``a, b, more`` of the documents that meet in a node; ``nodes`` also names each one's ``grp``."""
-    rows = nodes.join(reps.select("doc_id", "n_shingles", "sketch", "base"), "doc_id").select(
-        "node", "doc_id", "grp", "n_shingles", "crowded", "upto", "sketch", "base")
-    rows = rows.repartition("node").sortWithinPartitions("node", "doc_id")
-    return rows.mapInArrow(lambda batches: _compare(batches, percent, trees, forest), "a bigint, b bigint, more bigint")
+def forest_pairs(nodes: DataFrame, reps: DataFrame, percent: int, trees: int) -> DataFrame:
+    """``a, b, more``: the strongest open pairs of each node, or a node with further ones."""
+    return _by_node(nodes.withColumn("grp", F.col("doc_id")), reps).mapInArrow(
+        lambda batches: (_forest(table, percent, trees) for table in _whole_nodes(batches)), "a bigint, b bigint, more bigint")
+
+
+def exact_links(nodes: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
+    """``a, b``: confirmed links that join whatever the links of each node join between groups.
+
+    The full sets travel to the nodes, so no pair leaves a task unless it is a link. A node with
+    many shingles is dealt block against block: every pair still meets, in bounded memory.
+    """
+    sets = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
+        lambda batches: _sets(batches, k), "doc_id bigint, shingles array<bigint>")
+    weights = nodes.join(reps.select("doc_id", "n_shingles"), "doc_id").groupBy("node").agg(
+        F.ceil(F.sum("n_shingles") * 2 / F.lit(NODE_SHINGLES)).cast("int").alias("n"))
+    cells = nodes.join(weights, "node").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.greatest("n", F.lit(1))).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1)))
+    cells = cells.withColumn("node", F.when(F.col("n") > 1, F.xxhash64(
+        "node", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("node")))
+    return _by_node(cells.join(sets, "doc_id"), reps, "shingles").mapInArrow(
+        lambda batches: (_exact_forest(table, percent, trees) for table in _whole_nodes(batches)), "a bigint, b bigint")
 
 
 def linked(reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float = MISS) -> DataFrame:
     """``node, component`` of all documents with links, as :func:`components` gives them.
 
-    First every node gives the pairs of a maximum spanning forest by sketch agreement; they are
-    confirmed and contracted. Then the nodes with further open pairs give those of them whose
-    ends the first links have not yet joined. So no link between groups is left out, and a
-    group of many copies gives about as many pairs as it has members.
+    First the nodes of ``FIRST_TREES`` trees give the pairs of a maximum spanning forest by sketch
+    agreement; they are confirmed and contracted, which joins most groups with few pairs. Then
+    every node that may link two groups (further open pairs, or of another tree) compares on the
+    full sets, in the node. So no link between groups is left out, and no pair is made that
+    is not a link.
     """
     trees = trees_for(percent, miss)
     nodes = stored(tree_nodes(reps, percent, miss), "ends")
-    first = stored(open_pairs(nodes.withColumn("grp", F.col("doc_id")), reps, percent, trees, True).distinct(), "pairs")
+    early = F.col("tree") < FIRST_TREES
+    first = stored(forest_pairs(nodes.filter(early), reps, percent, trees).distinct(), "pairs")
     links = stored(confirmed(first.filter("more is null").select("a", "b"), texts, k, percent), "links")
     joined = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
-    again = nodes.join(first.filter("more is not null").select(F.col("more").alias("node")).distinct(), "node", "left_semi")
+    again = nodes.filter(early).join(first.filter("more is not null").select(F.col("more").alias("node")), "node", "left_semi")
+    again = again.unionByName(nodes.filter(~early))
     again = again.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
         "grp", F.coalesce("component", "doc_id")).drop("component")
     split = again.groupBy("node").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least < most")
-    again = again.join(split.select("node"), "node", "left_semi")
-    rest = stored(open_pairs(again, reps, percent, trees, False).select("a", "b").distinct(), "rest")
-    more = confirmed(rest, texts, k, percent)
+    again = stored(again.join(split.select("node"), "node", "left_semi"), "again")
+    more = exact_links(again, reps, texts, k, percent, trees)
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
