@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice import schema as S
 
@@ -14,10 +13,15 @@ NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
 def safe_float(text: Column) -> Column:
-    """A double, or null when the text is not a number (blank text included)."""
+    """A double, or null when the text is not a number (blank text and NaN included)."""
     plain = F.trim(text.cast("string"))
     # Java also reads a trailing d or f as a type suffix; that is text here.
-    return F.when(~plain.rlike("[0-9.][dDfF]$"), plain.try_cast("double"))
+    return present(F.when(~plain.rlike("[0-9.][dDfF]$"), plain.try_cast("double")))
+
+
+def present(value: Column) -> Column:
+    """The value; NaN is a missing reading and becomes null."""
+    return F.when(~F.isnan(value), value)
 
 
 def clean_numeric(df: DataFrame, columns: Sequence[str] = S.SENSOR_TAGS) -> DataFrame:
@@ -100,9 +104,9 @@ def binary_status(value: Column) -> Column:
 
 
 def outside(value: Column, low: float, high: float) -> Column:
-    """Out-of-range flag; a missing reading counts as 0."""
-    v = F.coalesce(value, F.lit(0.0))
-    return (v < low) | (v > high)
+    """Out-of-range flag; a missing or unreadable reading is none."""
+    v = present(value)
+    return F.coalesce((v < low) | (v > high), F.lit(False))
 
 
 def spike(value: Column, limit: float) -> Column:
@@ -116,10 +120,10 @@ def finite_or_zero(value: Column) -> Column:
 
 
 def fit_moments(df: DataFrame, columns: Sequence[str], sample: bool = False) -> dict[str, tuple[float, float]]:
-    """(mean, standard deviation) per column: one aggregate, a handful of numbers."""
+    """(mean, standard deviation) per column over its readings (NaN is none): one aggregate."""
     spread = F.stddev_samp if sample else F.stddev_pop
     row = df.agg(*[
-        e for i, c in enumerate(columns) for e in (F.avg(c).alias(f"m{i}"), spread(c).alias(f"s{i}"))
+        e for i, c in enumerate(columns) for e in (F.avg(present(F.col(c))).alias(f"m{i}"), spread(present(F.col(c))).alias(f"s{i}"))
     ]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
@@ -152,7 +156,3 @@ def select_features(df: DataFrame, selected: Sequence[str], always: Sequence[str
     present = [c for c in selected if c in df.columns]
     extra = [c for c in always if c in df.columns and c not in present]
     return df.select(*present, *extra), [c for c in selected if c not in df.columns]
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

@@ -155,7 +155,3 @@ def publish_importance(importance: DataFrame, top: DataFrame, scores: DataFrame,
 def local_examples(phi: DataFrame, label: str, order: Sequence[str]) -> DataFrame:
     """The first row of each label with its contributions."""
     return phi.groupBy(label, "feature").agg(F.min_by("phi", F.struct(*order)).alias("phi"))
-
-
-def explained_sample(df: DataFrame, key: Sequence[str], n: int = 3000, seed: int = 42) -> DataFrame:
-    return sample_n(df, n, key, seed)

@@ -379,7 +379,7 @@ def stage_of(spark, sf_dir):
 
 
 RULES_SQL = """SELECT {keys}, tag, value, flag FROM (
-  SELECT *, 'LIT101' AS tag, quantity * 20 AS value, coalesce(quantity * 20, 0) < 300 OR coalesce(quantity * 20, 0) > 1000 AS flag
+  SELECT *, 'LIT101' AS tag, quantity * 20 AS value, coalesce(quantity * 20 < 300 OR quantity * 20 > 1000, FALSE) AS flag
   FROM wide
   UNION ALL SELECT *, 'LIT301', NULL, TRUE FROM wide) WHERE flag"""
 
@@ -389,7 +389,9 @@ def range_outlier_flag(spark, sf_dir):
     rows = wide(spark, sf_dir).select(*KEY, (F.col("quantity") * 20).alias("LIT101"),
                                       F.lit(None).cast("double").alias("LIT301"))
     long = rows.unpivot(KEY, ["LIT101", "LIT301"], "tag", "value")
-    flagged = long.withColumn("flag", C.outside(F.col("value"), S.LEVEL_LOW, S.LEVEL_HIGH))
+    # An absent column reads as 0; a missing reading of a present one is no outlier.
+    reading = F.when(F.col("tag") == "LIT301", F.lit(0.0)).otherwise(F.col("value"))
+    flagged = long.withColumn("flag", C.outside(reading, S.LEVEL_LOW, S.LEVEL_HIGH))
     return flagged.filter("flag")
 
 

@@ -424,11 +424,11 @@ def topk_last(spark, sf_dir):
 @query("K7", "publish_importance", sql=f"""
 WITH {_LAST}, i AS (SELECT feature, avg(abs(phi)) AS importance FROM phi GROUP BY feature)
 SELECT 'explain_shap_mean_abs' AS metric, feature, NULL::VARCHAR AS rank, round(importance / (SELECT max(importance) FROM i), 5) AS value FROM i
-UNION ALL SELECT 'explain_topk_features', feature, CAST(rank AS VARCHAR), round(scaled, 5) FROM tk WHERE rank <= 3 AND entity = 0
+UNION ALL SELECT 'explain_topk_features', feature, CAST(rank AS VARCHAR), round(scaled, 5) FROM tk WHERE rank <= 3
 UNION ALL SELECT 'inference_anomaly_score', NULL, NULL, round(arg_max(lstm_score, ({ORDER_SQL}, entity, label)), 5) FROM su""")
 def publish_importance(spark, sf_dir):
     phi = stated(spark, sf_dir)
-    top = X.topk_last(phi, ENTITY, [*WIDE_ORDER, "label"], 3).filter("entity = 0")
+    top = X.topk_last(phi, ENTITY, [*WIDE_ORDER, "label"], 3)
     newest = surrogate(spark, sf_dir).agg(F.max_by("lstm_score", F.struct(*WIDE_ORDER, "entity", "label")).alias("anomaly_score"))
     rows = X.publish_importance(X.mean_abs_importance(phi), top, newest, 0)
     return rounded(rows.select("metric", F.col("labels")["feature"].alias("feature"), F.col("labels")["rank"].alias("rank"), "value"), 5)
