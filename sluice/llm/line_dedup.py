@@ -1,21 +1,21 @@
-"""Line dedup by pairwise alignment of overlapping documents.
+"""Line dedup by runs of lines that an earlier document holds.
 
-Documents that share lines are found through the lines' hashes; each such pair is aligned with
-patience diff, and the aligned common blocks are deleted from the later document.
+A block is a run of lines that follow each other in two documents. Every block is made of the
+shortest runs of enough words; each of them meets the first document that holds it through its
+hash, so a block goes from every later document, wherever and however often it stands there.
+``patience`` aligns two hash lists.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import stored
 
-RARE_DOCS = 8
 MIN_WORDS = 5
 _BLANKS = "[ \\t-\\r]+"
 
@@ -74,82 +74,61 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: Sequence[tuple[int, int, int]], earlier: Sequence[tuple[int, int, int]], min_words: int) -> list[int]:
-    """Line numbers of ``later`` in aligned blocks of ``min_words`` or more; both sides are
-    (line number, hash, words). A block is a run of lines that follow each other on both sides."""
-    pairs = patience([x[1] for x in later], [x[1] for x in earlier])
-    gone, run, words = [], [], 0
-    last = None
-    for i, j in pairs:
-        at = (later[i][0], earlier[j][0])
-        if last is not None and at != (last[0] + 1, last[1] + 1):
-            if words >= min_words:
-                gone += run
-            run, words = [], 0
-        run.append(at[0])
-        words += later[i][2]
-        last = at
-    return gone + run if words >= min_words else gone
-
-
-def _align(batches, min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, gone = [], []
-        rows = zip(batch.column("later").to_pylist(), *[batch.column(c).to_pylist() for c in ("l_lines", "e_lines")])
-        for doc, later, earlier in rows:
-            lines = common_blocks(*[sorted((x["n"], x["h"], x["w"]) for x in side) for side in (later, earlier)], min_words)
-            if lines:
-                docs.append(doc)
-                gone.append(lines)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, batch.schema.field("later").type), pa.array(gone, pa.list_(pa.int32()))], ["doc", "gone"])
-
-
 def filled_lines(text: str) -> Column:
     """The lines that hold more than blanks, trimmed."""
     trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, "^[ \\t-\\r]+|[ \\t-\\r]+$", ""))
     return F.filter(trimmed, lambda x: x != "")
 
 
-def removed_lines(docs: DataFrame, rare: int = RARE_DOCS, min_words: int = MIN_WORDS) -> DataFrame:
+def _run(span: Column, min_words: int) -> Column:
+    """Hashes of the first lines of ``span`` that hold ``min_words`` words together, null where it ends before."""
+    none = F.struct(F.lit(0).alias("w"), F.array().cast("array<bigint>").alias("h"))
+    longer = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(
+        F.struct((a["w"] + x["w"]).alias("w"), F.concat(a["h"], F.array(x["h"])).alias("h")))
+    return F.aggregate(span, none, longer, lambda a: F.when(a["w"] >= min_words, a["h"]))
+
+
+def shortest_runs(lines: str, min_words: int) -> Column:
+    """``lo, hi, h`` of the runs that blocks are made of: each line of ``min_words`` words alone,
+    and from each shorter line the shortest run on and the shortest run back. A line of a block
+    always lies in one of them that is inside the block."""
+    def runs(x, n):
+        on = _run(F.slice(lines, n + 1, min_words), min_words)
+        back = _run(F.reverse(F.slice(lines, F.greatest(n + 2 - min_words, F.lit(1)), F.least(n + 1, F.lit(min_words)))), min_words)
+        one = F.struct(n.alias("lo"), n.alias("hi"), x["h"].alias("h"))
+        pair = F.array(F.struct(n.alias("lo"), (n + F.size(on) - 1).alias("hi"), F.xxhash64(on).alias("h"), on.isNotNull().alias("full")),
+                       F.struct((n + 1 - F.size(back)).alias("lo"), n.alias("hi"), F.xxhash64(F.reverse(back)).alias("h"), back.isNotNull().alias("full")))
+        both = F.transform(F.filter(pair, lambda r: r["full"]), lambda r: F.struct(r["lo"], r["hi"], r["h"]))
+        return F.when(x["w"] >= min_words, F.array(one)).otherwise(both)
+
+    return F.flatten(F.transform(lines, runs))
+
+
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc (doc_id, version), gone``: the numbers of the filled lines that go from a document."""
     doc = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"))
-    hashed = F.transform(filled_lines("text"), lambda x, n: F.struct(
-        n.alias("n"), F.xxhash64(x).alias("h"), F.size(F.split(x, _BLANKS)).alias("w")))
-    lines = docs.filter("doc_id is not null and text is not null").select(doc.alias("doc"), F.explode(hashed).alias("line"))
-    lines = lines.select("doc", "line.n", "line.h", "line.w")
-    spread = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc.doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
-    spread = spread.filter("last > first.doc_id").select("h", "first", "rows")
-    shared = stored(lines.join(spread, "h"), "lines")
-    often = shared.filter(F.col("rows") > rare).filter("doc.doc_id > first.doc_id").select(F.col("doc").alias("later"), F.col("first").alias("earlier"))
-    seldom = shared.filter(F.col("rows") <= rare).select("h", "doc").distinct()
-    others = seldom.select("h", F.col("doc").alias("earlier"))
-    seldom = seldom.join(others, "h").filter("doc.doc_id > earlier.doc_id").select(F.col("doc").alias("later"), "earlier")
-    pairs = often.unionByName(seldom).distinct()
-    whole = shared.groupBy("doc").agg(F.collect_list(F.struct("n", "h", "w")).alias("lines"))
-    both = (pairs.join(whole.select(F.col("doc").alias("later"), F.col("lines").alias("l_lines")), "later")
-            .join(whole.select(F.col("doc").alias("earlier"), F.col("lines").alias("e_lines")), "earlier")
-            .select("later", "l_lines", "e_lines"))
-    found = both.mapInArrow(lambda batches: _align(batches, min_words), "doc struct<doc_id: bigint, version: bigint>, gone array<int>")
-    return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, rare: int = RARE_DOCS, min_words: int = MIN_WORDS) -> DataFrame:
+    hashed = F.transform(filled_lines("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, _BLANKS)).alias("w")))
+    lines = docs.filter("doc_id is not null and text is not null").select(doc.alias("doc"), hashed.alias("lines"))
+    runs = lines.select("doc", F.explode(shortest_runs("lines", min_words)).alias("run")).select("doc", "run.*")
+    spread = runs.groupBy("h").agg(F.min("doc.doc_id").alias("first"), F.max("doc.doc_id").alias("last"))
+    again = runs.join(spread.filter("last > first").select("h", "first"), "h").filter("doc.doc_id > first")
+    return again.select("doc", F.explode(F.sequence("lo", "hi")).alias("n")).groupBy("doc").agg(F.collect_set("n").alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` freed of repeated blocks, and ``lines_removed``.
 
-    Lines are compared without the blanks around them; empty lines do not count. A line of at
-    most ``rare`` rows brings together every later document with every earlier one that holds
-    it; a more frequent line brings each later document together with the first one, so no line
-    is too frequent to be treated and pairs grow with the lines only. Every pair is aligned; a
-    common block of ``min_words`` words or more goes from the document with the larger id. The
-    first document that holds a line always keeps it.
+    Lines are compared without the blanks around them; empty lines do not count. A block of
+    ``min_words`` words or more that a document with a smaller id holds goes, each time it
+    stands in a document and in any order; no line is too frequent or too rare to be treated,
+    and the work grows with the lines only. The first document that holds a block keeps it.
 
     Unchanged texts stay as they are; a changed text is its remaining filled lines, perhaps
     none. Null texts and rows with a null id stay unchanged. Rows of one id are never compared
     with each other, and repeated rows are treated alike. An empty table gives an empty result.
     Further columns are carried along; ``lines_removed`` replaces a column of that name.
     """
-    gone = stored(removed_lines(docs, rare, min_words), "gone").select(
+    gone = stored(removed_lines(docs, min_words), "gone").select(
         F.col("doc.doc_id").alias("_id"), F.col("doc.version").alias("_version"), F.col("gone").alias("_gone"))
     plain = docs.drop("lines_removed", "_id", "_version", "_gone")
     match = (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
