@@ -16,7 +16,6 @@ WINDOW = 8
 STRIDE = 4
 COVER = 0.5
 ENOUGH_WORDS = 40
-COMMON_ITEMS = 10
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 
 # Words that count as a unit right after a number.
@@ -65,16 +64,16 @@ def _canonical(df: DataFrame, key: Column, text: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE,
-                 cover: float = COVER, enough: int = ENOUGH_WORDS, common: int = COMMON_ITEMS) -> DataFrame:
+                 cover: float = COVER, enough: int = ENOUGH_WORDS) -> DataFrame:
     """``doc_id, contaminated, item_id, covered_words, windows, slots`` for every row of ``docs``.
 
     Documents give a template window at every ``stride``-th word, items one at every word; so a
     common passage of ``window + stride - 1`` words cannot pass unseen. Items shorter than that
     are met by one window of their own length (at most ``window``) at every word. Windows with
-    fewer than half their words outside slots, and windows that stand in more than ``common``
-    different items (boilerplate of the benchmark), are no evidence. The windows of one document
-    and item with the same distance form an alignment; it counts when its slot values map one
-    to one. An item is leaked when the words covered reach ``cover`` of it, or ``enough`` words;
+    fewer than half their words outside slots are no evidence. A window counts for every item it
+    stands in, however many they are; only documents that hold it are set against those items.
+    The windows of one document and item with the same distance form an alignment; it counts
+    when its slot values map one to one. An item is leaked when the words covered reach ``cover`` of it, or ``enough`` words;
     ``item_id`` is the leaked item with the most words covered (ties: the least id), null for
     clean documents.
 
@@ -95,8 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
         full = F.aggregate(F.transform(F.coalesce("slots", F.array()), lambda x: F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT).cast("int")),
                            F.lit(0), lambda a, x: a + x)
         own = own.filter(F.lit(2) * (F.lit(width) - full) >= width)
-        boilerplate = own.groupBy("h").agg(F.countDistinct("item_id").alias("n")).filter(F.col("n") > common)
-        own = own.join(boilerplate, "h", "left_anti").withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).drop("width")
+        own = own.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).drop("width")
         own = small_side(own)
         met = _windows(rows, width, stride if kind == "long" else 1, ["_key"]).join(own, "h").select(
             F.col("_key").alias("doc_id"), "item_id", "words", "width", (F.col("at") - F.col("item_at")).alias("shift"),

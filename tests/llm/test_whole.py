@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from sluice.llm.decontaminate import contaminated
 from sluice.llm.line_dedup import dedup_lines
 
 
@@ -35,3 +36,18 @@ def test_crossed_and_repeated_frequent_lines_go(spark):
     docs = [(i, f"{a}\nown {i}\n{b}") for i in range(12)] + [(20, f"{b}\n{a}\n{b}\n{a}\nlast one")]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got[20] == "last one" and got[0] == docs[0][1] and got[11] == "own 11"
+
+
+ITEM = "A baker sells {} loaves for {} dollars each, and Anna buys {} of the loaves with her friend Peter before noon."
+
+
+def leaks(spark, docs, items):
+    got = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    return {r["doc_id"]: r for r in got.collect()}
+
+
+def test_a_template_of_many_items_is_found(spark):
+    for n in (10, 11, 30):
+        items = [(i, ITEM.format(i + 20, i + 3, i + 50)) for i in range(n)]
+        got = leaks(spark, [(1, "Some text before. " + items[4][1]), (2, ITEM.format(900, 800, 700)), (3, "A quiet evening by the lake with no loaves to be sold.")], items)
+        assert [got[i]["contaminated"] for i in (1, 2, 3)] == [True, True, False]
