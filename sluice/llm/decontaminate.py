@@ -42,17 +42,25 @@ def template(words: Column) -> Column:
     return F.regexp_replace(words, "([\x01-\x03])[^ ]+", "$1")
 
 
-def _window(at: Column, width: int) -> Column:
-    """Hash of the template words from ``at`` on and, where there are slots, the real words."""
-    cut = F.slice("_template", at + 1, F.lit(width))
-    slots = F.when(F.col("_slots") & F.arrays_overlap(cut, F.array(*map(F.lit, (NAME, NUMBER, UNIT)))),
-                   F.slice("_words", at + 1, F.lit(width)))
-    return F.struct(F.xxhash64(F.lit(width), cut).alias("h"), at.alias("at"), slots.alias("slots"))
+def _slots(at: Column, width: int) -> Column:
+    """``at`` and how many of the words from there on are slots; no other word comes before them in order."""
+    cut = F.filter(F.slice("_template", at + 1, F.lit(width)), lambda x: x <= UNIT)
+    return F.struct(at.alias("at"), F.when(F.col("_slots"), F.size(cut)).otherwise(0).alias("full"))
+
+
+def _window(start: Column, width: int) -> Column:
+    """Hash of the template words from a start on (of the real words, where most are slots) and,
+    where there are slots, the real words."""
+    at, full = start["at"], start["full"]
+    real = F.slice("_words", at + 1, F.lit(width))
+    h = F.when(2 * full > width, F.xxhash64(F.lit(width), real)).otherwise(
+        F.xxhash64(F.lit(width), F.slice("_template", at + 1, F.lit(width))))
+    return F.struct(h.alias("h"), at.alias("at"), F.when(full > 0, real).alias("slots"))
 
 
 def _windows(rows: DataFrame, width: int, stride: int, keep: list[str]) -> DataFrame:
     starts = F.when(F.col("_n") >= width, F.sequence(F.lit(0), F.col("_n") - width, F.lit(stride)))
-    return rows.select(*keep, F.explode(F.transform(starts, lambda at: _window(at, width))).alias("w")).select(
+    return rows.select(*keep, F.explode(F.transform(F.transform(starts, lambda at: _slots(at, width)), lambda x: _window(x, width))).alias("w")).select(
         *keep, F.lit(width).alias("width"), "w.h", "w.at", "w.slots")
 
 
@@ -70,7 +78,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     Documents give a template window at every ``stride``-th word, items one at every word; so a
     common passage of ``window + stride - 1`` words cannot pass unseen. Items shorter than that
     are met by one window of their own length (at most ``window``) at every word. Windows with
-    fewer than half their words outside slots are no evidence. A window counts for every item it
+    fewer than half their words outside slots are met by their literal words, marks and values
+    alike, so dense items are found as copies. A window counts for every item it
     stands in, however many they are; only documents that hold it are set against those items.
     The windows of one document and item with the same distance form an alignment; it counts
     when its slot values map one to one. An item is leaked when the words covered reach ``cover`` of it, or ``enough`` words;
@@ -91,9 +100,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     found = None
     for kind, width, which in spans:
         own = _windows(items.filter(which), width, 1, ["item_id", "_n"]).withColumnRenamed("_n", "words")
-        full = F.aggregate(F.transform(F.coalesce("slots", F.array()), lambda x: F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT).cast("int")),
-                           F.lit(0), lambda a, x: a + x)
-        own = own.filter(F.lit(2) * (F.lit(width) - full) >= width)
         own = own.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}).drop("width")
         own = small_side(own)
         met = _windows(rows, width, stride if kind == "long" else 1, ["_key"]).join(own, "h").select(

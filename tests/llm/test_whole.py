@@ -51,3 +51,12 @@ def test_a_template_of_many_items_is_found(spark):
         items = [(i, ITEM.format(i + 20, i + 3, i + 50)) for i in range(n)]
         got = leaks(spark, [(1, "Some text before. " + items[4][1]), (2, ITEM.format(900, 800, 700)), (3, "A quiet evening by the lake with no loaves to be sold.")], items)
         assert [got[i]["contaminated"] for i in (1, 2, 3)] == [True, True, False]
+
+
+def test_dense_items_are_found_as_copies(spark):
+    sums = "What is 12 + 7 * 3 - 5 / 2?"
+    table = "Rows of the table: 3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79 50 28 84 19 71"
+    docs = [(1, "Now think hard. " + sums), (2, "Then comes " + table + " and no more."), (3, "What is 13 + 8 * 4 - 6 / 9?"),
+            (4, "Rows of the table: 1 2 4 8 16 32 64 28 56 12 24 48 96 92 84 68 36 72 44 88 76")]
+    got = leaks(spark, docs, [(1, sums), (2, table)])
+    assert {i: r["item_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: None, 4: None}
