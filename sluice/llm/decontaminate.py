@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question asked again with other
 values still has the same template. Windows of the templates are hash-joined; along each
-alignment of a document with an item the values in the slots must map one to one.
+alignment of a document with an item, windows whose slots break the map of values do not count.
 """
 
 from __future__ import annotations
@@ -71,6 +71,28 @@ def _canonical(df: DataFrame, key: Column, text: str) -> DataFrame:
     return out.withColumn("_n", F.when(F.col("_empty"), 0).otherwise(F.size("_template")))
 
 
+def _agreeing(runs: DataFrame) -> DataFrame:
+    """``windows`` and ``slots`` (item values) of the windows in ``all`` whose slots agree with the
+    alignment's map: for every item value its most frequent document value (ties: the least)."""
+    plain = lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc"))
+
+    def value(v):
+        seen = F.transform(F.filter("_pairs", lambda p: p["item"] == v), lambda p: p["doc"])
+        ranked = F.transform(F.array_distinct(seen), lambda d: F.struct((-F.size(F.filter(seen, lambda x: x == d))).alias("n"), d.alias("doc")))
+        return F.struct(v.alias("item"), F.array_min(ranked)["doc"].alias("doc"))
+
+    out = runs.withColumn("_pairs", F.array_distinct(F.flatten(F.transform("all", lambda w: w["pairs"]))))
+    out = out.withColumn("_kinds", F.array_distinct(F.transform("_pairs", plain))).withColumn(
+        "_values", F.array_distinct(F.transform("_pairs", lambda p: p["item"])))
+    single = F.size("_kinds") == F.size("_values")
+    out = out.withColumn("_map", F.when(single, F.col("_kinds")).otherwise(F.transform("_values", value)))
+    held = F.filter("all", lambda w: F.forall(w["pairs"], lambda p: F.array_contains("_map", plain(p))))
+    out = out.withColumn("_held", F.when(single, F.col("all")).otherwise(held))
+    items = F.flatten(F.transform("_held", lambda w: F.transform(w["pairs"], lambda p: p["item"])))
+    return out.withColumn("windows", F.size(F.array_distinct(F.transform("_held", lambda w: w["at"])))).withColumn(
+        "slots", F.size(F.array_distinct(items))).drop("all", "_pairs", "_kinds", "_values", "_map", "_held")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE,
                  cover: float = COVER, enough: int = ENOUGH_WORDS) -> DataFrame:
     """``doc_id, contaminated, item_id, covered_words, windows, slots`` for every row of ``docs``.
@@ -81,8 +103,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     fewer than half their words outside slots are met by their literal words, marks and values
     alike, so dense items are found as copies. A window counts for every item it
     stands in, however many they are; only documents that hold it are set against those items.
-    The windows of one document and item with the same distance form an alignment; it counts
-    when its slot values map one to one. An item is leaked when the words covered reach ``cover`` of it, or ``enough`` words;
+    The windows of one document and item with the same distance form an alignment. In it every
+    item value has one document value (the most frequent; several item values may share one);
+    a window with a slot of another value is not covered, the others of the alignment are. An item is leaked when the words covered reach ``cover`` of it, or ``enough`` words;
     ``item_id`` is the leaked item with the most words covered (ties: the least id), null for
     clean documents.
 
@@ -107,14 +130,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
             "at", "slots", "item_slots", F.lit(stride if kind == "long" else width).alias("step"))
         found = met if found is None else found.unionByName(met)
     pairs = F.filter(
-        F.zip_with("item_slots", "slots", lambda x, y: F.struct(x.alias("item"), y.alias("doc"))),
+        F.transform("item_slots", lambda x, i: F.struct((F.col("at") + i).alias("place"), x.alias("item"), F.get("slots", i).alias("doc"))),
         lambda p: F.substring(p["item"], 1, 1).isin(NAME, NUMBER, UNIT))
     runs = found.withColumn("pairs", F.coalesce(pairs, F.expr("array()"))).groupBy("doc_id", "item_id", "words", "width", "step", "shift").agg(
-        F.countDistinct("at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.item"))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.col("pairs.doc"))) == F.size("pairs"))
-    sums = runs.filter(one_to_one).groupBy("doc_id", "item_id", "words").agg(
-        F.sum("windows").alias("windows"), F.max(F.size("pairs")).alias("slots"),
+        F.collect_set(F.struct("at", "pairs")).alias("all"))
+    runs = _agreeing(runs).filter("windows > 0")
+    sums = runs.groupBy("doc_id", "item_id", "words").agg(
+        F.sum("windows").alias("windows"), F.max("slots").alias("slots"),
         F.sum(F.col("windows") * F.col("step") + F.col("width") - F.col("step")).alias("covered"))
     sums = sums.withColumn("covered_words", F.least("covered", F.col("words").cast("bigint")))
     leaks = sums.filter((F.col("covered_words") >= F.lit(cover) * F.col("words")) | (F.col("covered_words") >= enough))

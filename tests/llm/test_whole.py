@@ -60,3 +60,18 @@ def test_dense_items_are_found_as_copies(spark):
             (4, "Rows of the table: 1 2 4 8 16 32 64 28 56 12 24 48 96 92 84 68 36 72 44 88 76")]
     got = leaks(spark, docs, [(1, sums), (2, table)])
     assert {i: r["item_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: None, 4: None}
+
+
+def test_slots_that_disagree_count_against_the_cover_only(spark):
+    passage = " ".join(f"then worker number 7 of crew {chr(97 + k) * 3} carried the heavy grey stone over bridge {chr(97 + k) * 4} at dawn" for k in range(6)) + "."
+    last = passage.rindex("7")
+    docs = [(1, ITEM.format(5, 3, 5)), (2, passage[:last] + "8" + passage[last + 1:]), (3, passage)]
+    got = leaks(spark, docs, [(1, ITEM.format(12, 3, 5)), (2, passage)])
+    assert {i: r["item_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: 2}
+    assert got[2]["windows"] < got[3]["windows"]
+
+
+def test_values_without_any_agreement_are_no_leak(spark):
+    item = "Add 4 to 4 then 4 to 4 then 4 to 4 then 4 to 4"
+    got = leaks(spark, [(1, "Add 1 to 2 then 3 to 5 then 6 to 7 then 8 to 9"), (2, item.replace("4", "6"))], [(1, item)])
+    assert [got[i]["contaminated"] for i in (1, 2)] == [False, True]
