@@ -149,7 +149,8 @@ def drop_then_rise(df: DataFrame, keys: Sequence[str], a: str, b: str, ts: str =
     marked = over_series(rows, keys, order, drops, before=1, max_rows=max_rows, block_rows=block_rows)
     high = F.coalesce(F.col(b) > th.rise_above, F.lit(False))
     series = F.xxhash64(*names, *[F.col(k).isNull() for k in names]) if names else F.lit(0).cast("bigint")
-    slim = marked.filter(F.col("_drop") | high).select(
+    # Without a time a reading is neither followed up nor a follow-up.
+    slim = marked.filter((F.col("_drop") | high) & F.col(ts).isNotNull()).select(
         *names, ts, F.col(tie).alias("_tie"), _micros(ts).alias("_at"), F.col(a).alias("_now"), "_before",
         F.col(b).alias("_b"), "_drop", series.alias("_series"), F.lit(False).alias("_visit"))
     fields = {f.name: f.dataType for f in df.schema.fields}

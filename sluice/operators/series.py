@@ -231,7 +231,8 @@ def group_quantiles(
 
 def time_blocks(df: DataFrame, ts: str, block_seconds: int, back_seconds: int = 0, ahead_seconds: int = 0) -> DataFrame:
     """Rows keyed by ``_block`` (fixed stretch of time) with ``_own``; copies of the rows
-    up to ``back_seconds`` before a block and ``ahead_seconds`` after it ride along.
+    up to ``back_seconds`` before a block and ``ahead_seconds`` after it ride along. Rows
+    without a time have the null block to themselves.
 
     Splits one long series over many tasks without any count.
     """
@@ -241,6 +242,6 @@ def time_blocks(df: DataFrame, ts: str, block_seconds: int, back_seconds: int =
     first = F.floor((at - ahead_seconds * 1_000_000) / width)
     last = F.floor((at + back_seconds * 1_000_000) / width)
     return (
-        df.withColumn("_block", F.explode(F.sequence(first, last)))
-        .withColumn("_own", F.col("_block") == home)
+        df.withColumn("_block", F.explode_outer(F.sequence(first, last)))
+        .withColumn("_own", F.col("_block").eqNullSafe(home))
     )

@@ -127,7 +127,8 @@ def time_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], train:
 
 def moving_aggregate(df: DataFrame, keys: Sequence[str], seconds: int, ts: str = "ts", value: str = "value",
                      out: str = "rolling_mean", block_seconds: int | None = None) -> DataFrame:
-    """Mean over the last ``seconds`` of each series, both ends included.
+    """Mean over the last ``seconds`` of each series, both ends included; null for a row
+    without a time.
 
     Series are cut into stretches of time, so a long one is spread over many tasks. Within a
     stretch the mean is the difference of two running sums: each row is met again by a
@@ -152,7 +153,7 @@ def moving_aggregate(df: DataFrame, keys: Sequence[str], seconds: int, ts: str =
     paired = Window.partitionBy("_block", *keys, "_own", "_n")
     before = summed.withColumn("_n", F.row_number().over(nth)).withColumn(
         "_b", F.max(F.when(F.col("_m"), F.struct("_s", "_c"))).over(paired))
-    mean = F.try_divide(F.col("_s") - F.col("_b._s"), F.col("_c") - F.col("_b._c"))
+    mean = F.when(F.col("_k").isNotNull(), F.try_divide(F.col("_s") - F.col("_b._s"), F.col("_c") - F.col("_b._c")))
     return before.filter("_own AND NOT _m").select(*df.columns, mean.alias(out))
 
 

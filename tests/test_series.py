@@ -152,3 +152,10 @@ def test_a_null_key_is_a_series_too(spark):
         plain = sorted(map(str, fn().collect()))
         split = sorted(map(str, fn(max_rows=5).collect()))
         assert plain == split and plain
+
+
+def test_moving_aggregate_keeps_rows_without_a_time(spark):
+    rows = [(1, "a", "2024-01-01 00:00:00", 1.0), (2, "a", None, 9.0), (3, "a", "2024-01-01 00:00:10", 3.0), (4, "a", None, 7.0), (5, "b", None, None)]
+    df = spark.createDataFrame(rows, "id int, entity string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["id"]: r["rolling_mean"] for r in W.moving_aggregate(df, ["entity"], 30).collect()}
+    assert got == {1: 1.0, 2: None, 3: 2.0, 4: None, 5: None}
