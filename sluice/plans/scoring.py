@@ -343,11 +343,11 @@ def surrogate_dataset(spark, sf_dir):
 
 @query("K2", "surrogate_fit")
 def surrogate_fit(spark, sf_dir):
-    """Held-out error of both tree surrogates (fewer trees than the default of 200)."""
+    """Held-out error of both tree surrogates, with the operator's trees and depth."""
     data = stored_surrogate(spark, sf_dir)
     rows = []
-    for kind, trees in (("forest", 20), ("boosted", 10)):
-        _, quality = X.surrogate_fit(data, COLUMNS, IDS, kind=kind, trees=trees, depth=6)
+    for kind in ("forest", "boosted"):
+        _, quality = X.surrogate_fit(data, COLUMNS, IDS, kind=kind)
         rows.append((kind, quality["rmse"], quality["r2"]))
     return spark.createDataFrame(rows, "kind string, rmse double, r2 double")
 
@@ -382,11 +382,10 @@ def attribution(spark, sf_dir):
 
 @query("K4", "forest_attribution")
 def forest_attribution(spark, sf_dir):
-    """Sampled contributions of a forest for the newest row of every entity."""
+    """Sampled contributions of a forest for every row."""
     data = stored_surrogate(spark, sf_dir)
-    model, _ = X.surrogate_fit(data, COLUMNS, IDS, trees=20, depth=6)
-    newest = Q.tail_sequence(data, ENTITY, WIDE_ORDER, 1)
-    return rounded(X.forest_attribution(model, newest, data, IDS, COLUMNS))
+    model, _ = X.surrogate_fit(data, COLUMNS, IDS)
+    return rounded(X.forest_attribution(model, data, data, IDS, COLUMNS))
 
 
 # Contributions of all four features, with weights the SQL side can state: 1 / 2 / 3 / 4.

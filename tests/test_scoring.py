@@ -136,3 +136,25 @@ def test_parameter_store_takes_the_newest(spark, tmp_path):
     for v in (1, 12, 3):
         store.save(spark.createDataFrame([(v,)], "v int"), v)
     assert store.latest_version() == 12 and store.latest().first()["v"] == 12
+
+
+def test_surrogate_queries_do_the_operators_whole_job(spark, data_dir, monkeypatch):
+    from sluice.plans import scoring
+
+    fits, explained = [], []
+
+    def fit(data, columns, ids, **options):
+        fits.append(options)
+        return None, {"rmse": 0.0, "r2": 0.0}
+
+    def explain(model, rows, *others, **options):
+        explained.append(rows.count())
+        return rows.withColumn("phi", F.lit(0.0))
+
+    monkeypatch.setattr(scoring.X, "surrogate_fit", fit)
+    monkeypatch.setattr(scoring.X, "forest_attribution", explain)
+    scoring.surrogate_fit(spark, data_dir)
+    scoring.forest_attribution(spark, data_dir)
+    assert [x.get("kind", "forest") for x in fits] == ["forest", "boosted", "forest"]
+    assert not any({"trees", "depth"} & set(x) for x in fits)
+    assert explained == [scoring.surrogate(spark, data_dir).count()]
