@@ -154,3 +154,60 @@ def op4(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return personal_data(docs, fit(docs))
+
+
+def _node(runs: str) -> str:
+    return f"list_transform(range(0, (len({runs}) + 7) // 8), lambda i: sha256(array_to_string({runs}[8 * i + 1 : 8 * i + 8], '')))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+_CRC_STEP = "xor(c >> 1, 3988292384 * (c & 1))"
+_CRC = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+        "lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda c, _i: " + _CRC_STEP + ")))")
+
+MERKLE_SQL = f"""WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head, text,
+    {_CRC} % 3 = 0 AS changed FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || {_field('text')}) AS leaf,
+    CASE WHEN changed THEN sha256(head || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS found
+  FROM leaves),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx FROM hashed),
+low(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY idx) FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_node('nodes')} FROM low WHERE len(nodes) > 1),
+sub AS (SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE len(nodes) = 1),
+high(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM sub
+  UNION ALL SELECT level + 1, {_node('nodes')} FROM high WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.doc_id, p.lang, p.leaf, p.found, s.subroot, l.level, l.nodes, (p.idx // (8 ** l.level)::BIGINT)::BIGINT AS spot
+  FROM placed p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang JOIN low l ON p.lang IS NOT DISTINCT FROM l.lang WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf, p.found, s.subroot, s.height + h.level, h.nodes, (s.place // (8 ** h.level)::BIGINT)::BIGINT
+  FROM placed p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN high h WHERE len(h.nodes) > 1),
+sides AS (
+  SELECT doc_id, lang, leaf, found, subroot, level,
+    array_to_string(nodes[(spot // 8) * 8 + 1 : spot], '') AS before, array_to_string(nodes[spot + 2 : (spot // 8) * 8 + 8], '') AS after
+  FROM steps),
+ways AS (
+  SELECT p.doc_id, p.lang, p.leaf, any_value(s.subroot) AS subroot, coalesce(p.found, p.leaf) AS start,
+    coalesce(string_agg(d.before || d.after, '' ORDER BY d.level), '') AS proof,
+    coalesce(list([d.before, d.after] ORDER BY d.level) FILTER (d.level IS NOT NULL), []) AS way
+  FROM placed p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN sides d ON d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.leaf = p.leaf GROUP BY p.doc_id, p.lang, p.leaf, p.found),
+folded AS (
+  SELECT *, list_reduce(list_prepend([start], way), lambda a, s: [sha256(s[1] || a[1] || s[2])])[1] AS folded_root FROM ways)
+SELECT doc_id, lang, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, sha256(proof) AS proof_sha256, folded_root,
+  folded_root = (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS verified FROM folded"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    """The manifest's proof of every document, checked against a copy with changed rows."""
+    from sluice.llm.merkle import manifest_proofs
+
+    return manifest_proofs(table(spark, sf_dir, "documents"))
