@@ -211,3 +211,21 @@ def op13(spark, sf_dir):
     from sluice.llm.merkle import manifest_proofs
 
     return manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies: below ``spark.sluice.tokenizers`` if the session names it, else in the installed package."""
+    named = SparkSession.getActiveSession().conf.get("spark.sluice.tokenizers", None)
+    if named:
+        return f"{named.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    """Byte-level against piece tokens of every document."""
+    from sluice.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
