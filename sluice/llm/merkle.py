@@ -169,13 +169,14 @@ def manifest_proofs(docs: DataFrame, tampered: Column | None = None) -> DataFram
 
     below = grow(rows.select("tree", "idx", F.col("leaf").alias("digest")))
     subroots = stored(below.roots, "subroots")
-    above = grow(subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), "digest"))
+    # Stored, so that the planner cannot fold the one tree's number and join without a key.
+    asked_groups = stored(subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), "digest"), "top-leaves")
+    above = grow(asked_groups)
     roots = above.roots.withColumn("path", F.expr(f"cast(array() as {PATH})"))
     top = above.roots.first()  # the top tree has one root, none if there are no rows
     root = F.lit(top["digest"] if top else None).cast("string")
 
-    asked_groups = subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"))
-    entry = descend(above, roots, asked_groups, 0).select(F.col("idx").alias("tree"), "digest", "path")
+    entry = descend(above, roots, asked_groups.select("tree", "idx"), 0).select(F.col("idx").alias("tree"), "digest", "path")
     starts = stored(entry.join(subroots.select("tree", "height"), "tree"), "entries")
 
     # The last step takes all asked leaves of a lowest node together, so a path travels once for them.

@@ -229,3 +229,11 @@ def op11(spark, sf_dir):
     from sluice.llm.token_alignment import align_tokens
 
     return align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op12_chunk_bpe")
+def op12(spark, sf_dir):
+    """Every document encoded and decoded again."""
+    from sluice.llm.chunk_bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
