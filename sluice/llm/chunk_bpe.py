@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+import os
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ LEAST_CHUNK, LEAST_CORE = 64, 32
 #: only one place holds; they are then encoded once as well, in another task.
 FILTER_BITS = 1 << 26
 BATCH_BYTES = 1 << 20
+#: Words a worker keeps with their ids; beyond it starts anew.
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 PARTS = "array<struct<pos:int,ids:binary,core:binary>>"
 ROWS = f"doc_id bigint, text_key binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, parts {PARTS}"
@@ -126,6 +130,7 @@ class Codec:
     """The library's tokenizer; ids as the shortest unsigned integers that hold the vocabulary."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -136,10 +141,25 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.plain_join = json.loads(self.library.to_str())["decoder"] is None
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
+        if any(self._ask([" ", "\n", " \n "])):
+            raise ValueError("blanks are tokens: this vocabulary cannot be cut at blanks")
+        self.memo: dict[str, list[int]] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of every text. Blanks are no tokens and end every token, so a worker asks the library
+        once for the short words it meets again."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        unknown = list({w for found in words for w in found if w not in self.memo})
+        ids = dict(zip(unknown, self._ask(unknown)))
+        self.memo.update((w, i) for w, i in ids.items() if len(w) <= MEMO_CHARS)
+        known = ChainMap(ids, self.memo) if any(len(w) > MEMO_CHARS for w in unknown) else self.memo
+        return [list(chain.from_iterable(map(known.__getitem__, found))) for found in words]
+
     def decode(self, ids: list[int]) -> str:
         if self.plain_join:  # without a decoder the library joins the tokens by blanks
             return " ".join([self.tokens[i] for i in ids])
@@ -163,10 +183,10 @@ def codec(path: str) -> Codec:
 
 def _words_in(part: str, n: int, last: bool) -> str:
     """The first or last ``n`` words of a core with the blanks around them."""
-    pieces = part.split(" ")
+    pieces = part.rsplit(" ", n + 1) if last else part.split(" ", n + 1)
     if len(pieces) <= n + 1:
         return part
-    return " " + " ".join(pieces[-n - 1:]) if last else " ".join(pieces[:n + 1]) + " "
+    return " " + " ".join(pieces[1:]) if last else " ".join(pieces[:-1]) + " "
 
 
 def repaired(codec: Codec, before: str, between: str, after: str, words: int = 1) -> list[int]:
