@@ -12,10 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ LEAST_CHUNK, LEAST_CORE = 64, 32
 FILTER_BITS = 1 << 26
 BATCH_BYTES = 1 << 20
 #: Words a worker keeps with their ids; beyond it starts anew.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 600_000, 64
 
 PARTS = "array<struct<pos:int,ids:binary,core:binary>>"
 ROWS = f"doc_id bigint, text_key binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string, parts {PARTS}"
@@ -137,19 +137,19 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.kind = "H" if size <= 1 << 16 else "I"
         self.decimal = [str(i) for i in range(size)]
         self.plain_join = json.loads(self.library.to_str())["decoder"] is None
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
         if any(self._ask([" ", "\n", " \n "])):
             raise ValueError("blanks are tokens: this vocabulary cannot be cut at blanks")
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def _ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of every text. Blanks are no tokens and end every token, so a worker asks the library
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text. Blanks are no tokens and end every token, so a worker asks the library
         once for the short words it meets again."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
@@ -158,21 +158,17 @@ class Codec:
         ids = dict(zip(unknown, self._ask(unknown)))
         self.memo.update((w, i) for w, i in ids.items() if len(w) <= MEMO_CHARS)
         known = ChainMap(ids, self.memo) if any(len(w) > MEMO_CHARS for w in unknown) else self.memo
-        return [list(chain.from_iterable(map(known.__getitem__, found))) for found in words]
+        return [b"".join(map(known.__getitem__, found)) for found in words]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: array) -> str:
         if self.plain_join:  # without a decoder the library joins the tokens by blanks
-            return " ".join([self.tokens[i] for i in ids])
-        return self.library.decode(ids, skip_special_tokens=False)
+            return " ".join(map(self.tokens.__getitem__, ids))
+        return self.library.decode(list(ids), skip_special_tokens=False)
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def unpack(self, data: bytes) -> list[int]:
-        return np.frombuffer(data, self.kind).tolist()
-
-    def digests(self, ids: list[int]) -> tuple[int, str, str]:
-        listed = " ".join([self.decimal[i] for i in ids])
+    def digests(self, packed: bytes) -> tuple[int, str, str]:
+        """Number of tokens, digest of their ids in decimal, digest of the decoded text."""
+        ids = array(self.kind, packed)
+        listed = " ".join(map(self.decimal.__getitem__, ids))
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
@@ -189,30 +185,38 @@ def _words_in(part: str, n: int, last: bool) -> str:
     return " " + " ".join(pieces[1:]) if last else " ".join(pieces[:-1]) + " "
 
 
-def repaired(codec: Codec, before: str, between: str, after: str, words: int = 1) -> list[int]:
-    """Ids of the text between two cores, with words of both beside it, until the tokens of those words stand
-    at its ends as they do alone. The whole cores are the last resort."""
+def _agreed(left: bytes, whole: bytes, right: bytes) -> bytes | None:
+    """What stands between the tokens of the outer words, if these are as they are alone."""
+    if len(whole) >= len(left) + len(right) and whole.startswith(left) and whole.endswith(right):
+        return whole[len(left):len(whole) - len(right)]
+    return None
+
+
+def repaired(codec: Codec, before: str, between: str, after: str, words: int = 1) -> bytes:
+    """Packed ids of the text between two cores, encoded with words of both beside it, until the tokens of those
+    words stand at its ends as they do alone. The whole cores are the last resort."""
     while True:
         left, right = _words_in(before, words, True), _words_in(after, words, False)
-        alone_l, alone_r, ids = codec.encode([left, right, left + between + right])
-        if ids[:len(alone_l)] == alone_l and ids[len(ids) - len(alone_r):] == alone_r and len(ids) >= len(alone_l) + len(alone_r):
-            return ids[len(alone_l):len(ids) - len(alone_r)]
+        alone_l, alone_r, whole = codec.encode([left, right, left + between + right])
+        found = _agreed(alone_l, whole, alone_r)
+        if found is not None:
+            return found
         if left == before and right == after:
             raise ValueError("tokens reach over a blank: this vocabulary cannot be cut at blanks")
         words *= 2
 
 
-def _between(codec: Codec, joints: list[tuple[str, str, str]]) -> list[list[int]]:
+def _between(codec: Codec, joints: list[tuple[str, str, str]]) -> list[bytes]:
     """``repaired`` for many joints; the first try of all is one call of the library."""
     tries = []
     for before, between, after in joints:
         left, right = _words_in(before, 1, True), _words_in(after, 1, False)
         tries += [left, right, left + between + right]
-    ids, out = codec.encode(tries), []
+    packed, out = codec.encode(tries), []
     for n, joint in enumerate(joints):
-        left, right, whole = ids[3 * n:3 * n + 3]
-        agreed = len(whole) >= len(left) + len(right) and whole[:len(left)] == left and whole[len(whole) - len(right):] == right
-        out.append(whole[len(left):len(whole) - len(right)] if agreed else repaired(codec, *joint, words=2))
+        left, right, whole = packed[3 * n:3 * n + 3]
+        found = _agreed(left, whole, right)
+        out.append(repaired(codec, *joint, words=2) if found is None else found)
     return out
 
 
@@ -262,7 +266,7 @@ def _encode_cores(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             ids = with_ids.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("core"), pa.array([with_ids.pack(i) for i in ids], pa.binary())], ["core", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("core"), pa.array(ids, pa.binary())], ["core", "ids"])
 
 
 def _recipes(batches: Iterator[pa.RecordBatch], path: str, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -295,7 +299,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], path: str, bits: np.ndarray) ->
         for row in out:
             for part in row.get("parts") or ():
                 if "joint" in part:
-                    part["ids"] = with_ids.pack(found[part.pop("joint")])
+                    part["ids"] = found[part.pop("joint")]
         if len(seen) >= 1 << 20:
             seen.clear()
         return pa.RecordBatch.from_pylist(out, schema)
@@ -314,7 +318,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], path: str, bits: np.ndarray) ->
 def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     with_ids = codec(path)
     for batch in batches:
-        out = [with_ids.digests(with_ids.unpack(b"".join(parts))) for parts in batch.column("parts").to_pylist()]
+        out = [with_ids.digests(b"".join(parts)) for parts in batch.column("parts").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("text_key"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()),
              pa.array([o[2] for o in out], pa.string())], ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"])
