@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import schema as S
 from sluice.functions.clean import zscore_normalise
 from sluice.operators.selection import TREE_MEMORY_MB, at_full_width
-from sluice.operators.series import small_side
+from sluice.operators.trees import tree_attribution  # noqa: F401 - belongs to the explanations
 from sluice.operators.windows import rolling_sum
-from sluice.sources.readers import sample_n
 
 
 def surrogate_part(rows: DataFrame, label: int, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
@@ -77,49 +75,21 @@ class LinearSurrogate:
 
 
 def linear_surrogate(df: DataFrame, columns: Sequence[str], target: str = "lstm_score") -> LinearSurrogate:
-    """Least squares by normal equations: one distributed pass."""
+    """Least squares by normal equations: one distributed pass over complete rows for all second moments. Columns
+    that others determine share the weight of the shortest solution."""
     columns = list(columns)
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0).fit(_assembled(df, columns))
-    row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    return LinearSurrogate(columns, [float(w) for w in model.coefficients], float(model.intercept), [row[c] for c in columns])
-
-
-def forest_attribution(model, rows: DataFrame, background: DataFrame, ids: Sequence[str], columns: Sequence[str],
-                       permutations: int = 16, background_rows: int = 200, seed: int = 42) -> DataFrame:
-    """Sampled permutation Shapley values of any fitted tree model.
-
-    Every (row, permutation) is paired with one row of a background sample of fixed size,
-    walks from it to the row feature by feature, and credits each change of the
-    prediction. Row and background meet in an equi join on the sample number; work grows
-    with rows x permutations x features.
-    """
-    columns, width = list(columns), len(columns)
-    rnd = random.Random(seed)
-    ranks = []
-    for _ in range(permutations):
-        order = list(range(width))
-        rnd.shuffle(order)
-        ranks.append([order.index(i) for i in range(width)])
-    walks = F.array(*[F.struct(F.lit(p).alias("p"), F.array(*[F.lit(r) for r in rank]).alias("rank"))
-                      for p, rank in enumerate(ranks)])
-    drawn = sample_n(background, background_rows, ids, seed)
-    pool = drawn.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("_b")).persist()
-    size = pool.count()
-    numbered = pool.select("_b", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_b")).alias("_slot"))
-    explained = rows.select(*ids, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"), F.explode(walks).alias("_w"))
-    slot = (F.pmod(F.xxhash64(*ids, F.col("_w.p"), F.lit(seed)), F.lit(size)) + 1).cast("int")
-    paired = explained.withColumn("_slot", slot).join(small_side(numbered), "_slot")
-    steps = paired.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(width))))
-    mixed = F.transform(F.col("_w.rank"), lambda r, i: F.when(r < F.col("_k"), F.get("_x", i)).otherwise(F.get("_b", i)))
-    scored = model.transform(steps.withColumn("features", array_to_vector(mixed)))
-    rank = F.col("_w.rank")
-    credit = F.filter(F.array(
-        F.struct((F.array_position(rank, F.col("_k") - 1)).alias("f"), F.col("prediction").alias("v")),
-        F.struct((F.array_position(rank, F.col("_k"))).alias("f"), (-F.col("prediction")).alias("v"))), lambda s: s["f"] > 0)
-    names = F.array(*[F.lit(c) for c in columns])
-    parts = scored.select(*ids, F.explode(credit).alias("_c"))
-    return parts.groupBy(*ids, F.element_at(names, F.col("_c.f").cast("int")).alias("feature")).agg(
-        (F.sum("_c.v") / permutations).alias("phi"))
+    complete = df.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in [*columns, target]))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = complete.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate([*columns, target])],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
+        *[F.covar_pop(c, target).alias(f"t{i}") for i, c in enumerate(columns)]).first()
+    if row["m0"] is None:
+        raise ValueError("no complete rows to fit a surrogate to")
+    means = [row[f"m{i}"] for i in range(len(columns))]
+    spread = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(columns))] for i in range(len(columns))])
+    weights = np.linalg.lstsq(spread, np.array([row[f"t{i}"] for i in range(len(columns))]), rcond=None)[0]
+    return LinearSurrogate(columns, [float(w) for w in weights], float(row[f"m{len(columns)}"] - np.dot(weights, means)), means)
 
 
 def mean_abs_importance(phi: DataFrame) -> DataFrame:

@@ -352,17 +352,37 @@ def surrogate_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, rmse double, r2 double")
 
 
-@query("K3", "linear_surrogate", sql=f"""
-WITH {SURROGATE} SELECT 'price' AS feature, round(regr_slope(lstm_score, price), 5) AS weight,
-  round(regr_intercept(lstm_score, price), 5) AS intercept FROM su""")
+def _solved(rows: str, target: str) -> str:
+    """SQL for the least squares of ``target`` on ``COLUMNS``: centred second moments, then elimination of one
+    column after another."""
+    names = [*COLUMNS, target]
+    n = len(COLUMNS)
+    means = ", ".join(f"avg({c}) AS mean_{i}" for i, c in enumerate(names))
+    cells = ", ".join(f"sum(({names[i]} - mean_{i}) * ({names[j]} - mean_{j})) AS a0_{i}_{j}" for i in range(n) for j in range(n + 1))
+    steps = [f"mm AS (SELECT {means} FROM {rows})", f"e0 AS (SELECT {cells} FROM {rows}, mm)"]
+    for k in range(n):
+        out = ", ".join((f"a{k}_{k}_{j} / a{k}_{k}_{k}" if i == k else f"a{k}_{i}_{j} - a{k}_{i}_{k} * a{k}_{k}_{j} / a{k}_{k}_{k}")
+                        + f" AS a{k + 1}_{i}_{j}" for i in range(n) for j in range(n + 1))
+        steps.append(f"e{k + 1} AS (SELECT {out} FROM e{k})")
+    weights = ", ".join(f"a{n}_{i}_{n} AS w_{i}" for i in range(n))
+    constant = f"mean_{n} - " + " - ".join(f"a{n}_{i}_{n} * mean_{i}" for i in range(n))
+    steps.append(f"fit AS (SELECT {weights}, {constant} AS intercept, {', '.join(f'mean_{i}' for i in range(n))} FROM e{n}, mm)")
+    return ", ".join(steps)
+
+
+FITTED = f"{SURROGATE}, {_solved('su', 'lstm_score')}"
+
+
+@query("K3", "linear_surrogate", sql=f"WITH {FITTED} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(w_{i}, 5) AS weight, round(intercept, 5) AS intercept FROM fit" for i, c in enumerate(COLUMNS)))
 def linear_surrogate(spark, sf_dir):
-    fit = X.linear_surrogate(stored_surrogate(spark, sf_dir), ["price"])
-    out = spark.createDataFrame([("price", fit.weights[0], fit.intercept)], "feature string, weight double, intercept double")
+    fit = X.linear_surrogate(stored_surrogate(spark, sf_dir), COLUMNS)
+    out = spark.createDataFrame([(c, w, fit.intercept) for c, w in zip(COLUMNS, fit.weights)], "feature string, weight double, intercept double")
     return rounded(out, 5)
 
 
-PHI = f"""{SURROGATE}, fit AS (SELECT regr_slope(lstm_score, price) AS w, avg(price) AS m FROM su),
-phi AS (SELECT {IDS_SQL}, label, 'price' AS feature, (price - m) * w AS phi FROM su, fit)"""
+PHI = f"{FITTED}, phi AS (" + " UNION ALL ".join(
+    f"SELECT {IDS_SQL}, label, '{c}' AS feature, ({c} - mean_{i}) * w_{i} AS phi FROM su, fit" for i, c in enumerate(COLUMNS)) + ")"
 
 
 def stored_surrogate(spark, sf_dir):
@@ -370,70 +390,57 @@ def stored_surrogate(spark, sf_dir):
     return cut_lineage(surrogate(spark, sf_dir))
 
 
-def attributed(spark, sf_dir, columns=("price",)):
+def attributed(spark, sf_dir):
+    """Contributions of all four columns by the weights fitted to the scores."""
     data = stored_surrogate(spark, sf_dir)
-    return X.linear_surrogate(data, list(columns)).attribution(data, [*IDS, "label"])
+    return X.linear_surrogate(data, COLUMNS).attribution(data, [*IDS, "label"])
 
 
-@query("K4", "attribution", sql=f"WITH {PHI} SELECT {IDS_SQL}, feature, round(phi, 5) AS phi FROM phi")
+@query("K4", "attribution", sql=f"WITH {PHI} SELECT {IDS_SQL}, feature, round(phi, 4) AS phi FROM phi")
 def attribution(spark, sf_dir):
-    return rounded(attributed(spark, sf_dir).select(*IDS, "feature", "phi"), 5)
+    return rounded(attributed(spark, sf_dir).select(*IDS, "feature", "phi"), 4)
 
 
 @query("K4", "forest_attribution")
 def forest_attribution(spark, sf_dir):
-    """Sampled contributions of a forest for every row."""
+    """Exact contributions along the paths of a forest, for every row."""
     data = stored_surrogate(spark, sf_dir)
     model, _ = X.surrogate_fit(data, COLUMNS, IDS)
-    return rounded(X.forest_attribution(model, data, data, IDS, COLUMNS))
-
-
-# Contributions of all four features, with weights the SQL side can state: 1 / 2 / 3 / 4.
-WEIGHTS = dict(zip(COLUMNS, (1.0, 2.0, 3.0, 4.0)))
-_STATED = " UNION ALL ".join(
-    f"SELECT {IDS_SQL}, label, '{c}' AS feature, round(({c} - (SELECT avg({c}) FROM su)) * {w}, 6) AS phi FROM su" for c, w in WEIGHTS.items())
-STATED = f"{SURROGATE}, phi AS ({_STATED})"
-
-
-def stated(spark, sf_dir):
-    data = stored_surrogate(spark, sf_dir)
-    means = data.agg(*[F.avg(c).alias(c) for c in COLUMNS]).first()
-    fit = X.LinearSurrogate(COLUMNS, list(WEIGHTS.values()), 0.0, [means[c] for c in COLUMNS])
-    return rounded(fit.attribution(data, [*IDS, "label"]))
+    return rounded(X.tree_attribution(model, data, IDS, COLUMNS))
 
 
 @query("K5", "mean_abs_importance", sql=f"""
-WITH {STATED}, i AS (SELECT feature, avg(abs(phi)) AS importance FROM phi GROUP BY feature)
+WITH {PHI}, i AS (SELECT feature, avg(abs(phi)) AS importance FROM phi GROUP BY feature)
 SELECT feature, round(importance, 5) AS importance, round(importance / (SELECT max(importance) FROM i), 5) AS normalised FROM i""")
 def mean_abs_importance(spark, sf_dir):
-    return rounded(X.mean_abs_importance(stated(spark, sf_dir)), 5)
+    return rounded(X.mean_abs_importance(attributed(spark, sf_dir)), 5)
 
 
-_LAST = f"""{STATED}, la AS (SELECT entity, feature, arg_max(phi, ({ORDER_SQL}, label)) AS phi FROM phi GROUP BY ALL),
+_LAST = f"""{PHI}, la AS (SELECT entity, feature, arg_max(phi, ({ORDER_SQL}, label)) AS phi FROM phi GROUP BY ALL),
 sc AS (SELECT *, phi / max(abs(phi)) OVER (PARTITION BY entity) AS scaled FROM la),
 tk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY abs(scaled) DESC, feature)::INTEGER AS rank FROM sc)"""
 
 
 @query("K6", "topk_last", sql=f"""
-WITH {_LAST} SELECT entity, feature, phi, round(scaled, 6) AS scaled, rank FROM tk WHERE rank <= 3""")
+WITH {_LAST} SELECT entity, feature, round(phi, 4) AS phi, round(scaled, 5) AS scaled, rank FROM tk WHERE rank <= 3""")
 def topk_last(spark, sf_dir):
-    return rounded(X.topk_last(stated(spark, sf_dir), ENTITY, [*WIDE_ORDER, "label"], 3))
+    return rounded(X.topk_last(attributed(spark, sf_dir), ENTITY, [*WIDE_ORDER, "label"], 3), 5, phi=4)
 
 
 @query("K7", "publish_importance", sql=f"""
 WITH {_LAST}, i AS (SELECT feature, avg(abs(phi)) AS importance FROM phi GROUP BY feature)
-SELECT 'explain_shap_mean_abs' AS metric, feature, NULL::VARCHAR AS rank, round(importance / (SELECT max(importance) FROM i), 5) AS value FROM i
-UNION ALL SELECT 'explain_topk_features', feature, CAST(rank AS VARCHAR), round(scaled, 5) FROM tk WHERE rank <= 3
-UNION ALL SELECT 'inference_anomaly_score', NULL, NULL, round(arg_max(lstm_score, ({ORDER_SQL}, entity, label)), 5) FROM su""")
+SELECT 'explain_shap_mean_abs' AS metric, feature, NULL::VARCHAR AS rank, round(importance / (SELECT max(importance) FROM i), 4) AS value FROM i
+UNION ALL SELECT 'explain_topk_features', feature, CAST(rank AS VARCHAR), round(scaled, 4) FROM tk WHERE rank <= 3
+UNION ALL SELECT 'inference_anomaly_score', NULL, NULL, round(arg_max(lstm_score, ({ORDER_SQL}, entity, label)), 4) FROM su""")
 def publish_importance(spark, sf_dir):
-    phi = stated(spark, sf_dir)
+    phi = attributed(spark, sf_dir)
     top = X.topk_last(phi, ENTITY, [*WIDE_ORDER, "label"], 3)
     newest = surrogate(spark, sf_dir).agg(F.max_by("lstm_score", F.struct(*WIDE_ORDER, "entity", "label")).alias("anomaly_score"))
     rows = X.publish_importance(X.mean_abs_importance(phi), top, newest, 0)
-    return rounded(rows.select("metric", F.col("labels")["feature"].alias("feature"), F.col("labels")["rank"].alias("rank"), "value"), 5)
+    return rounded(rows.select("metric", F.col("labels")["feature"].alias("feature"), F.col("labels")["rank"].alias("rank"), "value"), 4)
 
 
 @query("K9", "local_examples", sql=f"""
-WITH {STATED} SELECT label, feature, arg_min(phi, ({ORDER_SQL}, entity)) AS phi FROM phi GROUP BY ALL""")
+WITH {PHI} SELECT label, feature, round(arg_min(phi, ({ORDER_SQL}, entity)), 4) AS phi FROM phi GROUP BY ALL""")
 def local_examples(spark, sf_dir):
-    return X.local_examples(stated(spark, sf_dir), "label", [*WIDE_ORDER, "entity"])
+    return rounded(X.local_examples(attributed(spark, sf_dir), "label", [*WIDE_ORDER, "entity"]), 4)

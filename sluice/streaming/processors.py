@@ -1,130 +1,18 @@
-"""Micro-batch jobs built from the batch operators, and the watermark queries.
-
-Rows are settled in event time: a batch works on everything up to the horizon (the newest
-time seen less the allowed delay), carries the rest, and drops rows older than the last
-horizon. Each job's output is therefore that of the batch operator over the same rows.
-"""
+"""Micro-batch jobs over keyed streams (see ``keyed``), and the watermark queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sluice import schema as S
 from sluice.operators import anomaly as A
 from sluice.operators import explain as X
-from sluice.operators import patterns as P
 from sluice.operators import tsquery as Q
 from sluice.operators import windows as W
 from sluice.session import cut_lineage
-from sluice.streaming.carry import Carry
-
-CLOCK = "horizon bigint, late bigint"
-
-
-def micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
-@dataclass
-class Settled:
-    """One batch in event time: everything at hand, the old horizon and the new one."""
-
-    rows: DataFrame
-    since: int | None
-    upto: int | None
-
-
-def settle(batch: DataFrame, batch_id: int, carry: Carry, ts: str, delay_seconds: int) -> Settled:
-    """Carried rows and the batch's rows that are not late; moves the clock on and counts
-    late rows."""
-    clock = carry.read("clock", batch_id, CLOCK).first()
-    since = clock["horizon"] if clock else None
-    batch = cut_lineage(batch)  # the source is read once
-    seen = batch.agg(F.max(micros(ts)).alias("m"), F.count_if(micros(ts) <= F.lit(since)).alias("late")).first()
-    upto = since if seen["m"] is None else max(seen["m"] - delay_seconds * 1_000_000, since or 0)
-    late = (clock["late"] if clock else 0) + (seen["late"] or 0)
-    fresh = batch if since is None else batch.filter(micros(ts) > since)
-    rows = carry.read("rows", batch_id, batch.schema).unionByName(fresh)
-    carry.write("clock", batch_id, carry.spark.createDataFrame([(upto, late)], CLOCK))
-    return Settled(rows, since, upto)
-
-
-def tail_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: int, n: int) -> DataFrame:
-    """The last ``n`` rows of each series up to a time."""
-    return Q.tail_sequence(rows.filter(micros(order[0]) <= at), keys, order, n)
-
-
-def rolling_job(carry: Carry, keys: Sequence[str], order: Sequence[str], length: int,
-                compute: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None],
-                delay_seconds: int = 0) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` job over row windows of ``length``: the last ``length - 1``
-    settled rows of each series carry over, so windows span batches."""
-    ts = order[0]
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        now = settle(batch, batch_id, carry, ts, delay_seconds)
-        if now.upto is None:
-            return
-        out = compute(now.rows.filter(micros(ts) <= now.upto))
-        if now.since is not None:
-            out = out.filter(micros(ts) > now.since)
-        emit(out, batch_id)
-        kept = tail_before(now.rows, keys, order, now.upto, length - 1)
-        carry.write("rows", batch_id, kept.unionByName(now.rows.filter(micros(ts) > now.upto)))
-
-    return run
-
-
-def pattern_job(carry: Carry, keys: Sequence[str], a: str, b: str, emit: Callable[[DataFrame, int], None],
-                th: P.Thresholds = P.Thresholds(), ts: str = "ts", tie: str = "event_id", delay_seconds: int = 0,
-                block_seconds: int | None = None) -> Callable[[DataFrame, int], None]:
-    """Drop-then-rise detection over a stream, once per series in event time.
-
-    A drop is decided when its whole follow-up window lies behind the horizon. Undecided
-    rows, the row before them and the last event of each series carry over, so nothing is
-    lost or repeated at a batch edge.
-    """
-    order, reach = [ts, tie], th.followup_seconds * 1_000_000
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        now = settle(batch, batch_id, carry, ts, delay_seconds)
-        if now.upto is None:
-            return
-        kinds = batch.schema
-        found = P.drop_then_rise(now.rows, keys, a, b, ts, tie, th, block_seconds)
-        decided = found.filter(micros("drop_ts") + reach <= now.upto)
-        if now.since is not None:
-            decided = decided.filter(micros("drop_ts") + reach > now.since)
-        state = T.StructType([kinds[k] for k in keys] + [T.StructField("last", kinds[ts].dataType)])
-        last = carry.read("last", batch_id, state)
-        # The last event enters as the earliest match of its series: it is always kept.
-        anchor = last.select(*keys, F.col("last").alias("drop_ts"), F.col("last").alias("ts"))
-        both = decided.withColumn("_old", F.lit(False)).unionByName(
-            anchor.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-        kept = _after_anchor(both, keys, th)
-        events = cut_lineage(kept)
-        emit(P.as_events(events.filter(~F.col("_old")).drop("_old"), keys), batch_id)
-        carry.write("last", batch_id, events.groupBy(*keys).agg(F.max("ts").alias("last")))
-        undecided = micros(ts) + reach > now.upto
-        before = tail_before(now.rows, keys, order, now.upto - reach, 1)
-        carry.write("rows", batch_id, now.rows.filter(undecided).unionByName(before))
-
-    return run
-
-
-def _after_anchor(both: DataFrame, keys: Sequence[str], th: P.Thresholds) -> DataFrame:
-    """Cooldown with the carried event in front. Its drop is put before every other drop,
-    while its time still opens the cooldown."""
-    first = F.when(F.col("_old"), F.timestamp_micros(F.lit(0)).cast(both.schema["drop_ts"].dataType))
-    led = both.withColumn("drop_ts", F.coalesce(first, F.col("drop_ts"))).withColumn(
-        "drop_id", F.when(F.col("_old"), F.lit(-1)).otherwise(F.col("drop_id")))
-    return P.cooldown(led, keys, th.cooldown_seconds)
-
+from sluice.streaming.quantiles import LivePercentile
 
 def train_job(store: A.ParameterStore, columns: Sequence[str], keys: Sequence[str], order: Sequence[str],
               train: float = 0.7) -> Callable[[DataFrame, int], None]:
@@ -144,48 +32,62 @@ def train_job(store: A.ParameterStore, columns: Sequence[str], keys: Sequence[st
     return run
 
 
-def score_job(carry: Carry, store: A.ParameterStore, columns: Sequence[str], keys: Sequence[str],
-              order: Sequence[str], emit: Callable[[DataFrame, int], None], threshold: float,
-              length: int = S.SEQUENCE_LENGTH) -> Callable[[DataFrame, int], None]:
-    """Clean rows to window scores and flags. The newest stored parameters are read in
-    every batch, so a refit takes effect without a restart."""
+def score_windows(windows: DataFrame, model: A.Reconstruction, sequence: str = "sequence") -> DataFrame:
+    """``anomaly_score`` of windows held as ``array<array<double>>``: the summed squared error of their rows."""
+    scaled = [(i, *model.moments[c]) for i, c in enumerate(model.columns)]
+
+    def error(row):
+        z = [(row[i] - m) / F.lit(s or 1.0) for i, m, s in scaled]
+        parts = []
+        for i in range(len(z)):
+            rebuilt = sum((sum((z[k] * d[k] for k in range(len(z))), F.lit(0.0)) * d[i] for d in model.directions), F.lit(0.0))
+            parts.append((z[i] - rebuilt) * (z[i] - rebuilt))
+        return sum(parts, F.lit(0.0))
+
+    return windows.withColumn("anomaly_score", F.aggregate(sequence, F.lit(0.0), lambda total, row: total + error(row)))
+
 
-    def score(rows: DataFrame) -> DataFrame:
+def score_job(store: A.ParameterStore, columns: Sequence[str], live: LivePercentile, ids: Sequence[str],
+              emit: Callable[[DataFrame, int], None], summarise: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` job over ``keyed.series_windows`` rows: scores, flags against the live percentile and
+    one summary row per batch. The newest stored parameters are read in every batch, so a refit takes effect
+    without a restart. Rows that were late or without a time carry no window and are only counted."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)
         moments = A.moments_of(store.latest())
         model = A.Reconstruction(list(columns), {c: moments[c] for c in columns})
-        scored = A.reconstruction_score(rows, model, keys, order, length)
-        return scored.withColumn("is_anomaly", (F.col("anomaly_score") > threshold).cast("int"))
+        scored = score_windows(batch.filter("kind = 'row'"), model).drop("sequence", "kind")
+        unplaced = batch.agg(F.count_if(F.col("kind") == "late").alias("late"), F.count_if(F.col("kind") == "untimed").alias("untimed"))
+        flagged, summary = live.judge(cut_lineage(scored), batch_id, ids)
+        emit(flagged, batch_id)
+        summarise(summary.join(unplaced), batch_id)
 
-    return rolling_job(carry, keys, order, length, score, emit)
+    return run
 
 
-def explain_job(carry: Carry, scores: Callable[[], DataFrame], columns: Sequence[str], keys: Sequence[str],
-                order: Sequence[str], emit: Callable[[DataFrame, int], None], window: int = 3, top: int = 5):
-    """Rolling features of a batch, joined to the score table by series and time, a linear
-    surrogate of the scores, and its contributions as metric rows."""
+def explain_job(scores: Callable[[], DataFrame], names: Sequence[str], keys: Sequence[str], order: Sequence[str],
+                emit: Callable[[DataFrame, int], None], fit: Callable[[DataFrame, list[str]], Callable], top: int = 5):
+    """A ``foreachBatch`` job over rolling features: joined to the score table by series and order, a surrogate
+    of the scores is fitted (``fit`` returns its attribution) and its contributions become metric rows."""
     ts = order[0]
 
-    def features(rows: DataFrame) -> DataFrame:
-        return W.rolling_features(rows, keys, order, columns, window)
-
-    def explain(feats: DataFrame, batch_id: int) -> None:
-        names = [c for c in feats.columns if "__" in c]
-        feats = cut_lineage(feats.fillna(0.0, subset=names))
+    def explain(batch: DataFrame, batch_id: int) -> None:
+        feats = cut_lineage(batch.filter("kind = 'row'").drop("kind").fillna(0.0, subset=list(names)))
         span = feats.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
         if span["lo"] is None:
             return
         # Literal bounds let the scan of the score table skip all other times.
         known = scores().filter(F.col(ts).between(F.lit(span["lo"]), F.lit(span["hi"])))
-        data = cut_lineage(feats.join(known, [*keys, ts]))
+        data = cut_lineage(feats.join(known, [*keys, *order]))
         if data.isEmpty():
             return
-        fit = X.linear_surrogate(data, names, "anomaly_score")
-        phi = fit.attribution(data, [*keys, *order])
+        phi = cut_lineage(fit(data, list(names))(data, [*keys, *order]))
         newest = X.topk_last(phi.withColumn("_all", F.lit(1)), ["_all"], [*order, *keys], top)
         last = data.agg(F.max_by("anomaly_score", F.struct(*order, *keys)).alias("anomaly_score"))
         emit(X.publish_importance(X.mean_abs_importance(phi), newest, last, batch_id), batch_id)
 
-    return rolling_job(carry, keys, order, window, features, explain)
+    return explain
 
 
 # Watermark queries ----------------------------------------------------------------------

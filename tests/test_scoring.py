@@ -1,11 +1,14 @@
 """Scores, thresholds, moments, forecasts and attributions on hand-made rows."""
 
+import itertools
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import anomaly as A
 from sluice.operators import explain as X
+from sluice.operators import trees
 from sluice.operators import forecast as J
 from sluice.operators import tsquery as Q
 from sluice.operators import windows as W
@@ -107,15 +110,45 @@ def test_attributions(spark):
     model, quality = X.surrogate_fit(df, ["a", "b", "c"], ["id"], trees=10, depth=5)
     assert quality["r2"] > 0.5
     few = df.filter("id < 20")
-    phi = X.forest_attribution(model, few, df, ["id"], ["a", "b", "c"], permutations=64)
+    phi = X.tree_attribution(model, few, ["id"], ["a", "b", "c"])
     mean = {r["feature"]: r["importance"] for r in X.mean_abs_importance(phi).collect()}
     assert mean["a"] > mean["b"] > mean["c"]
-    # Contributions of a row add up to its prediction less a mean background prediction.
-    total = phi.groupBy("id").agg(F.sum("phi").alias("s")).collect()
-    scored = X._assembled(few, ["a", "b", "c"])
-    pred = {r["id"]: r["prediction"] for r in model.transform(scored).collect()}
-    gap = np.array([pred[r["id"]] - r["s"] for r in total])
-    assert gap.std() < 0.8
+
+
+@pytest.mark.parametrize("kind, cells", [("forest", 1 << 20), ("forest", 0), ("boosted", 1 << 20)])
+def test_tree_contributions_equal_all_subsets(spark, monkeypatch, kind, cells):
+    """Against the game itself: every subset of known features, unknown splits followed both ways."""
+    monkeypatch.setattr(trees, "GRID_CELLS", cells)
+    names, rnd = ["a", "b", "c", "d"], np.random.default_rng(6)
+    x = np.round(rnd.normal(size=(300, 4)), 2)
+    data = [(i, *map(float, r), float(3 * r[0] * r[3] - r[1])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(data, "id int, a double, b double, c double, d double, lstm_score double")
+    model, _ = X.surrogate_fit(df, names, ["id"], trees=6, depth=5, kind=kind)
+    nodes, weights = trees.node_table(model)
+    held = {(r.tree, r.node): r for r in nodes.itertuples()}
+
+    def value(tree, node, row, known):
+        n = held[tree, node]
+        if n.left < 0:
+            return n.prediction
+        if n.feature in known:
+            return value(tree, n.left if row[n.feature] <= n.threshold else n.right, row, known)
+        both = [held[tree, k] for k in (n.left, n.right)]
+        return sum(k.rows * value(tree, k.node, row, known) for k in both) / n.rows
+
+    def game(row, known):
+        return sum(w * value(t, 0, row, known) for t, w in enumerate(weights))
+
+    few = df.filter("id < 12")
+    got = {(r["id"], r["feature"]): r["phi"] for r in trees.tree_attribution(model, few, ["id"], names).collect()}
+    predicted = {r["id"]: r["prediction"] for r in model.transform(X._assembled(few, names)).collect()}
+    for i in range(12):
+        values = {s: game(x[i], s) for k in range(5) for s in itertools.combinations(range(4), k)}
+        for f in range(4):
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (values[tuple(sorted((*s, f)))] - v)
+                       for s, v in values.items() if f not in s)
+            assert got[i, names[f]] == pytest.approx(want, abs=1e-9)
+        assert sum(got[i, n] for n in names) == pytest.approx(predicted[i] - values[()], abs=1e-9)
 
 
 def test_widening_range(spark):
@@ -152,7 +185,7 @@ def test_surrogate_queries_do_the_operators_whole_job(spark, data_dir, monkeypat
         return rows.withColumn("phi", F.lit(0.0))
 
     monkeypatch.setattr(scoring.X, "surrogate_fit", fit)
-    monkeypatch.setattr(scoring.X, "forest_attribution", explain)
+    monkeypatch.setattr(scoring.X, "tree_attribution", explain)
     scoring.surrogate_fit(spark, data_dir)
     scoring.forest_attribution(spark, data_dir)
     assert [x.get("kind", "forest") for x in fits] == ["forest", "boosted", "forest"]

@@ -2,18 +2,17 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import anomaly as A
-from sluice.operators import patterns as P
 from sluice.operators import windows as W
 from sluice.sources import sinks as K
 from sluice.streaming import processors as R
-from sluice.streaming.carry import Carry
+from sluice.streaming.quantiles import LivePercentile
 
 ENTITY, ORDER = ["entity"], ["ts", "event_id"]
-TH = P.Thresholds(30.0, 60.0, 10.0, 20.0, 12 * 3600, 24 * 3600)
 
 
 @pytest.fixture(scope="module")
@@ -49,71 +48,6 @@ def writer(folder):
     return lambda df, batch_id: df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
-@pytest.mark.parametrize("kind", ["rolling", "patterns"])
-def test_batch_equals_stream_over_restarts(spark, rows, tmp_path, kind):
-    source, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
-    carry = Carry(spark, str(tmp_path / "carry"))
-    if kind == "rolling":
-        def total(df):
-            return W.rolling_sum(df, ENTITY, ORDER, F.col("value"), "total", 30)
-        job = R.rolling_job(carry, ENTITY, ORDER, 30, total, writer(out))
-    else:
-        job = R.pattern_job(carry, ENTITY, "value", "value", writer(out), TH, block_seconds=7 * 86400)
-    for k, part in enumerate(in_files(rows, source, 4)):
-        drop_in(part, source, k)
-        run(stream_of(spark, rows, source), job, state)
-    got = spark.read.parquet(str(out))
-    if kind == "rolling":
-        a = {r["event_id"]: r["total"] for r in got.collect()}
-        b = {r["event_id"]: r["total"] for r in total(rows).collect()}
-        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-    else:
-        newest = rows.agg(F.max("ts")).first()[0]
-        whole = P.detect(rows, ENTITY, "value", "value", th=TH)
-        wanted = [r for r in whole.collect() if r["drop_ts"] + dt.timedelta(hours=12) <= newest]
-        assert len(wanted) > 5
-        assert sorted((r["entity"], r["drop_id"], r["ts"]) for r in got.collect()) == sorted(
-            (r["entity"], r["drop_id"], r["ts"]) for r in wanted)
-    assert carry.read("clock", 4, R.CLOCK).first()["late"] == 0
-
-
-def test_a_batch_run_again_changes_nothing_and_late_rows_are_counted(spark, rows, tmp_path):
-    carry, out = Carry(spark, str(tmp_path / "carry")), tmp_path / "out"
-
-    def total(df):
-        return W.rolling_sum(df, ENTITY, ORDER, F.col("value"), "total", 3)
-
-    job = R.rolling_job(carry, ENTITY, ORDER, 3, total, writer(out))
-    parts = list(in_files(rows, tmp_path / "x", 3))
-    job(parts[0], 0)
-    job(parts[1], 1)
-    job(parts[1], 1)
-    job(parts[2].unionByName(parts[0].limit(4)), 2)
-    got = {r["event_id"]: r["total"] for r in spark.read.parquet(str(out)).collect()}
-    want = {r["event_id"]: r["total"] for r in total(rows).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
-    assert carry.read("clock", 3, R.CLOCK).first()["late"] == 4
-
-
-def test_out_of_order_rows_within_the_delay(spark, rows, tmp_path):
-    carry, out = Carry(spark, str(tmp_path / "carry")), tmp_path / "out"
-    delay = 40 * 86400
-
-    def total(df):
-        return W.rolling_sum(df, ENTITY, ORDER, F.col("value"), "total", 3)
-
-    job = R.rolling_job(carry, ENTITY, ORDER, 3, total, writer(out), delay_seconds=delay)
-    parts = list(in_files(rows, tmp_path / "x", 3))
-    for k, part in enumerate((parts[1], parts[0], parts[2])):
-        job(part, k)
-    # A row far ahead closes everything before it.
-    newest = rows.agg(F.max("ts")).first()[0]
-    closing = spark.createDataFrame([(-1, newest + dt.timedelta(seconds=delay), 99, 0.0)], rows.schema)
-    job(closing, 3)
-    got = {r["event_id"] for r in spark.read.parquet(str(out)).collect()}
-    assert got == {r["event_id"] for r in total(rows).collect()}
-
-
 def test_training_over_batches_and_scoring_with_the_newest_fit(spark, rows, tmp_path):
     store = A.ParameterStore(spark, str(tmp_path / "fit"))
     train = R.train_job(store, ["value"], ENTITY, ORDER)
@@ -126,15 +60,41 @@ def test_training_over_batches_and_scoring_with_the_newest_fit(spark, rows, tmp_
     got = store.latest().first()
     assert got["n"] == one["n"] and got["m2"] == pytest.approx(one["m2"]) and store.latest_version() == 3
     out = tmp_path / "scores"
-    job = R.score_job(Carry(spark, str(tmp_path / "carry")), store, ["value"], ENTITY, ORDER, writer(out), 30.0)
-    for k, part in enumerate(parts):
+    windows = [W.sequence_windows(p, ENTITY, ORDER, ["value"]).withColumn("kind", F.lit("row")) for p in parts]
+    windows[1] = windows[1].unionByName(windows[1].limit(3).withColumn("kind", F.lit("late")))
+    live = LivePercentile(spark, str(tmp_path / "live"))
+    job = R.score_job(store, ["value"], live, [*ORDER, *ENTITY], writer(out), writer(tmp_path / "notes"))
+    for k, part in enumerate(windows):
+        job(part, k)
         job(part, k)
     model = A.Reconstruction(["value"], A.moments_of(store.latest()))
-    want = {r["event_id"]: r["anomaly_score"] for r in A.reconstruction_score(rows, model, ENTITY, ORDER).collect()}
+    scores = [{r["event_id"]: r["anomaly_score"] for r in A.reconstruction_score(p, model, ENTITY, ORDER).collect()} for p in parts]
+    want = {k: v for s in scores for k, v in s.items()}
     scored = {r["event_id"]: r for r in spark.read.parquet(str(out)).collect()}
     assert scored.keys() == want.keys()
     assert all(scored[k]["anomaly_score"] == pytest.approx(want[k]) for k in want)
-    assert all(r["is_anomaly"] == int(r["anomaly_score"] > 30.0) for r in scored.values())
+    notes = {r["batch"]: r for r in spark.read.parquet(str(tmp_path / "notes")).collect()}
+    for k, s in enumerate(scores):
+        limit = np.percentile(list(s.values()), 90)
+        assert notes[k]["threshold"] == pytest.approx(limit) and notes[k]["scores"] == len(s)
+        assert notes[k]["anomalies"] == sum(v > limit for v in s.values()) and notes[k]["late"] == (3 if k == 1 else 0)
+        assert all(scored[i]["is_anomaly"] == int(v > limit) for i, v in s.items())
+    assert [notes[k]["events_total"] for k in range(3)] == [1, 2, 3]
+
+
+def test_live_percentile_of_large_and_empty_batches(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    parts = [rng.exponential(1 + k, 20_000) for k in range(4)]
+    frames = [spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "id int, anomaly_score double").repartition(5) for p in parts]
+    for span in (1, 2):
+        live = LivePercentile(spark, str(tmp_path / f"live{span}"), q=0.9, span=span, exact_rows=1000)
+        for k, frame in enumerate(frames):
+            got = live.threshold(frame, k)
+            seen = np.concatenate(parts[max(0, k - span + 1):k + 1])
+            assert abs((seen <= got).mean() - 0.9) < 0.01
+    flagged, note = live.judge(frames[0].limit(0), 4, ["id"])
+    row = note.first()
+    assert flagged.count() == 0 and (row["scores"], row["any_anomaly"], row["last_score"]) == (0, 0, None)
 
 
 def test_windows_and_counters_over_many_files(spark, rows, tmp_path):
