@@ -104,19 +104,30 @@ def _coefficients(leaf: Leaf) -> Iterator[tuple[tuple[int, ...], dict[int, float
 
 
 def _grid_tables(paths: Paths, width: int) -> dict[tuple[int, ...], np.ndarray]:
-    """Boxes are entered by their corners and spread by running sums along every axis."""
-    tables: dict[tuple[int, ...], np.ndarray] = {}
+    """Boxes are entered by their corners, all leaves of the same features at once, and spread by running
+    sums along every axis."""
+    alike: dict[tuple[int, ...], list[Leaf]] = {}
     for leaf in paths.leaves:
-        for inside, adds in _coefficients(leaf):
+        alike.setdefault(tuple(sorted(leaf.intervals)), []).append(leaf)
+    tables: dict[tuple[int, ...], np.ndarray] = {}
+    for names, leaves in alike.items():
+        value = np.array([x.value for x in leaves])
+        low, high, share = (np.array([[x.intervals[f][k] for f in names] for x in leaves]).reshape(len(leaves), -1) for k in range(3))
+        # A leaf of value 1 and shares 1 tells how the value is dealt out; the shares outside T scale it.
+        unit = Leaf(1.0, {f: (0, 0, 1.0) for f in names})
+        for inside, adds in _coefficients(unit):
+            at = [names.index(f) for f in inside]
+            scale = value * np.prod(np.delete(share, at, axis=1), axis=1)
+            vector = np.array([adds.get(f, 0.0) for f in range(width)])
             if inside not in tables:
                 tables[inside] = np.zeros((*[len(paths.thresholds[f]) + 2 for f in inside], width))
-            table, vector = tables[inside], np.zeros(width)
-            for f, v in adds.items():
-                vector[f] = v
-            spans = [leaf.intervals[f][:2] for f in inside]
-            for corner in range(1 << len(inside)):
-                at = tuple(hi + 1 if corner >> k & 1 else lo for k, (lo, hi) in enumerate(spans))
-                table[at] += vector if corner.bit_count() % 2 == 0 else -vector
+            for corner in range(1 << len(at)):
+                cell = tuple((high[:, k] + 1 if corner >> n & 1 else low[:, k]).astype(np.int64) for n, k in enumerate(at))
+                sign = 1 if corner.bit_count() % 2 == 0 else -1
+                if cell:
+                    np.add.at(tables[inside], cell, sign * scale[:, None] * vector)
+                else:
+                    tables[inside] += scale.sum() * vector
     for inside, table in tables.items():
         for axis in range(len(inside)):
             np.cumsum(table, axis=axis, out=table)
