@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.sampling import least_hashed
+
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
 OTHER = len(KINDS)
@@ -267,9 +269,9 @@ def train(texts: Sequence[str]) -> Field:
 
 def fit(docs: DataFrame, rows: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> Field:
     """The field, learned from a bounded sample: at most ``rows`` whole texts of at most
-    ``longest`` bytes that hold a digit or an at sign, in the order of a hash of the text."""
+    ``longest`` bytes that hold a digit or an at sign, those of the least hash; equal texts count once."""
     some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= longest)).select("text")
-    return train([r["text"] for r in some.orderBy(F.xxhash64("text")).limit(rows).collect()])
+    return train([r["text"] for r in least_hashed(some, rows, "text", "text")])
 
 
 def added_spans(text: str, crf: Field, base: list[Span], known: dict) -> list[Span]:

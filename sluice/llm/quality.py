@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import text as X
+from sluice.llm.sampling import least_hashed
 from sluice.llm.toxicity import clean_labels
 
 WIDTH, STRIDE, FILTERS, EMBEDDED = 8, 2, 16, 6
@@ -133,21 +134,23 @@ def train(texts: list[bytes], labels: list[int], weights: list[float], epochs: i
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> Network:
     """The network, learned from a bounded sample of the labelled rows that ``train_rows`` selects.
 
-    The bound: up to ``rows / 2`` whole texts of each label, of at most ``longest`` bytes each,
-    in the order of a hash of the id; every text of a label counts as much as its label's share
+    The bound: up to ``rows / 2`` whole texts of each label, of at most ``longest`` bytes each, those
+    of the ids with the least hash, one text of an id (the least); every text of a label counts as much as its label's share
     of all labelled rows asks for. Without labels of both kinds the network stays untrained.
     """
     known = docs.filter(train_rows & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = known.join(clean_labels(labels, "quality"), "_id")
-    total = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts, marks, weights = [], [], []
-    for mark in sorted(total):
-        fitting = known.filter((F.col("quality") == mark) & (F.octet_length("text") <= longest))
-        some = fitting.orderBy(F.xxhash64("_id"), F.xxhash64("text")).limit(rows // 2).select("text").collect()
-        texts += [r["text"].encode() for r in some]
-        marks += [mark] * len(some)
-        weights += [total[mark] / sum(total.values()) / max(len(some), 1)] * len(some)
+    # Ids and sizes alone meet the labels; texts stay where they are until some are chosen.
+    sizes = known.select("_id", F.octet_length("text").alias("_size")).join(clean_labels(labels, "quality").hint("merge"), "_id")
+    total = {r["quality"]: r["n"] for r in sizes.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = {r["_id"]: mark for mark in sorted(total) for r in least_hashed(
+        sizes.filter((F.col("quality") == mark) & (F.col("_size") <= longest)), rows // 2, "_id", "_id")}
+    # At most ``rows`` ids are broadcast, and one text of each comes back.
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id bigint")
+    found = known.filter(F.octet_length("text") <= longest).join(F.broadcast(ids), "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"))
+    some = sorted(found.collect(), key=lambda r: (chosen[r["_id"]], r["_id"]))
+    texts, marks = [r["text"].encode() for r in some], [chosen[r["_id"]] for r in some]
+    weights = [total[m] / sum(total.values()) / marks.count(m) for m in marks]
     if len(set(marks)) < 2:
         return Network.fresh()
     return train(texts, marks, list(np.array(weights) * len(weights)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 DATA_ROWS = 8192
 QUERY_ROWS = 2048
-LEAF_ROWS = 32
+LEAF_ROWS = 256
 CHILDREN = 16
 SHRINK = 0.7
 
@@ -53,8 +53,8 @@ class CoverTree:
 
 
 def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int,
-              exact: np.ndarray | None = None, exact_data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Best ``k`` scores and ids of each query (ids -1 where there are fewer), and how many pairs
+              exact: np.ndarray | None = None, exact_data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Best ``k`` scores and ids of each query, a mask of the places that are filled, and how many pairs
     of points were scored. ``exact`` and ``exact_data`` hold integers too large for doubles."""
     q, r = CoverTree(queries), CoverTree(data)
     left, right = (queries, data) if exact is None else (exact, exact_data)
@@ -70,7 +70,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids:
         return centre + spread + 1e-9 * (abs(centre) + spread) + 1
 
     if not len(queries) or not len(data):
-        return best, np.full_like(best_id, -1), 0
+        return best, best_id, best != none, 0
     stack = [(bound(0, 0), 0, 0)]
     while stack:
         most, a, b = stack.pop()
@@ -95,8 +95,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids:
             value, name = np.take_along_axis(value, by_id, 1), np.take_along_axis(name, by_id, 1)
             top = np.argsort(-value, 1, kind="stable")[:, :k]
             best[mine], best_id[mine] = np.take_along_axis(value, top, 1), np.take_along_axis(name, top, 1)
-    best_id[best == none] = -1
-    return best, best_id, scored
+    return best, best_id, best != none, scored
 
 
 def _dense(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +117,8 @@ def _block(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     exact = exact_data = None
     if max(np.abs(queries).max(initial=0), 1) * max(np.abs(data).max(initial=0), 1) * width >= 2.0**53:
         exact, exact_data = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, data))
-    best, best_id, _ = dual_tree(queries, query_ids, data, ids, k, exact, exact_data)
-    row, place = np.nonzero(best_id >= 0) if exact is None else np.nonzero(best_id != -1)
+    best, best_id, filled, _ = dual_tree(queries, query_ids, data, ids, k, exact, exact_data)
+    row, place = np.nonzero(filled)
     score = [min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in best[row, place]]
     return pa.table([pa.array(query_ids[row]), left.column("query_key").combine_chunks().take(pa.array(row)),
                      pa.array(best_id[row, place]), pa.array(score, pa.int64())], names=names)

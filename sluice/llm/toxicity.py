@@ -126,10 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
     the calibration's histogram."""
     rows = docs.filter(train & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(clean_labels(labels, "toxic"), "_id").select("text", "toxic")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A merge join at every size; the texts are shuffled once, for the words. Later steps join ids and levels.
+    marks = clean_labels(labels, "toxic").hint("merge")
+    labelled = rows.join(marks, "_id")
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
-    words = rows.mapInArrow(_seen_words, "word string, bad bigint, good bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = labelled.select("text", "toxic").mapInArrow(_seen_words, "word string, bad bigint, good bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good + 1.0))
     z = F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = words.withColumn("odds", odds).withColumn("z", z).filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z))
@@ -138,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
     lexicon = Lexicon(weights)
     if not bad or not good:
         return lexicon
-    bins = rows.mapInArrow(lambda b: _levels(b, lexicon), "toxic int, level double, hits bigint").groupBy(
+    levels = rows.select("text", "_id").mapInArrow(lambda b: _levels(b, lexicon), "_id bigint, level double, hits bigint")
+    bins = levels.join(marks, "_id").groupBy(
         F.round("level", 2).alias("level"), "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("level", "toxic").collect()
     x = np.array([[1.0, float(r["level"] > 0), r["level"]] for r in bins])
     y, count = np.array([r["toxic"] for r in bins], float), np.array([r["n"] for r in bins], float)
