@@ -21,7 +21,7 @@ def safe_float(text: Column) -> Column:
 
 def present(value: Column) -> Column:
     """The value; NaN is a missing reading and becomes null."""
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def clean_numeric(df: DataFrame, columns: Sequence[str] = S.SENSOR_TAGS) -> DataFrame:

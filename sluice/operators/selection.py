@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice import schema as S
-from sluice.functions.clean import NUMERIC, attack_flag
+from sluice.functions.clean import NUMERIC, attack_flag, present
 from sluice.sources.readers import sample_n
 
 VARIANCE, NULLS, CORRELATION = 1e-6, 0.5, 0.98
@@ -35,6 +35,12 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = LABELS) -> list[str]
     return [n for n, t in df.dtypes if t in NUMERIC and n not in exclude]
 
 
+def readings(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Each column with NaN as a missing reading."""
+    kinds = dict(df.dtypes)
+    return {c: present(F.col(c)) if kinds[c] in ("double", "float") else F.col(c) for c in columns}
+
+
 def _per_feature(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -43,21 +49,23 @@ def static_features(df: DataFrame, columns: Sequence[str] | None = None, thresho
     """(feature, variance, unique_values) of columns whose sample variance is below the
     threshold. Distinct values are counted for those columns alone."""
     columns = list(columns or numeric_columns(df))
-    row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
+    value = readings(df, columns)
+    row = df.agg(*[F.var_samp(value[c]).alias(c) for c in columns]).first()
     static = {c: row[c] for c in columns if row[c] is not None and row[c] < threshold}
     schema = "feature string, variance double, unique_values bigint"
     if not static:
         return _per_feature(df.sparkSession, [], schema)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in static]).unpivot([], list(static), "feature", "v")
+    values = df.select(*[value[c].cast("double").alias(c) for c in static]).unpivot([], list(static), "feature", "v")
     seen = values.filter(F.col("v").isNotNull()).groupBy("feature", "v").count().groupBy("feature").count().collect()
     unique = {r["feature"]: r["count"] for r in seen}
     return _per_feature(df.sparkSession, [(c, v, unique.get(c, 0)) for c, v in static.items()], schema)
 
 
 def high_null_features(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = NULLS) -> DataFrame:
-    """(feature, null_share) of columns with more than ``threshold`` nulls, in one aggregate."""
+    """(feature, null_share) of columns with more than ``threshold`` missing readings (null or NaN), in one aggregate."""
     columns = list(columns or df.columns)
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    value = readings(df, columns)
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(value[c].isNull()).alias(c) for c in columns]).first()
     shares = [(c, row[c] / row["_n"]) for c in columns if row["_n"] and row[c] / row["_n"] > threshold]
     return _per_feature(df.sparkSession, shares, "feature string, null_share double")
 
@@ -121,8 +129,8 @@ def corr_ranking(matrix: DataFrame, columns: Sequence[str], n: int = 30) -> Data
 def mutual_info(df: DataFrame, columns: Sequence[str], label: str = "label", bins: int = 16,
                 equal_depth: bool = False) -> DataFrame:
     """(feature, importance): mutual information (nats) between the binned feature and the
-    label. Nulls count as 0. Bins are of equal width, or of equal depth by a sketch."""
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(label).alias("_y"))
+    label. Nulls and NaN count as 0. Bins are of equal width, or of equal depth by a sketch."""
+    filled = df.select(*[F.coalesce(present(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns], F.col(label).alias("_y"))
     if equal_depth:
         cuts = [k / bins for k in range(1, bins)]
         row = filled.agg(*[F.percentile_approx(c, cuts, 10_000).alias(c) for c in columns]).first()

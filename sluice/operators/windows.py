@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice import schema as S
+from sluice.functions.clean import present
 from sluice.operators.series import (
     SERIES_ROWS, join_on, largest_series, over_series, series_position, small_side, time_blocks)
 
@@ -17,14 +18,14 @@ EPSILON = 1e-8
 def rolling_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                      window: int = S.SEQUENCE_LENGTH, **sizing) -> DataFrame:
     """Per column: last, mean, population deviation, min, max, slope and z-score of the
-    last value over ``window`` rows. Statistics need all ``window`` values present; the
+    last value over ``window`` rows. Statistics need all ``window`` values present (NaN is none); the
     z-score is null on a constant window. Rows before the first full window are dropped."""
 
     def compute(frame, ordered):
         span = ordered.rowsBetween(-(window - 1), 0)
         out = []
         for c in columns:
-            x = F.col(c)
+            x = present(F.col(c).cast("double"))
             full = F.count(x).over(span) == window
             mean = F.when(full, F.avg(x).over(span))
             low, high = F.when(full, F.min(x).over(span)), F.when(full, F.max(x).over(span))
@@ -147,7 +148,9 @@ def moving_aggregate(df: DataFrame, keys: Sequence[str], seconds: int, ts: str =
         "_block", "_own", F.col("_p.k").alias("_k"), F.col("_p.m").alias("_m"))
     stretch = Window.partitionBy("_block", *keys)
     upto = stretch.orderBy("_k").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.withColumn("_s", F.coalesce(F.sum(value).over(upto), F.lit(0.0))).withColumn("_c", F.count(value).over(upto))
+    # NaN is a missing reading; in a running sum it would spoil every later mean of the stretch.
+    reading = present(F.col(value).cast("double"))
+    summed = both.withColumn("_s", F.coalesce(F.sum(reading).over(upto), F.lit(0.0))).withColumn("_c", F.count(reading).over(upto))
     # Markers stand in the order of their rows: the n-th belongs to the n-th.
     nth = Window.partitionBy("_block", *keys, "_own", "_m").orderBy("_k")
     paired = Window.partitionBy("_block", *keys, "_own", "_n")
