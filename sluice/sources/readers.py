@@ -53,10 +53,26 @@ def source_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt
     return reader.load(path)
 
 
+#: Rows expected below the first threshold of a sample, as a multiple of its size, and at least so many more.
+SAMPLE_SLACK, SAMPLE_MORE = 1.2, 200
+
+
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), chosen by a seeded hash of a unique key."""
+    """Exactly ``n`` rows (all, if fewer), chosen by a seeded hash of a unique key.
+
+    A threshold on the hash leaves a little more than ``n`` rows, spread evenly over all tasks; only these are
+    ordered. So no task sends ``n`` rows, and a large sample sorts itself alone.
+    """
     tag = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     hashed = df.withColumn("_h", tag)
+    place = F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint")
+    share = (SAMPLE_SLACK * n + SAMPLE_MORE) / max(df.count(), 1)
+    while share < 1:
+        below = hashed.filter(place < int(share * (1 << 60)))
+        if below.count() >= n:
+            hashed = below
+            break
+        share *= 2
     if n <= TOP_ROWS:
         return hashed.orderBy("_h", *key).limit(n).drop("_h")
     return with_row_index(hashed, ["_h", *key], "_i").filter(F.col("_i") < n).drop("_h", "_i")

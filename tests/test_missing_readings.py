@@ -43,3 +43,17 @@ def test_a_missing_dependency_leaves_the_other_queries():
               "import __spark_entry__ as E; names = E.queries(); print('tumble_mean' in names, any(n.startswith('op') for n in names if n[2:3].isdigit()))")
     out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]))
     assert out.stdout.split() == ["True", "False"], out.stderr[-500:]
+
+
+@pytest.mark.parametrize("n", [1, 40, 2500, 4999, 5000, 9000])
+def test_a_sample_is_the_least_hashes(spark, n, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sluice.sources import readers
+
+    df = spark.range(5000).repartition(6)
+    tag = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("42")))
+    want = {r["id"] for r in df.orderBy(tag, "id").limit(n).collect()}
+    for top in (readers.TOP_ROWS, 10):
+        monkeypatch.setattr(readers, "TOP_ROWS", top)
+        assert {r["id"] for r in readers.sample_n(df, n, ["id"]).collect()} == want
