@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,6 +133,72 @@ def oneclass_boundary(df: DataFrame, normal: DataFrame, columns: Sequence[str],
         "predicted", F.when(F.col("distance") > edge, -1).otherwise(1))
 
 
+@dataclass(frozen=True)
+class Covariance:
+    """Centre and population covariance of some columns: mergeable sums of one aggregate, or of stored parts."""
+
+    columns: list[str]
+    n: int
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def merged(self, other: Covariance) -> Covariance:
+        """Both parts' rows together, as if fitted at once."""
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        spread = (self.n * self.spread + other.n * other.spread + np.outer(gap, gap) * self.n * other.n / n) / n
+        return Covariance(self.columns, n, self.mean + gap * other.n / n, spread)
+
+    def distance(self) -> Column:
+        """Squared distance from the centre in units of the spread, by its Cholesky factor. Columns that others
+        determine add nothing."""
+        centred = [F.col(c) - float(m) for c, m in zip(self.columns, self.mean)]
+        scale = float(np.trace(self.spread)) or 1.0
+        total, solved = F.lit(0.0), []
+        factor = np.zeros_like(self.spread)
+        for i in range(len(self.columns)):
+            rest = self.spread[i, i] - factor[i, :i] @ factor[i, :i]
+            if rest <= 1e-12 * min(scale, max(self.spread[i, i], 1e-300)):
+                solved.append(None)
+                continue
+            factor[i, i] = rest ** 0.5
+            for j in range(i + 1, len(self.columns)):
+                factor[j, i] = (self.spread[j, i] - factor[j, :i] @ factor[i, :i]) / factor[i, i]
+            part = centred[i]
+            for k, z in enumerate(solved):
+                if z is not None:
+                    part = part - z * float(factor[i, k])
+            solved.append(part / float(factor[i, i]))
+            total = total + solved[-1] * solved[-1]
+        return total
+
+
+def fit_covariance(normal: DataFrame, columns: Sequence[str]) -> Covariance:
+    """One aggregate over the complete rows."""
+    columns = list(columns)
+    whole = normal.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = whole.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                    *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    width = len(columns)
+    mean = np.array([row[f"m{i}"] or 0.0 for i in range(width)])
+    spread = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(width)] for i in range(width)])
+    return Covariance(columns, row["n"], mean, spread)
+
+
+def covariance_boundary(df: DataFrame, normal: DataFrame, columns: Sequence[str], nu: float = 0.01,
+                        max_rows: int = QUANTILE_ROWS) -> DataFrame:
+    """Like ``oneclass_boundary``, with the distance that knows how the columns move together. Without normal
+    rows there is no boundary: null, and no row is outside."""
+    far = fit_covariance(normal, columns).distance()
+    edge = group_quantiles(normal.withColumn("_d", far), [], "_d", [1 - nu], max_rows).first()
+    edge = F.lit(edge["quantiles"][0] if edge and edge["quantiles"] else None).cast("double")
+    return df.withColumn("distance", far).withColumn("boundary", edge).withColumn(
+        "predicted", F.when(F.col("distance") > edge, -1).otherwise(1))
+
+
 # Boundary shares tried by the grid search.
 NUS = [0.001, 0.005, 0.01, 0.02]
 

@@ -122,6 +122,20 @@ def oneclass_boundary(spark, sf_dir):
     return rounded(out.select(*IDS, "distance", "boundary", "predicted"))
 
 
+@query("I7", "covariance_boundary", sql=f"""
+WITH {WIDE}, mo AS (SELECT avg(quantity) AS mq, avg(price) AS mp, var_pop(quantity) AS qq, var_pop(price) AS pp, covar_pop(quantity, price) AS qp
+  FROM wide WHERE label = 'Normal'),
+d AS (SELECT {IDS_SQL}, label, (pp * (quantity - mq) * (quantity - mq) - 2 * qp * (quantity - mq) * (price - mp) + qq * (price - mp) * (price - mp))
+  / (qq * pp - qp * qp) AS distance FROM wide, mo),
+e AS (SELECT quantile_cont(distance, 0.99) AS edge FROM d WHERE label = 'Normal')
+SELECT {IDS_SQL}, round(distance, 5) AS distance, round(edge, 5) AS boundary, CASE WHEN distance > edge THEN -1 ELSE 1 END AS predicted FROM d, e""")
+def covariance_boundary(spark, sf_dir):
+    """Quantity and price move together; the distance takes that into account."""
+    rows = wide(spark, sf_dir)
+    out = A.covariance_boundary(rows, normal_of(rows), ["quantity", "price"], 0.01)
+    return rounded(out.select(*IDS, "distance", "boundary", "predicted"), 5)
+
+
 @query("I8", "grid_search_f1", sql=f"""
 WITH {_DISTANCE}, g AS (SELECT unnest([0.001, 0.005, 0.01, 0.02])::DOUBLE AS nu),
 e AS (SELECT nu, (SELECT quantile_cont(distance, [0.999, 0.995, 0.99, 0.98]) FROM d WHERE label = 'Normal') AS q FROM g),

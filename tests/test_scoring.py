@@ -152,6 +152,28 @@ def test_tree_contributions_equal_all_subsets(spark, monkeypatch, kind, cells):
         assert sum(got[i, n] for n in names) == pytest.approx(predicted[i] - values[()], abs=1e-9)
 
 
+def test_covariance_distance_and_merging(spark):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(400, 3)) @ rnd.normal(size=(3, 3)) + 5
+    rows = [(i, *map(float, r), float(2 * r[0])) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (400, None, 1.0, 1.0, 1.0)], "id int, a double, b double, c double, twice double")
+    names = ["a", "b", "c"]
+    fit = A.fit_covariance(df, names)
+    far = {r["id"]: r["d"] for r in df.filter("id < 400").select("id", fit.distance().alias("d")).collect()}
+    inverse = np.linalg.inv(np.cov(x.T, bias=True))
+    centred = x - x.mean(axis=0)
+    assert [far[i] for i in range(400)] == pytest.approx(np.einsum("ij,jk,ik->i", centred, inverse, centred))
+    parts = [A.fit_covariance(df.filter(F.col("id") % 3 == k), names) for k in range(3)]
+    whole = parts[0].merged(parts[1]).merged(parts[2])
+    assert whole.n == 400 and whole.mean == pytest.approx(fit.mean) and whole.spread == pytest.approx(fit.spread)
+    # A column that another determines changes nothing.
+    more = A.fit_covariance(df, [*names, "twice"]).distance()
+    assert [r["d"] for r in df.filter("id < 20").select(more.alias("d")).collect()] == pytest.approx([far[i] for i in range(20)])
+    out = A.covariance_boundary(df, df.filter("id < 400"), names, 0.05)
+    assert out.filter("predicted = -1").count() == 20
+    assert A.covariance_boundary(df, df.limit(0), names).filter("predicted = -1").count() == 0
+
+
 def test_widening_range(spark):
     import datetime as dt
     now = dt.datetime(2024, 1, 10)
