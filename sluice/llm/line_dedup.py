@@ -1,29 +1,34 @@
-"""Line dedup by runs of lines that an earlier document holds.
+"""Line dedup by pairwise alignment of overlapping documents.
 
 A block is a run of lines that follow each other in two documents. Every block is made of the
-shortest runs of enough words; each of them meets the first document that holds it through its
-hash, so a block goes from every later document, wherever and however often it stands there.
-``patience`` aligns two hash lists.
+shortest runs of enough words. The digest of such a run brings each later document together
+with the first one that holds it, which is the rarest overlap there is: pairs grow with the
+lines, however many documents share a line. Each pair is aligned with patience diff on the
+lines both sides share, and aligned blocks go from the later document. What one alignment
+leaves, because it stands there crossed or more than once, is aligned again by itself.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Hashable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import stored
 
 MIN_WORDS = 5
+#: Runs that one task aligns with one earlier document before its later documents are split over more tasks.
+PAIR_ROWS = 50_000
 _BLANKS = "[ \\t-\\r]+"
 
 
-def unique_anchors(a: Sequence[int], b: Sequence[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+def unique_anchors(a: Sequence[Hashable], b: Sequence[Hashable], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
     """The longest increasing run of lines that stand exactly once in both ranges."""
     def once(x, lo, hi):
-        at: dict[int, int] = {}
+        at: dict[Hashable, int] = {}
         for i in range(lo, hi):
             at[x[i]] = -1 if x[i] in at else i
         return at
@@ -49,8 +54,8 @@ def unique_anchors(a: Sequence[int], b: Sequence[int], alo: int, ahi: int, blo:
     return chain[::-1]
 
 
-def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned positions of two hash lists: equal ends are taken first, then unique common lines
+def patience(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int]]:
+    """Aligned positions of two lists of lines: equal ends are taken first, then unique common lines
     split the rest."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -74,66 +79,170 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+Runs = Iterable[tuple[int, tuple[bytes, ...]]]
+
+
+class Side:
+    """What one document brings to an alignment: its runs as (number of the first line, lines)."""
+
+    def __init__(self, runs: Runs):
+        self.runs: dict[tuple[int, tuple[bytes, ...]], None] = {}
+        self.at: dict[int, bytes] = {}
+        self.first: dict[tuple[bytes, ...], int] = {}
+        for lo, lines in runs:
+            self.runs[lo, lines] = None
+            self.at.update(enumerate(lines, lo))
+            self.first[lines] = min(lo, self.first.get(lines, lo))
+        self.places = sorted(self.at)
+        self.lines = [self.at[n] for n in self.places]
+
+
+def aligned_lines(later: Side, earlier: Side) -> set[int]:
+    """Line numbers of ``later`` that lie in blocks aligned with ``earlier``.
+
+    A run goes when its lines stand in one piece on both sides of the alignment. Runs that stay
+    are aligned once more, each with the stretch of ``earlier`` where it stands first.
+    """
+    met = {later.places[i]: earlier.places[j] for i, j in patience(later.lines, earlier.lines)}
+    gone: set[int] = set()
+    rest = []
+    for lo, lines in later.runs:
+        to = met.get(lo)
+        if to is not None and all(met.get(lo + k) == to + k for k in range(1, len(lines))):
+            gone.update(range(lo, lo + len(lines)))
+        else:
+            rest.append((lo, lines))
+    for lo, lines in rest:
+        start = earlier.first.get(lines)
+        if start is None or gone.issuperset(range(lo, lo + len(lines))):
+            continue
+        stretch = [earlier.at[start + k] for k in range(len(lines))]
+        if len(patience(lines, stretch)) == len(lines):
+            gone.update(range(lo, lo + len(lines)))
+    return gone
+
+
+def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: an earlier document's runs, then each later document's. One earlier and
+    one later document are held at a time."""
+    pair = doc = earlier = None
+    runs: list = []
+    ids, versions, gone = [], [], []
+
+    def close():
+        nonlocal earlier
+        if doc is None:
+            return
+        if not doc[0]:
+            earlier = Side(runs)
+            return
+        lines = aligned_lines(Side(runs), earlier)
+        if lines:
+            ids.append(doc[1])
+            versions.append(doc[2])
+            gone.append(sorted(lines))
+
+    def found():
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
+        for x in (ids, versions, gone):
+            x.clear()
+        return out
+
+    names = ["e_id", "e_version", "part", "later", "doc_id", "version", "lo", "h", "parts"]
+    for batch in batches:
+        for e, ev, part, later, d, v, lo, h, parts in zip(*[batch.column(c).to_pylist() for c in names]):
+            if (e, ev, part) != pair or (later, d, v) != doc:
+                close()
+                pair, doc, runs = (e, ev, part), (later, d, v), []
+            runs.append((lo, tuple(parts) if parts else (h,)))
+        yield found()
+    close()
+    yield found()
+
+
 def filled_lines(text: str) -> Column:
     """The lines that hold more than blanks, trimmed."""
     trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.regexp_replace(x, "^[ \\t-\\r]+|[ \\t-\\r]+$", ""))
     return F.filter(trimmed, lambda x: x != "")
 
 
+def _digest(x: Column) -> Column:
+    return F.unhex(F.md5(x))
+
+
 def _run(span: Column, min_words: int) -> Column:
-    """Hashes of the first lines of ``span`` that hold ``min_words`` words together, null where it ends before."""
-    none = F.struct(F.lit(0).alias("w"), F.array().cast("array<bigint>").alias("h"))
+    """Digests of the first lines of ``span`` that hold ``min_words`` words together, null where it ends before."""
+    none = F.struct(F.lit(0).alias("w"), F.array().cast("array<binary>").alias("h"))
     longer = lambda a, x: F.when(a["w"] >= min_words, a).otherwise(
         F.struct((a["w"] + x["w"]).alias("w"), F.concat(a["h"], F.array(x["h"])).alias("h")))
     return F.aggregate(span, none, longer, lambda a: F.when(a["w"] >= min_words, a["h"]))
 
 
 def shortest_runs(lines: str, min_words: int) -> Column:
-    """``lo, hi, h`` of the runs that blocks are made of: each line of ``min_words`` words alone,
-    and from each shorter line the shortest run on and the shortest run back. A line of a block
-    always lies in one of them that is inside the block."""
+    """``lo, h, parts`` of the runs that blocks are made of: each line of ``min_words`` words alone
+    (its own digest, no parts), and from each shorter line the shortest run on and the shortest run
+    back. A line of a block always lies in one of them that is inside the block."""
+    def several(lo, parts):
+        joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+        return F.struct(lo.alias("lo"), _digest(joined).alias("h"), parts.alias("parts"))
+
     def runs(x, n):
         on = _run(F.slice(lines, n + 1, min_words), min_words)
-        back = _run(F.reverse(F.slice(lines, F.greatest(n + 2 - min_words, F.lit(1)), F.least(n + 1, F.lit(min_words)))), min_words)
-        one = F.struct(n.alias("lo"), n.alias("hi"), x["h"].alias("h"))
-        pair = F.array(F.struct(n.alias("lo"), (n + F.size(on) - 1).alias("hi"), F.xxhash64(on).alias("h"), on.isNotNull().alias("full")),
-                       F.struct((n + 1 - F.size(back)).alias("lo"), n.alias("hi"), F.xxhash64(F.reverse(back)).alias("h"), back.isNotNull().alias("full")))
-        both = F.transform(F.filter(pair, lambda r: r["full"]), lambda r: F.struct(r["lo"], r["hi"], r["h"]))
+        back = F.reverse(_run(F.reverse(F.slice(lines, F.greatest(n + 2 - min_words, F.lit(1)), F.least(n + 1, F.lit(min_words)))), min_words))
+        one = F.struct(n.alias("lo"), x["h"].alias("h"), F.lit(None).cast("array<binary>").alias("parts"))
+        both = F.filter(F.array(several(n, on), several(n + 1 - F.size(back), back)), lambda r: r["parts"].isNotNull())
         return F.when(x["w"] >= min_words, F.array(one)).otherwise(both)
 
     return F.flatten(F.transform(lines, runs))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc (doc_id, version), gone``: the numbers of the filled lines that go from a document."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """``doc_id, version, gone``: the numbers of the filled lines that go from a document.
+
+    The later documents of an earlier one that more than ``pair_rows`` runs refer to are split
+    over several tasks, each of which receives the earlier document's shared runs.
+    """
     doc = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"))
-    hashed = F.transform(filled_lines("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, _BLANKS)).alias("w")))
+    hashed = F.transform(filled_lines("text"), lambda x: F.struct(_digest(x).alias("h"), F.size(F.split(x, _BLANKS)).alias("w")))
     lines = docs.filter("doc_id is not null and text is not null").select(doc.alias("doc"), hashed.alias("lines"))
     runs = lines.select("doc", F.explode(shortest_runs("lines", min_words)).alias("run")).select("doc", "run.*")
-    spread = runs.groupBy("h").agg(F.min("doc.doc_id").alias("first"), F.max("doc.doc_id").alias("last"))
-    again = runs.join(spread.filter("last > first").select("h", "first"), "h").filter("doc.doc_id > first")
-    return again.select("doc", F.explode(F.sequence("lo", "hi")).alias("n")).groupBy("doc").agg(F.collect_set("n").alias("gone"))
+    spread = runs.groupBy("h").agg(F.min("doc").alias("earlier"), F.max("doc.doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    spread = stored(spread.filter("last > earlier.doc_id").select("h", "earlier", "rows"), "first_holders")
+    cuts = spread.groupBy("earlier").agg(F.ceil(F.sum("rows") / pair_rows).cast("int").alias("cuts"))
+    # Stored, both sides of the join on ``h`` are plain shuffles, so a run of every document can be split.
+    first = stored(spread.join(cuts, "earlier").select("h", "earlier", "cuts"), "first_holders")
+    later = F.col("doc.doc_id") > F.col("earlier.doc_id")
+    part = F.when(later, F.array(F.pmod("doc.version", "cuts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))
+    met = runs.join(first, "h").filter(later | (F.col("doc") == F.col("earlier"))).select(
+        F.col("earlier.doc_id").alias("e_id"), F.col("earlier.version").alias("e_version"), F.explode(part).alias("part"),
+        later.alias("later"), "doc.doc_id", "doc.version", "lo", "h", "parts")
+    sides = met.repartition("e_id", "e_version", "part").sortWithinPartitions(
+        "e_id", "e_version", "part", "later", "doc_id", "version")
+    found = sides.mapInArrow(_align, "doc_id bigint, version bigint, gone array<int>")
+    return found.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` freed of repeated blocks, and ``lines_removed``.
 
-    Lines are compared without the blanks around them; empty lines do not count. A block of
-    ``min_words`` words or more that a document with a smaller id holds goes, each time it
-    stands in a document and in any order; no line is too frequent or too rare to be treated,
-    and the work grows with the lines only. The first document that holds a block keeps it.
+    Lines are compared by 128-bit digests, without the blanks around them; empty lines do not
+    count. A block of ``min_words`` words or more that a document with a smaller id holds goes,
+    each time it stands in a document and in any order; no line is too frequent or too rare to
+    be treated, and the work grows with the lines only. The first document that holds a block
+    keeps it.
 
     Unchanged texts stay as they are; a changed text is its remaining filled lines, perhaps
     none. Null texts and rows with a null id stay unchanged. Rows of one id are never compared
     with each other, and repeated rows are treated alike. An empty table gives an empty result.
-    Further columns are carried along; ``lines_removed`` replaces a column of that name.
+    Further columns are carried along, whatever their names; ``lines_removed`` replaces a column
+    of that name.
     """
-    gone = stored(removed_lines(docs, min_words), "gone").select(
-        F.col("doc.doc_id").alias("_id"), F.col("doc.version").alias("_version"), F.col("gone").alias("_gone"))
-    plain = docs.drop("lines_removed", "_id", "_version", "_gone")
-    match = (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
-    joined = plain.join(gone, match, "left")
-    left = F.filter(filled_lines("text"), lambda x, n: ~F.array_contains(F.col("_gone"), n))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).withColumn(
-        "lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_id", "_version", "_gone")
+    gone = stored(removed_lines(docs, min_words), "gone").alias("g")
+    plain = docs.drop("lines_removed").alias("d")
+    match = (F.col("d.doc_id").cast("bigint") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.version"))
+    left = F.filter(filled_lines("d.text"), lambda x, n: ~F.array_contains(F.col("g.gone"), n))
+    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
+    carried = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c != "lines_removed"]
+    return plain.join(gone, match, "left").select(
+        *carried, F.coalesce(F.size("g.gone"), F.lit(0)).alias("lines_removed"))

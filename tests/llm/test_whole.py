@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from sluice.llm.decontaminate import contaminated
-from sluice.llm.line_dedup import dedup_lines
+from sluice.llm.line_dedup import Side, aligned_lines, dedup_lines, removed_lines
 
 
 def kept_lines(docs, min_words=5):
@@ -38,6 +40,34 @@ def test_crossed_and_repeated_frequent_lines_go(spark):
     assert got[20] == "last one" and got[0] == docs[0][1] and got[11] == "own 11"
 
 
+def test_one_pair_is_aligned_in_whole_runs():
+    a, b, c = b"a", b"b", b"c"
+    earlier = Side([(0, (a, b)), (4, (c,)), (7, (a, b)), (9, (a,))])
+    assert aligned_lines(Side([(3, (a, b)), (8, (c,))]), earlier) == {3, 4, 8}
+    # Crossed and repeated runs stay in the first alignment and go in the next; half a run stays.
+    assert aligned_lines(Side([(0, (c,)), (2, (a, b)), (5, (c,)), (6, (a, b))]), earlier) == {0, 2, 3, 5, 6, 7}
+    assert aligned_lines(Side([(0, (b, c)), (5, (c, a))]), earlier) == set()
+
+
+def test_later_documents_split_over_tasks_give_the_same(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"v{k}x{j}" for j in range(n)) for k, n in enumerate([1, 2, 3, 5, 6, 9])]
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice(pool) for _ in range(9))) for i in range(60)], "doc_id bigint, text string")
+    rows = lambda n: {(r["doc_id"], r["version"]): sorted(r["gone"]) for r in removed_lines(docs, pair_rows=n).collect()}
+    assert rows(1) == rows(7) == rows(50_000) != {}
+
+
+def test_lines_keep_every_column(spark):
+    line = "a line that has more than five words"
+    names = ["_id", "_version", "_gone", "g", "d", "gone", "version", "later", "part", "e_id", "a.b", "lines_removed"]
+    docs = spark.createDataFrame([(2, f"{line}\nown"), (1, line)], "doc_id bigint, text string")
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    got = {r["doc_id"]: r.asDict() for r in dedup_lines(docs).collect()}
+    assert got[2]["text"] == "own" and got[2]["lines_removed"] == 1 and got[1]["lines_removed"] == 0
+    assert all(got[2][n] == n for n in names[:-1]) and set(got[2]) == set(docs.columns)
+
+
 ITEM = "A baker sells {} loaves for {} dollars each, and Anna buys {} of the loaves with her friend Peter before noon."
 
 
