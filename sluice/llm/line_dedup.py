@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sluice.llm.components import stored
 
 MIN_WORDS = 5
-#: Runs that one task aligns with one earlier document before its later documents are split over more tasks.
-PAIR_ROWS = 50_000
+#: Runs that are aligned with one earlier document before its later documents are split over more tasks.
+PAIR_ROWS = 4_000
 _BLANKS = "[ \\t-\\r]+"
 
 
@@ -201,15 +201,19 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, pair_rows: int =
     """``doc_id, version, gone``: the numbers of the filled lines that go from a document.
 
     The later documents of an earlier one that more than ``pair_rows`` runs refer to are split
-    over several tasks, each of which receives the earlier document's shared runs.
+    over several tasks, each of which receives the earlier document's shared runs. A part is at
+    least as large as the runs of the earlier document, so the copies at most double the rows.
     """
-    doc = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"))
+    doc = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("version"), F.size("lines").alias("filled"))
     hashed = F.transform(filled_lines("text"), lambda x: F.struct(_digest(x).alias("h"), F.size(F.split(x, _BLANKS)).alias("w")))
-    lines = docs.filter("doc_id is not null and text is not null").select(doc.alias("doc"), hashed.alias("lines"))
+    lines = docs.filter("doc_id is not null and text is not null").select(
+        "doc_id", F.xxhash64("text").alias("version"), hashed.alias("lines")).select(doc.alias("doc"), "lines")
     runs = lines.select("doc", F.explode(shortest_runs("lines", min_words)).alias("run")).select("doc", "run.*")
     spread = runs.groupBy("h").agg(F.min("doc").alias("earlier"), F.max("doc.doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
     spread = stored(spread.filter("last > earlier.doc_id").select("h", "earlier", "rows"), "first_holders")
-    cuts = spread.groupBy("earlier").agg(F.ceil(F.sum("rows") / pair_rows).cast("int").alias("cuts"))
+    part_rows = F.greatest(F.lit(pair_rows), 2 * F.col("earlier.filled"))
+    cuts = spread.groupBy("earlier").agg(F.sum("rows").alias("rows")).select(
+        "earlier", F.ceil(F.col("rows") / part_rows).cast("int").alias("cuts"))
     # Stored, both sides of the join on ``h`` are plain shuffles, so a run of every document can be split.
     first = stored(spread.join(cuts, "earlier").select("h", "earlier", "cuts"), "first_holders")
     later = F.col("doc.doc_id") > F.col("earlier.doc_id")

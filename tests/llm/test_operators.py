@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import pii
 from sluice.llm.line_dedup import patience
@@ -163,3 +164,31 @@ def test_pipeline(spark, data_dir):
         kept = after
     ids = {r["doc_id"] for r in P.run(spark, data_dir).select("doc_id").distinct().collect()}
     assert ids == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, data_dir):
+    """Nulls, empty and long texts, repeated rows, one id with two texts, clashing and missing columns."""
+    import corpus_pipeline as P
+
+    line = "the river runs past the old mill and the children play near its quiet banks all day"
+    other = "a lamp stood in the window of the small house while snow fell on the road and the hills"
+    rows = [(1, f"{line}\n{other}", "x"), (1, f"{line}\n{other}", "w"), (2, None, "x"), (3, "", "x"), (4, "long words " * 30_000, "x"),
+            (5, "one text under an id that another text has too and nothing else is like it here", "x"),
+            (5, "this second text stands under the same number and tells of ships and far ports only", "x"), (None, line, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string").withColumn("w", F.lit("other")).withColumn("_rest", F.lit(1))
+    want = {"language": None, "line_dedup": None, "near_dedup": {1, 4, 5}, "decontamination": {1, 4, 5}}
+    kept = docs.filter("doc_id is not null and text <> ''")
+    for name, stage in P.STAGES[1:-1]:
+        after = stage(spark, kept, data_dir)
+        assert after.columns == docs.columns
+        got = after.collect()
+        assert {r["doc_id"] for r in got} == (want[name] or {1, 4, 5})
+        if name == "near_dedup":
+            assert sorted((r["doc_id"], r["_id"]) for r in got) == [(1, "w"), (4, "x"), (5, "x"), (5, "x")]
+            assert len({r["text"] for r in got}) == 4
+        kept = after
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, docs.withColumn("lang", F.lit("en")).limit(0), data_dir).collect() == []
+    lines = P.lines(spark, docs, data_dir).collect()
+    assert {r["doc_id"] for r in lines} == {None, 1, 4, 5}
+    assert P.packing(spark, docs, data_dir).count() >= docs.count()
