@@ -21,8 +21,9 @@ LEADING_SHARE = 0.5
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id stands in ``ids (doc_id)``."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
+    """The rows of ``docs`` whose id stands in ``ids (doc_id)``, whatever other columns are called."""
+    wanted = ids.select("doc_id").distinct().alias("w")
+    return docs.alias("d").join(wanted, F.col("d.doc_id") == F.col("w.doc_id"), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +34,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document holds go; a document left without text goes."""
-    freed = dedup_lines(docs).filter("trim(text) <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return freed.select(*docs.columns)
+    """Blocks of lines that an earlier document holds go; a document left without text goes, and
+    one that came without text. ``n_chars`` follows the text where there is such a column."""
+    freed = dedup_lines(docs).filter("trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        freed = freed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return freed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, once if its row is repeated."""
-    marked = near_duplicates(docs)
-    return _kept(docs, marked.filter("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates stays. Of rows equal in id and text the one
+    with the least other columns stays; different texts under one id are different documents."""
+    kept = _kept(docs, near_duplicates(docs).filter("kept"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return kept.distinct()
+    least = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return least.select(*[F.col(c if c in ("doc_id", "text") else f"_rest.`{c}`") for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
