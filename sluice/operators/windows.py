@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from sluice import schema as S
 from sluice.functions.clean import present
 from sluice.operators.series import (
-    SERIES_ROWS, join_on, largest_series, over_series, series_position, small_side, time_blocks)
+    SERIES_ROWS, join_on, largest_series, over_series, series_position, small_side)
 
 EPSILON = 1e-8
+#: Stretches of time a frame of ``moving_aggregate`` is cut into; divides a second of microseconds.
+FRAME_PARTS = 64
+_OWN, _BACK, _INNER = 0, 1, 2
 
 
 def rolling_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
@@ -129,35 +132,50 @@ def time_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], train:
 def moving_aggregate(df: DataFrame, keys: Sequence[str], seconds: int, ts: str = "ts", value: str = "value",
                      out: str = "rolling_mean", block_seconds: int | None = None) -> DataFrame:
     """Mean over the last ``seconds`` of each series, both ends included; null for a row
-    without a time.
-
-    Series are cut into stretches of time, so a long one is spread over many tasks. Within a
-    stretch the mean is the difference of two running sums: each row is met again by a
-    marker at the open end of its frame. The cost does not grow with the rows in a frame,
-    and all windows share one shuffle.
+    without a time. NaN is a missing reading.
+
+    A frame is cut into ``FRAME_PARTS`` fixed stretches of time: the end of its oldest one, the whole
+    ones between, and the beginning of its newest one. All three are sums of their own readings
+    and nothing is ever subtracted, so a huge reading leaves no trace in frames that do not
+    hold it. The cost does not grow with the rows in a frame. A long or busy series is spread
+    over as many tasks as it has stretches; whole stretches are added up in blocks of
+    ``block_seconds``; rows without a time are not shuffled at all.
     """
-    block_seconds = block_seconds or max(24 * 3600, 4 * seconds)
-    spread = time_blocks(df, ts, block_seconds, back_seconds=seconds)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    # Rows take odd places; a marker takes the even place just before its frame's first row.
-    places = F.array_compact(F.array(
-        F.struct((at * 2 + 1).alias("k"), F.lit(False).alias("m")),
-        F.when(F.col("_own"), F.struct(((at - seconds * 1_000_000) * 2).alias("k"), F.lit(True).alias("m")))))
-    both = spread.withColumn("_p", F.explode(places)).select(
-        *keys, *[F.when(~F.col("_p.m"), F.col(c)).alias(c) for c in df.columns if c not in keys],
-        "_block", "_own", F.col("_p.k").alias("_k"), F.col("_p.m").alias("_m"))
-    stretch = Window.partitionBy("_block", *keys)
-    upto = stretch.orderBy("_k").rangeBetween(Window.unboundedPreceding, 0)
-    # NaN is a missing reading; in a running sum it would spoil every later mean of the stretch.
+    span = seconds * 1_000_000
+    part = span // FRAME_PARTS
+    block = part * max((block_seconds or 64 * seconds) * 1_000_000 // part, FRAME_PARTS)
     reading = present(F.col(value).cast("double"))
-    summed = both.withColumn("_s", F.coalesce(F.sum(reading).over(upto), F.lit(0.0))).withColumn("_c", F.count(reading).over(upto))
-    # Markers stand in the order of their rows: the n-th belongs to the n-th.
-    nth = Window.partitionBy("_block", *keys, "_own", "_m").orderBy("_k")
-    paired = Window.partitionBy("_block", *keys, "_own", "_n")
-    before = summed.withColumn("_n", F.row_number().over(nth)).withColumn(
-        "_b", F.max(F.when(F.col("_m"), F.struct("_s", "_c"))).over(paired))
-    mean = F.when(F.col("_k").isNotNull(), F.try_divide(F.col("_s") - F.col("_b._s"), F.col("_c") - F.col("_b._c")))
-    return before.filter("_own AND NOT _m").select(*df.columns, mean.alias(out))
+    timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = timed.filter("_at IS NOT NULL").withColumn("_part", F.col("_at") - F.pmod("_at", F.lit(part)))
+
+    whole = rows.groupBy(*keys, "_part").agg(F.sum(reading).alias("_s"), F.count(reading).alias("_c"))
+    home = lambda at: at - F.pmod(at, F.lit(block))
+    reach = F.sequence(home(F.col("_part")), home(F.col("_part") + (span - part)), F.lit(block))
+    between = Window.partitionBy("_block", *keys).orderBy("_part").rangeBetween(part - span, -part)
+    inner = (whole.withColumn("_block", F.explode(reach))
+             .withColumn("_s", F.sum("_s").over(between)).withColumn("_c", F.sum("_c").over(between))
+             .filter(F.col("_block") == home(F.col("_part")))
+             .select(*keys, "_part", F.col("_part").alias("_k"), F.lit(_INNER).alias("_kind"), "_s", "_c"))
+
+    # A row stands in its own stretch and, one span later, in the stretch whose frames begin at it.
+    places = F.explode(F.array(F.lit(_OWN), F.lit(_BACK)))
+    later = F.when(F.col("_kind") == _BACK, F.lit(span)).otherwise(F.lit(0))
+    both = rows.withColumn("_kind", places).select(
+        *keys, *[F.when(F.col("_kind") == _OWN, F.col(c)).alias(c) for c in df.columns if c not in keys],
+        (F.col("_part") + later).alias("_part"), (F.col("_at") + later).alias("_k"), "_kind",
+        reading.alias("_s"), reading.isNotNull().cast("bigint").alias("_c"))
+    cell = Window.partitionBy("_part", *keys)
+    upto = cell.orderBy(F.col("_k").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = cell.orderBy(F.col("_k").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = F.col("_kind") == _BACK
+
+    def total(c):
+        return F.coalesce(F.sum(F.when(~back, F.col(c))).over(upto), F.lit(0)) + F.coalesce(F.sum(F.when(back, F.col(c))).over(since), F.lit(0))
+
+    summed = both.unionByName(inner, allowMissingColumns=True).withColumn("_sum", total("_s")).withColumn("_n", total("_c"))
+    means = summed.filter(F.col("_kind") == _OWN).select(*df.columns, F.try_divide("_sum", "_n").alias(out))
+    untimed = timed.filter("_at IS NULL").select(*df.columns, F.lit(None).cast("double").alias(out))
+    return means.unionByName(untimed)
 
 
 def rolling_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,

@@ -159,3 +159,33 @@ def test_moving_aggregate_keeps_rows_without_a_time(spark):
     df = spark.createDataFrame(rows, "id int, entity string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r["id"]: r["rolling_mean"] for r in W.moving_aggregate(df, ["entity"], 30).collect()}
     assert got == {1: 1.0, 2: None, 3: 2.0, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("seconds", [1, 13, 600, 200_000])
+def test_moving_aggregate_of_mixed_sizes_and_a_hot_stretch(spark, seconds):
+    """A huge reading leaves no trace in frames without it; equal times, times before 1970, NaN and null keys."""
+    rnd = random.Random(seconds)
+    rows = []
+    for i in range(500):
+        at = rnd.choice([-3_000_000, 0, 5_000_000]) + rnd.randrange(40_000) / 16 if i % 3 else 700.0 + rnd.randrange(30) / 8
+        value = rnd.choice([1e17, -1e17, 0.3, 0.1, 2.5, float("nan"), None])
+        rows.append((i, None if i % 3 == 0 else i % 2, int(at * 1_000_000), value))
+    df = spark.createDataFrame(rows, "id int, entity int, micros bigint, value double").withColumn("ts", F.timestamp_micros("micros"))
+    got = {r["id"]: r["rolling_mean"] for r in W.moving_aggregate(df, ["entity"], seconds, block_seconds=2 * seconds).collect()}
+    assert len(got) == len(rows)
+    for i, entity, at, _ in rows:
+        inside = [v for _, e, t, v in rows if e == entity and at - seconds * 1_000_000 <= t <= at and v is not None and v == v]
+        if not inside:
+            assert got[i] is None
+        elif max(map(abs, inside)) < 10:
+            assert got[i] == pytest.approx(sum(inside) / len(inside), rel=1e-12)
+        else:
+            assert got[i] == pytest.approx(np.sum(inside) / len(inside), abs=1e3)
+
+
+def test_a_busy_stretch_is_spread(spark):
+    rows = spark.range(2_000).select(F.lit(1).alias("entity"), F.timestamp_seconds(F.col("id") * 40).alias("ts"), (F.col("id") % 5).cast("double").alias("value"))
+    rows = rows.withColumn("task", F.lit(0))
+    out = W.moving_aggregate(rows, ["entity"], 2 * 86_400).withColumn("task", F.spark_partition_id())
+    with_one = out.groupBy("task").count().agg(F.max("count")).first()[0]
+    assert out.count() == 2_000 and with_one < 1_000
