@@ -12,13 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice import schema as S
-from sluice.functions.clean import clean_numeric, fit_moments, standard_scale, trim_text, zscore_normalise
+from sluice.functions.clean import clean_numeric, fit_moments, present, standard_scale, trim_text, zscore_normalise
 from sluice.operators import tsquery as Q
 from sluice.operators import windows as W
 from sluice.operators.series import QUANTILE_ROWS, group_quantiles, join_on, small_side
 from sluice.session import cut_lineage
 
 
+def reading(column: str) -> Column:
+    """A column's value; a missing one (null or NaN) counts as 0."""
+    return F.coalesce(present(F.col(column).cast("double")), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Reconstruction:
     """Scaler moments and the leading directions of the normal rows (none: scaler only)."""
@@ -28,7 +33,7 @@ class Reconstruction:
     directions: list[list[float]] = field(default_factory=list)
 
     def scaled(self) -> dict[str, Column]:
-        return {c: (F.coalesce(F.col(c), F.lit(0.0)) - m) / F.lit(s or 1.0) for c, (m, s) in self.moments.items()}
+        return {c: (reading(c) - F.lit(m)) / F.lit(s or 1.0) for c, (m, s) in self.moments.items()}
 
     def residuals(self, df: DataFrame) -> DataFrame:
         """Each sensor column replaced by its squared reconstruction error."""
@@ -53,7 +58,7 @@ def fit_reconstruction(normal: DataFrame, columns: Sequence[str], k: int = 0) ->
     moments = fit_moments(normal, columns)
     if not k:
         return Reconstruction(columns, moments)
-    scaled = standard_scale(normal.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]), columns, moments)
+    scaled = standard_scale(normal.select(*[reading(c).alias(c) for c in columns]), columns, moments)
     rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).select("_x")
     pc = PCA(k=k, inputCol="_x", outputCol="_p").fit(rows).pc.toArray()
     return Reconstruction(columns, moments, [[float(v) for v in pc[:, j]] for j in range(k)])
@@ -258,6 +263,56 @@ def moments_of(states: DataFrame) -> dict[str, tuple[float, float]]:
     return {r["feature"]: (r["mean"], (max(r["m2"], 0.0) / r["n"]) ** 0.5) for r in states.collect()}
 
 
+CO_MOMENTS = "a string, b string, n bigint, mean_a double, mean_b double, c double"
+
+
+def batch_co_moments(df: DataFrame, columns: Sequence[str], batch: Sequence[str] = ()) -> DataFrame:
+    """(batch, a, b, n, mean_a, mean_b, c), the mergeable state of scaler and directions: for each
+    pair of columns rows, means and summed co-deviation of their readings with 0 for missing ones,
+    and per column (``b`` null) the moments of its present readings. One aggregate; the state
+    grows with the square of the columns, not with the rows."""
+    columns = list(columns)
+    name = {c: f"_{i}" for i, c in enumerate(columns)}
+    filled = df.select(*batch, *[present(F.col(c).cast("double")).alias(f"p{name[c]}") for c in columns], *[reading(c).alias(name[c]) for c in columns])
+
+    def state(a, b):
+        x, y = (f"p{name[a]}",) * 2 if b is None else (name[a], name[b])
+        return F.struct(F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"), F.count(x).alias("n"), F.avg(x).alias("mean_a"),
+                        F.avg(y).alias("mean_b"), (F.covar_pop(x, y) * F.count(x)).alias("c"))
+
+    pairs = [(a, b) for i, a in enumerate(columns) for b in [None, *columns[i:]]]
+    wide = filled.groupBy(*batch).agg(*[state(a, b).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    states = wide.select(*batch, F.explode(F.array(*[f"s{i}" for i in range(len(pairs))])).alias("s"))
+    return states.filter("s.n > 0").select(*batch, "s.*")
+
+
+def merge_co_moments(states: DataFrame) -> DataFrame:
+    """One state per pair from any number of partial states, as if fitted at once."""
+    pair, n = Window.partitionBy("a", "b"), F.col("n")
+    centred = states.select("a", "b", "n", "mean_a", "mean_b", "c", (F.sum(n * F.col("mean_a")).over(pair) / F.sum(n).over(pair)).alias("_a"),
+                            (F.sum(n * F.col("mean_b")).over(pair) / F.sum(n).over(pair)).alias("_b"))
+    apart = n * (F.col("mean_a") - F.col("_a")) * (F.col("mean_b") - F.col("_b"))
+    return centred.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("_a").alias("mean_a"), F.first("_b").alias("mean_b"),
+                                         F.sum(F.col("c") + apart).alias("c"))
+
+
+def reconstruction_of(states: DataFrame, columns: Sequence[str], k: int) -> Reconstruction:
+    """Scaler and ``k`` leading directions from merged co-moments. Only they reach the driver:
+    one number per pair of columns. A column without a reading has mean 0 and no direction."""
+    columns = list(columns)
+    at = {c: i for i, c in enumerate(columns)}
+    moments = {c: (0.0, 0.0) for c in columns}
+    spread = np.zeros((len(columns), len(columns)))
+    for r in states.collect():
+        if r["b"] is None:
+            moments[r["a"]] = (r["mean_a"], (max(r["c"], 0.0) / r["n"]) ** 0.5)
+        else:
+            spread[at[r["a"]], at[r["b"]]] = spread[at[r["b"]], at[r["a"]]] = r["c"] / r["n"]
+    scale = np.array([moments[c][1] or 1.0 for c in columns])
+    _, vectors = np.linalg.eigh(spread / np.outer(scale, scale))
+    return Reconstruction(columns, moments, [[float(v) for v in vectors[:, -1 - j]] for j in range(k)])
+
+
 class ParameterStore:
     """Versioned parameter table in a shared folder. Readers take the newest complete
     version, so a job that asks per batch always follows the last fit."""

@@ -59,6 +59,25 @@ def reconstruction_score(spark, sf_dir):
     return rounded(energy(spark, sf_dir, k=2).select(*IDS, "anomaly_score"))
 
 
+# Two scaled columns have their leading direction at half the angle of (spread difference, twice the covariance).
+PAIR = ["quantity", "price"]
+PAIR_SCORE = f"""
+WITH {WIDE}, mo AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM wide WHERE label = 'Normal'),
+z AS (SELECT {IDS_SQL}, label, (quantity - mq) / sq AS zq, (price - mp) / sp AS zp FROM wide, mo),
+an AS (SELECT 0.5 * atan2(2 * covar_pop(zq, zp), var_pop(zq) - var_pop(zp)) AS t FROM z WHERE label = 'Normal'),
+sc AS (SELECT {IDS_SQL}, sum((zq * sin(t) - zp * cos(t)) * (zq * sin(t) - zp * cos(t))) OVER f AS anomaly_score, count(*) OVER f AS n FROM z, an
+  WINDOW f AS (PARTITION BY entity ORDER BY {ORDER_SQL} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT {IDS_SQL}, round(anomaly_score, 6) AS anomaly_score FROM sc WHERE n = 30"""
+
+
+@query("I1", "reconstruction_pair", sql=PAIR_SCORE)
+def reconstruction_pair(spark, sf_dir):
+    """Two columns and one direction, which SQL can restate."""
+    rows = wide(spark, sf_dir)
+    model = A.fit_reconstruction(normal_of(rows), PAIR, 1)
+    return rounded(A.reconstruction_score(rows, model, ENTITY, WIDE_ORDER).select(*IDS, "anomaly_score"))
+
+
 @query("I2", "energy_score", sql=f"WITH {ENERGY} SELECT {IDS_SQL}, round(anomaly_score, 6) AS anomaly_score FROM score")
 def energy_score(spark, sf_dir):
     return rounded(energy(spark, sf_dir).select(*IDS, "anomaly_score"))

@@ -32,6 +32,19 @@ def train_job(store: A.ParameterStore, columns: Sequence[str], keys: Sequence[st
     return run
 
 
+def directions_job(store: A.ParameterStore, columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Each batch adds its co-moments to the stored ones, from which ``reconstruction_of`` derives
+    scaler and directions anew. Batch ``i`` reads version ``i`` and writes version ``i + 1``, so a
+    batch that is run again counts once; a batch without rows hands the state on."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        fresh = A.batch_co_moments(batch, columns)
+        known = store.version(batch_id) if batch_id else store.spark.createDataFrame([], A.CO_MOMENTS)
+        store.save(A.merge_co_moments(known.unionByName(fresh)), batch_id + 1)
+
+    return run
+
+
 def score_windows(windows: DataFrame, model: A.Reconstruction, sequence: str = "sequence") -> DataFrame:
     """``anomaly_score`` of windows held as ``array<array<double>>``: the summed squared error of their rows."""
     scaled = [(i, *model.moments[c]) for i, c in enumerate(model.columns)]

@@ -214,3 +214,38 @@ def test_surrogate_queries_do_the_operators_whole_job(spark, data_dir, monkeypat
     assert [x.get("kind", "forest") for x in fits] == ["forest", "boosted", "forest"]
     assert not any({"trees", "depth"} & set(x) for x in fits)
     assert explained == [scoring.surrogate(spark, data_dir).count()]
+
+
+def test_directions_merged_over_batches_are_those_of_one_fit(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(400, 2))
+    x = np.c_[base[:, 0] * 5 + 40, base[:, 0] - base[:, 1], base[:, 1] * 3 + 10, rnd.normal(size=400)]
+    rows = [(i, i % 7 if i < 300 else 9, *[None if rnd.random() < 0.05 else float("nan") if rnd.random() < 0.05 else float(v) for v in r]) for i, r in enumerate(x)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "t int, part int, a double, b double, c double, d double")
+    merged = A.merge_co_moments(A.batch_co_moments(df, names, ["part"]).drop("part"))
+    for model in (A.reconstruction_of(merged, names, 2), A.fit_reconstruction(df, names, 2)):
+        shown = np.array([[0.0 if v is None or v != v else v for v in r[2:]] for r in rows])
+        mean = [np.mean([r[j] for r in rows if r[j] is not None and r[j] == r[j]]) for j in range(2, 6)]
+        std = [np.std([r[j] for r in rows if r[j] is not None and r[j] == r[j]]) for j in range(2, 6)]
+        z = (shown - mean) / std
+        _, _, vt = np.linalg.svd(z - z.mean(0), full_matrices=False)
+        want = ((z - z @ vt[:2].T @ vt[:2]) ** 2)
+        got = np.array([[r[c] for c in names] for r in model.residuals(df).orderBy("t").collect()])
+        assert got == pytest.approx(want, rel=1e-7, abs=1e-9)
+
+
+def test_a_direction_batch_run_again_counts_once(spark, tmp_path):
+    from sluice.streaming.processors import directions_job
+
+    df = spark.createDataFrame([(i, float(i), float(i * i % 11)) for i in range(60)], "t int, a double, b double")
+    store = A.ParameterStore(spark, str(tmp_path / "directions"))
+    job = directions_job(store, ["a", "b"])
+    for batch, number in ((df.filter("t < 20"), 0), (df.filter("t >= 20"), 1), (df.filter("t >= 20"), 1), (df.limit(0), 2)):
+        job(batch, number)
+    got = {(r["a"], r["b"]): (r["n"], r["mean_a"], r["c"]) for r in store.latest().collect()}
+    one = {(r["a"], r["b"]): (r["n"], r["mean_a"], r["c"]) for r in A.batch_co_moments(df, ["a", "b"]).collect()}
+    assert store.latest_version() == 3 and set(got) == set(one) == {("a", None), ("b", None), ("a", "a"), ("a", "b"), ("b", "b")}
+    assert all(got[p] == pytest.approx(one[p]) for p in one)
+    empty = A.reconstruction_of(A.batch_co_moments(df.limit(0), ["a", "b"]), ["a", "b"], 1)
+    assert empty.moments == {"a": (0.0, 0.0), "b": (0.0, 0.0)}
