@@ -79,6 +79,13 @@ def error_by_step(errors: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame
     return errors.groupBy(*by).agg(F.avg("error").alias("mae"))
 
 
+def error_ranking(errors: DataFrame, by: Sequence[str] = ("field",), step: str = "step") -> DataFrame:
+    """(step, by, mae, n, rank): per step the groups from the largest mean error down; ties by
+    name. Only the aggregate is ranked."""
+    means = errors.groupBy(step, *by).agg(F.avg("error").alias("mae"), F.count("error").alias("n"))
+    return means.withColumn("rank", F.row_number().over(Window.partitionBy(step).orderBy(F.desc_nulls_last("mae"), *by)))
+
+
 def error_by_step_window(errors: DataFrame, every: str, by: Sequence[str] = ("step",), ts: str = "ts") -> DataFrame:
     return Q.tumble(errors, every, by, F.avg("error").alias("mae"), ts=ts)
 

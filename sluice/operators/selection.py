@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sluice import schema as S
 from sluice.functions.clean import NUMERIC, attack_flag, present
+from sluice.operators.series import group_quantiles
 from sluice.sources.readers import sample_n
 
 VARIANCE, NULLS, CORRELATION = 1e-6, 0.5, 0.98
@@ -127,14 +128,19 @@ def corr_ranking(matrix: DataFrame, columns: Sequence[str], n: int = 30) -> Data
 
 
 def mutual_info(df: DataFrame, columns: Sequence[str], label: str = "label", bins: int = 16,
-                equal_depth: bool = False) -> DataFrame:
+                equal_depth: bool = False, exact: bool = False) -> DataFrame:
     """(feature, importance): mutual information (nats) between the binned feature and the
-    label. Nulls and NaN count as 0. Bins are of equal width, or of equal depth by a sketch."""
+    label. Nulls and NaN count as 0. Bins are of equal width, or of equal depth: by a sketch in
+    one pass, or by ``exact`` distributed quantiles."""
     filled = df.select(*[F.coalesce(present(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns], F.col(label).alias("_y"))
     if equal_depth:
         cuts = [k / bins for k in range(1, bins)]
-        row = filled.agg(*[F.percentile_approx(c, cuts, 10_000).alias(c) for c in columns]).first()
-        binned = [sum((F.col(c) > e).cast("int") for e in sorted(set(row[c]))).alias(c) for c in columns]
+        if exact:
+            tall = filled.select(*columns).unpivot([], list(columns), "feature", "value")
+            row = {c: [] for c in columns} | {r["feature"]: r["quantiles"] for r in group_quantiles(tall, ["feature"], "value", cuts).collect()}
+        else:
+            row = filled.agg(*[F.percentile_approx(c, cuts, 10_000).alias(c) for c in columns]).first()
+        binned = [sum(((F.col(c) > e).cast("int") for e in sorted(set(row[c] or []))), F.lit(0)).alias(c) for c in columns]
     else:
         row = filled.agg(*[e for c in columns for e in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
         binned = [_equal_width(c, row[f"{c}_lo"], row[f"{c}_hi"], bins) for c in columns]

@@ -76,10 +76,13 @@ def corr_ranking(spark, sf_dir):
     return rounded(G.corr_ranking(G.corr_matrix(selection_frame(spark, sf_dir), FEATURES), FEATURES))
 
 
-def mutual_info_sql(columns, bins=16):
-    cells = " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, y, least(floor(({c} - lo) / (hi - lo) * {bins}), {bins - 1})::INTEGER AS bin
-        FROM (SELECT {c}, y, min({c}) OVER () AS lo, max({c}) OVER () AS hi FROM filled)""" for c in columns)
+def mutual_info_sql(columns, bins=16, equal_depth=False):
+    width = (f"least(floor(({{c}} - lo) / (hi - lo) * {bins}), {bins - 1})::INTEGER AS bin "
+             "FROM (SELECT {c}, y, min({c}) OVER () AS lo, max({c}) OVER () AS hi FROM filled)")
+    cuts = ", ".join(str(k / bins) for k in range(1, bins))
+    depth = (f"len(list_filter(q, lambda e: {{c}} > e))::INTEGER AS bin "
+             f"FROM filled, (SELECT list_distinct(quantile_cont({{c}}, [{cuts}])) AS q FROM filled)")
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, y, {(depth if equal_depth else width).format(c=c)}" for c in columns)
     filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in columns)
     return f"""filled AS (SELECT {filled}, CASE WHEN label = 'Attack' THEN 1 ELSE 0 END AS y FROM sel),
 cells AS ({cells}), n AS (SELECT feature, bin, y, count(*)::DOUBLE AS n FROM cells GROUP BY ALL),
@@ -95,6 +98,14 @@ def mutual_info(spark, sf_dir):
     return rounded(G.mutual_info(rows, FEATURES), 9)
 
 
+@query("G6", "mutual_info_depth", sql=f"""
+WITH {SELECTION}, {mutual_info_sql(FEATURES, equal_depth=True)} SELECT feature, round(importance, 9) AS importance FROM mi""")
+def mutual_info_depth(spark, sf_dir):
+    """Bins that hold equally many rows each: outliers do not stretch them."""
+    rows = selection_frame(spark, sf_dir).withColumn("label", G.attack_flag(F.col("Normal_Attack")))
+    return rounded(G.mutual_info(rows, FEATURES, equal_depth=True, exact=True), 9)
+
+
 @query("G7", "forest_importance")
 def forest_importance(spark, sf_dir):
     rows = selection_frame(spark, sf_dir).withColumn("label", G.attack_flag(F.col("Normal_Attack")))

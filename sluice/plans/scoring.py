@@ -325,6 +325,19 @@ def error_by_step(spark, sf_dir):
     return rounded(whole.unionByName(daily, allowMissingColumns=True).select("part", "start", "step", "mae"))
 
 
+FIELD_BACKTEST = BACKTEST.replace("PARTITION BY entity ", "PARTITION BY entity, field ").replace("SELECT entity, event_id", "SELECT entity, field, event_id")
+
+
+@query("J6", "error_by_field", sql=f"""
+WITH {FIELD_BACKTEST}, m AS (SELECT step, field, avg(error) AS mae, count(*) AS n FROM bt GROUP BY ALL)
+SELECT step, field, round(mae, 6) AS mae, n, row_number() OVER (PARTITION BY step ORDER BY mae DESC, field)::INTEGER AS rank FROM m""")
+def error_by_field(spark, sf_dir):
+    """Each field of a device is forecast by its own trend; per step the worst field comes first."""
+    rows = points(spark, sf_dir).select("entity", "event_id", "ts", "field", "value")
+    errors = J.forecast_backtest(rows, ["entity", "field"], ["ts", "event_id"])
+    return rounded(J.error_ranking(errors))
+
+
 @query("J7", "alert_count", sql=f"""
 WITH {PAIRS} SELECT count(*) AS alerts FROM pr WHERE abs((actual - forecast) / forecast * 100) > 10
   AND ts >= (SELECT max(ts) FROM pr) - INTERVAL '24 hours'""")

@@ -249,3 +249,9 @@ def test_a_direction_batch_run_again_counts_once(spark, tmp_path):
     assert all(got[p] == pytest.approx(one[p]) for p in one)
     empty = A.reconstruction_of(A.batch_co_moments(df.limit(0), ["a", "b"]), ["a", "b"], 1)
     assert empty.moments == {"a": (0.0, 0.0), "b": (0.0, 0.0)}
+
+
+def test_errors_ranked_per_step(spark):
+    rows = [(1, "a", 2.0), (1, "a", 4.0), (1, "b", 3.0), (1, "c", None), (2, "a", 1.0), (2, "b", 5.0)]
+    got = [tuple(r) for r in J.error_ranking(spark.createDataFrame(rows, "step int, field string, error double")).orderBy("step", "rank").collect()]
+    assert got == [(1, "a", 3.0, 2, 1), (1, "b", 3.0, 1, 2), (1, "c", None, 0, 3), (2, "b", 5.0, 1, 1), (2, "a", 1.0, 1, 2)]

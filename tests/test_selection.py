@@ -79,3 +79,12 @@ def test_steps_run_on_survivors(spark):
     assert found.removal_summary() == {"static_features": 1, "high_null_features": 1, "correlated_features": 1,
                                        "total_removed": 3, "final_features": 1}
     assert list(found.top_importance(1)) == ["x"]
+
+
+def test_equal_depth_bins_of_ties_and_outliers(spark):
+    """Exact cuts: a lone outlier does not stretch the bins, equal values share one, no rows give no bins."""
+    rows = [(float(i % 8) if i else 1e9, 5.0, int(i % 8 >= 4)) for i in range(800)]
+    df = spark.createDataFrame(rows, "x double, flat double, label int")
+    got = {r["feature"]: r["importance"] for r in G.mutual_info(df, ["x", "flat"], bins=8, equal_depth=True, exact=True).collect()}
+    assert got["x"] > 0.68 and abs(got["flat"]) < 1e-12
+    assert G.mutual_info(df.limit(0), ["x", "flat"], equal_depth=True, exact=True).collect() == []
