@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from sluice.llm import text as X
 from sluice.llm.components import components, stored
 
+#: The texts (doc_id, text) of the classes whose number stands in a table (doc_id).
+Texts = Callable[[DataFrame], DataFrame]
+
 SKETCH = 128
 BRANCHES = 2
 NODE_ROWS = 2048
@@ -76,9 +79,10 @@ def _features(batches, k: int, trees: int) -> Iterator[pa.RecordBatch]:
             digest = [hashlib.blake2b(sets[a:b], digest_size=16).digest() if b > a else None
                       for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()),
+                [batch.column("doc_id").slice(at, to - at), batch.column("text_md5").slice(at, to - at),
+                 pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()),
                  _fixed(low), _fixed((low >> np.uint32(13)).astype(np.uint8)), _fixed(base)],
-                ["doc_id", "n_shingles", "digest", "low", "sketch", "base"])
+                ["doc_id", "text_md5", "n_shingles", "digest", "low", "sketch", "base"])
 
 
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
@@ -286,13 +290,13 @@ def forest_pairs(nodes: DataFrame, reps: DataFrame, percent: int, trees: int) ->
         lambda batches: (_forest(table, percent, trees) for table in _whole_nodes(batches)), "a bigint, b bigint, more bigint")
 
 
-def exact_links(nodes: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
+def exact_links(nodes: DataFrame, reps: DataFrame, texts: Texts, k: int, percent: int, trees: int) -> DataFrame:
     """``a, b``: confirmed links that join whatever the links of each node join between groups.
 
     The full sets travel to the nodes, so no pair leaves a task unless it is a link. A node with
     many shingles is dealt block against block: every pair still meets, in bounded memory.
     """
-    sets = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
+    sets = texts(nodes.select("doc_id").distinct()).mapInArrow(
         lambda batches: _sets(batches, k), "doc_id bigint, shingles array<bigint>")
     weights = nodes.join(reps.select("doc_id", "n_shingles"), "doc_id").groupBy("node").agg(
         F.ceil(F.sum("n_shingles") * 2 / F.lit(NODE_SHINGLES)).cast("int").alias("n"))
@@ -304,7 +308,7 @@ def exact_links(nodes: DataFrame, reps: DataFrame, texts: DataFrame, k: int, per
         lambda batches: (_exact_forest(table, percent, trees) for table in _whole_nodes(batches)), "a bigint, b bigint")
 
 
-def linked(reps: DataFrame, texts: DataFrame, k: int, percent: int, miss: float = MISS) -> DataFrame:
+def linked(reps: DataFrame, texts: Texts, k: int, percent: int, miss: float = MISS) -> DataFrame:
     """``node, component`` of all documents with links, as :func:`components` gives them.
 
     First the nodes of ``FIRST_TREES`` trees give the pairs of a maximum spanning forest by sketch
@@ -336,10 +340,10 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), lists], ["doc_id", "shingles"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold. Only texts that stand in a pair are read on."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(
+    sets = texts(wanted).mapInArrow(
         lambda batches: _sets(batches, k), "doc_id bigint, shingles array<bigint>")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -349,31 +353,54 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
+def near_rows(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """``doc_id, text_md5, n_shingles, component_id, kept``: what :func:`near_duplicates` gives, with
+    the digest of the text, so that rows of one id can be told apart.
 
-    Two documents are linked when 100 x shared shingles >= ``percent`` x all shingles of both;
-    components are what links reach; ``component_id`` is the least id in it and its row is
-    kept. Documents with the same set are one class, compared once. Nulls and texts without
-    words have no shingles and stand alone; repeated rows of one id fall into one class and
-    share its decision. Rows with a null id keep a null component and are kept. Other columns
-    are ignored. An empty table gives an empty result.
+    Inside, a class of equal sets goes by a number of its own in the column ``doc_id``, never by
+    the id of a document: several texts under one id are several classes.
     """
     trees = trees_for(percent, miss)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = slim.withColumn("text_md5", F.md5("text"))
     features = stored(slim.mapInArrow(
-        lambda batches: _features(batches, k, trees),
-        "doc_id bigint, n_shingles bigint, digest binary, low binary, sketch binary, base binary"), "features")
+        lambda batches: _features(batches, k, trees), "doc_id bigint, text_md5 string, n_shingles bigint, "
+        "digest binary, low binary, sketch binary, base binary"), "features")
     named = features.filter("doc_id is not null and digest is not null")
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = (named.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("_d")), "doc_id")
-            .filter("digest = _d").drop("_d", "digest").dropDuplicates(["doc_id"]))
-    reps = stored(reps, "reps")
-    texts = slim.join(reps.select("doc_id"), "doc_id", "left_semi")
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_md5")).alias("rep"))
+    classes = stored(classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.text_md5").alias("text_md5"),
+                                    F.monotonically_increasing_id().alias("class")), "classes")
+    first = classes.select(F.col("rep").alias("doc_id"), "text_md5", "class")
+    reps = stored(named.drop("digest").join(first, ["doc_id", "text_md5"]).dropDuplicates(["class"])
+                  .drop("text_md5", "doc_id").withColumnRenamed("class", "doc_id"), "reps")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        chosen = first.join(wanted.select(F.col("doc_id").alias("class")), "class", "left_semi")
+        return slim.join(chosen, ["doc_id", "text_md5"]).select(F.col("class").alias("doc_id"), "text")
+
     groups = linked(reps, texts, k, percent, miss)
-    labelled = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"))
-    out = features.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
-    lead = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", lead.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    members = stored(groups.withColumnRenamed("node", "class").join(classes.drop("text_md5"), "class"), "members")
+    leads = members.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("lead"))
+    joined = members.select("digest", "component").join(leads, "component").select("digest", "lead")
+    out = features.select("doc_id", "text_md5", "n_shingles", "digest").join(
+        classes.select("digest", F.struct("rep", "digest").alias("own")), "digest", "left").join(joined, "digest", "left")
+    lead = F.coalesce("lead", "own")
+    is_lead = (F.col("doc_id") == lead["rep"]) & (F.col("digest") == lead["digest"])
+    return out.select("doc_id", "text_md5", "n_shingles",
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce(lead["rep"], F.col("doc_id"))).alias("component_id"),
+                      F.coalesce(is_lead, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
+
+    Two documents are linked when 100 x shared shingles >= ``percent`` x all shingles of both;
+    components are what links reach; ``component_id`` is the least id in it and its row is
+    kept. Documents with the same set are one class, compared once. Nulls and texts without
+    words have no shingles and stand alone; repeated rows share one decision. Different texts
+    under one id are different documents, each linked by its own text; where the least id of a
+    component holds several of its texts, one of them (by the digest of its set) is kept. Rows
+    with a null id keep a null component and are kept. Other columns are ignored. An empty table
+    gives an empty result.
+    """
+    return near_rows(docs, k, percent, miss).drop("text_md5")

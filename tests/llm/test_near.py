@@ -49,3 +49,25 @@ def test_components(spark, monkeypatch, node_rows, node_shingles, k, percent):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(docs, k, percent).collect()}
     assert got == brute(rows, k, percent)
+
+
+def test_different_texts_under_one_id_keep_their_own_links(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b + " end"), (7, b), (9, c), (9, c), (9, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in M.near_duplicates(docs).collect()))
+    by_id = {i: [(n, lead, kept) for j, n, lead, kept in got if j == i] for i in (0, 1, 5, 7, 9)}
+    assert by_id[1] == [(56, 1, True)] and by_id[7] == [(56, 5, False)] and by_id[0] == [(56, 0, True)]
+    assert [(n, lead) for n, lead, _ in by_id[5]] == [(56, 1), (56, 5), (57, 5)]
+    assert sum(kept for _, lead, kept in by_id[5] if lead == 5) == 1
+    assert not any(kept for _, lead, kept in by_id[5] if lead == 1)
+    assert by_id[9] == [(0, 9, True), (56, 9, True), (56, 9, True)]
+
+
+def test_pipeline_stage_keeps_one_text_of_each_group(spark):
+    import corpus_pipeline as P
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s"), (7, b, "s")], "doc_id bigint, text string, source string")
+    kept = P.near_copies(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept.collect()) == [(1, "a"), (5, "b")]
