@@ -13,7 +13,7 @@ from sluice.llm.components import stored
 from sluice.llm.decontaminate import contaminated
 from sluice.llm.language import NO_LANGUAGE, fit, held_out, identify
 from sluice.llm.line_dedup import dedup_lines
-from sluice.llm.minhash_dedup import near_duplicates
+from sluice.llm.minhash_dedup import near_rows
 from sluice.llm.packing import pack
 from sluice.session import use_utc
 
@@ -45,7 +45,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays. Of rows equal in id and text the one
     with the least other columns stays; different texts under one id are different documents."""
-    kept = _kept(docs, near_duplicates(docs).filter("kept"))
+    chosen = near_rows(docs).filter("kept").select("doc_id", "text_md5").distinct().alias("w")
+    same = (F.col("d.doc_id") == F.col("w.doc_id")) & F.md5("d.text").eqNullSafe(F.col("w.text_md5"))
+    kept = docs.alias("d").join(chosen, same, "left_semi")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     if not rest:
         return kept.distinct()
