@@ -225,6 +225,93 @@ def grid_search_f1(df: DataFrame, normal: DataFrame, columns: Sequence[str], lab
     return df.sparkSession.createDataFrame(rows, "nu double, boundary double, f1 double, best boolean")
 
 
+# Kernel widths tried by the grid search.
+GAMMAS = ["scale", "auto", 0.0001, 0.001, 0.01]
+
+
+def kernel_waves(width: int, gammas: Sequence[float], frequencies: int, seed: int = 7) -> np.ndarray:
+    """(gammas, frequencies, width) random frequencies: the mean over them of cos(w (x - y)) tends to
+    exp(-gamma |x - y|^2), with an error of about 0.7 / sqrt(frequencies) at most."""
+    draws = np.random.default_rng(seed).normal(size=(frequencies, width))
+    return np.sqrt(2 * np.asarray(gammas, float))[:, None, None] * draws
+
+
+def _waves(x: np.ndarray, waves: np.ndarray) -> np.ndarray:
+    """(gammas, rows, 2 x frequencies) features whose inner products are kernel values."""
+    turned = np.matmul(x[None], waves.transpose(0, 2, 1))
+    return np.concatenate([np.cos(turned), np.sin(turned)], axis=2) / np.sqrt(waves.shape[1])
+
+
+def kernel_centre(rows: DataFrame, columns: Sequence[str], waves: np.ndarray) -> np.ndarray:
+    """(gammas, 2 x frequencies) mean of the features: partial sums by task, merged by a shuffle; what the driver
+    gets has the size of the result."""
+    columns, size = list(columns), waves.shape[0] * waves.shape[1] * 2
+
+    def sums(batches):
+        total, n = np.zeros(size), 0
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                x = batch[columns].to_numpy(float)[at:at + 1024]
+                total += _waves(x, waves).sum(1).ravel()
+                n += len(x)
+        if n:
+            yield pd.DataFrame({"place": np.arange(size), "total": total, "n": n})
+
+    parts = rows.select(*columns).mapInPandas(sums, "place int, total double, n bigint")
+    merged = parts.groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    centre = np.zeros(size)
+    for row in merged:
+        centre[row["place"]] = row["mean"]
+    return centre.reshape(waves.shape[0], -1)
+
+
+def kernel_grid_f1(df: DataFrame, normal: DataFrame, columns: Sequence[str], label: str, nus: Sequence[float] = tuple(NUS),
+                   gammas: Sequence[float | str] = tuple(GAMMAS), frequencies: int = 256,
+                   max_rows: int = QUANTILE_ROWS) -> DataFrame:
+    """(nu, gamma, width, boundary, f1 of the anomaly class, best) for every pair of share and kernel width.
+
+    A row's density is its mean kernel value to all normal rows, by random Fourier features: one inner
+    product with their mean, however many they are. The boundary is the density that a share ``nu`` of the
+    normal rows stays below; all pairs are counted in one aggregate, and the first best pair wins. ``scale``
+    is 1 / (columns x variance) and ``auto`` is 1 / columns, of the scaled columns. A missing reading counts as the
+    column's mean. Without normal rows there is no boundary, and the result is empty."""
+    columns, moments = list(columns), fit_moments(normal, columns)
+    if any(moments[c][0] is None for c in columns):
+        return df.sparkSession.createDataFrame([], "nu double, gamma string, width double, boundary double, f1 double, best boolean")
+    scaled = [F.coalesce((present(F.col(c).cast("double")) - moments[c][0]) / F.lit(moments[c][1] or 1.0), F.lit(0.0)).alias(c)
+              for c in columns]
+    spread = sum(1.0 for c in columns if moments[c][1]) / len(columns)
+    named = {"scale": 1 / (len(columns) * (spread or 1.0)), "auto": 1 / len(columns)}
+    widths = [float(named.get(g, g)) for g in gammas]
+    tried = list(dict.fromkeys(widths))
+    waves = kernel_waves(len(columns), tried, frequencies)
+    centre = kernel_centre(normal.select(*scaled), columns, waves)
+
+    @F.pandas_udf("array<double>")
+    def density(*parts: pd.Series) -> pd.Series:
+        x = np.column_stack([p.to_numpy(float) for p in parts])
+        blocks = [np.matmul(_waves(x[at:at + 1024], waves), centre[:, :, None])[:, :, 0].T for at in range(0, len(x), 1024)]
+        return pd.Series(list(np.concatenate(blocks)) if blocks else [])
+
+    def scored(rows: DataFrame, *more: str) -> DataFrame:
+        return cut_lineage(rows.select(*more, *scaled).select(*more, density(*columns).alias("_d")))
+
+    long = scored(normal).select(F.posexplode("_d").alias("_g", "_v"))
+    edges = {r["_g"]: r["quantiles"] for r in group_quantiles(long, ["_g"], "_v", list(nus), max_rows).collect()}
+    pairs = [(i, g) for i in range(len(nus)) for g in range(len(tried))]
+    odd, counts = F.col("_odd") == -1, []
+    for i, g in pairs:
+        out = F.col("_d")[g] < edges[g][i]
+        counts += [F.count_if(odd & out).alias(f"tp{i}_{g}"), F.count_if(out).alias(f"said{i}_{g}")]
+    row = scored(df.withColumn("_odd", F.col(label)), "_odd").agg(F.count_if(odd).alias("pos"), *counts).first()
+    pairs = [(i, g, tried.index(w)) for i in range(len(nus)) for g, w in enumerate(widths)]
+    f1 = [2 * row[f"tp{i}_{t}"] / ((row["pos"] + row[f"said{i}_{t}"]) or 1) for i, _, t in pairs]
+    best = int(np.argmax(f1)) if max(f1) > 0 else None
+    rows = [(float(nus[i]), str(gammas[g]), widths[g], float(edges[t][i]), float(f1[at]), at == best)
+            for at, (i, g, t) in enumerate(pairs)]
+    return df.sparkSession.createDataFrame(rows, "nu double, gamma string, width double, boundary double, f1 double, best boolean")
+
+
 def score_with_model(sequences: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "sequence",
                      out: str = "anomaly_score") -> DataFrame:
     """Scores from any per-sequence model: ``model`` maps a batch of windows to one score

@@ -167,6 +167,13 @@ def grid_search_f1(spark, sf_dir):
     return rounded(A.grid_search_f1(rows, rows.filter("y = 1"), WIDE_FEATURES, "y"))
 
 
+@query("I8", "kernel_grid_f1")
+def kernel_grid_f1(spark, sf_dir):
+    """Four shares by five kernel widths over all four columns."""
+    rows = wide(spark, sf_dir).withColumn("y", C.normal_sign(F.col("label")))
+    return A.kernel_grid_f1(rows, rows.filter("y = 1"), WIDE_FEATURES, "y")
+
+
 @query("I9", "score_with_model", sql=f"""
 WITH {POINTS}, s AS (SELECT event_id, entity, list(value) OVER f AS v FROM points
   WINDOW f AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
