@@ -14,13 +14,15 @@ from sluice.operators.series import over_series
 
 
 def forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value",
-             rows: int = S.FORECAST_ROWS, steps: int = S.FORECAST_STEPS) -> DataFrame:
+             rows: int = S.FORECAST_ROWS, steps: int = S.FORECAST_STEPS, least: int = 1) -> DataFrame:
     """(keys, step, forecast): least-squares trend through the last ``rows`` values of each
-    series, drawn ``steps`` ahead. A single value is carried on flat."""
+    series, drawn ``steps`` ahead. A single value is carried on flat; a series of fewer than
+    ``least`` rows has no forecast."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     recent = df.select(*keys, F.col(value).alias("_y"), F.row_number().over(w).alias("_r")).filter(F.col("_r") <= rows)
     x = (1 - F.col("_r")).cast("double")
-    trend = recent.groupBy(*keys).agg(F.regr_slope("_y", x).alias("_slope"), F.avg("_y").alias("_mean"), F.avg(x).alias("_x"))
+    trend = recent.groupBy(*keys).agg(F.regr_slope("_y", x).alias("_slope"), F.avg("_y").alias("_mean"), F.avg(x).alias("_x"),
+                                      F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     step = F.explode(F.sequence(F.lit(1), F.lit(steps)))
     ahead = F.col("_mean") + F.coalesce("_slope", F.lit(0.0)) * (F.col("step") - F.col("_x"))
     return trend.withColumn("step", step).select(*keys, "step", ahead.alias("forecast"))

@@ -11,6 +11,7 @@ from sluice.functions import clean as C
 from sluice.operators import tsquery as Q
 from sluice.plans.ingest import TAG_SQL, tag_of
 from sluice.plans.registry import POINTS, WIDE, points, query, rounded, table, wide
+from sluice.session import scratch_path
 from sluice.sources.sinks import latest_per_series
 
 # SQL side of a tumbling window: start and end of the bucket.
@@ -153,6 +154,16 @@ def query_summary(spark, sf_dir):
     return rounded(out.select("part", "name", "n", "first_time", "last_time", "n_fields", "pct"))
 
 
+@query("D11", "distinct_rollup", sql=f"""
+WITH {POINTS}, b AS (SELECT *, time_bucket(INTERVAL '1 day', ts) AS start FROM points)
+SELECT start, start + INTERVAL '1 day' AS time, field, count(DISTINCT entity) AS n_distinct FROM b GROUP BY start, field""")
+def distinct_rollup(spark, sf_dir):
+    """Entities per day and field, rolled up from stored hourly sketches."""
+    path = scratch_path(spark, "sketches")
+    Q.distinct_sketches(points(spark, sf_dir), "1 hour", ["field"], "entity").write.parquet(path)
+    return Q.distinct_rollup(spark.read.parquet(path), "1 day", ["field"])
+
+
 @query("D12", "measurement_catalog", sql=f"""
 WITH {POINTS} SELECT field AS measurement, status, count(*) AS n FROM points GROUP BY ALL""")
 def measurement_catalog(spark, sf_dir):

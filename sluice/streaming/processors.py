@@ -7,8 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice import schema as S
 from sluice.operators import anomaly as A
 from sluice.operators import explain as X
+from sluice.operators import forecast as J
 from sluice.operators import tsquery as Q
 from sluice.operators import windows as W
 from sluice.session import cut_lineage
@@ -103,6 +105,17 @@ def explain_job(scores: Callable[[], DataFrame], names: Sequence[str], keys: Seq
     return explain
 
 
+def forecast_job(keys: Sequence[str], order: Sequence[str], emit: Callable[[DataFrame, int], None], value: str = "value",
+                 rows: int = S.FORECAST_ROWS, steps: int = S.FORECAST_STEPS) -> Callable[[DataFrame, int], None]:
+    """Each batch's last ``rows`` rows of a series are drawn ``steps`` ahead; a series with fewer rows in the batch
+    waits for a fuller one. Rows without a time count as the oldest."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        emit(J.forecast(batch, keys, order, value, rows, steps, least=rows), batch_id)
+
+    return run
+
+
 # Watermark queries ----------------------------------------------------------------------
 
 def stream_tumble(stream: DataFrame, every: str, delay: str, by: Sequence[str], *aggregates, ts: str = "ts") -> DataFrame:

@@ -255,3 +255,51 @@ def test_errors_ranked_per_step(spark):
     rows = [(1, "a", 2.0), (1, "a", 4.0), (1, "b", 3.0), (1, "c", None), (2, "a", 1.0), (2, "b", 5.0)]
     got = [tuple(r) for r in J.error_ranking(spark.createDataFrame(rows, "step int, field string, error double")).orderBy("step", "rank").collect()]
     assert got == [(1, "a", 3.0, 2, 1), (1, "b", 3.0, 1, 2), (1, "c", None, 0, 3), (2, "b", 5.0, 1, 1), (2, "a", 1.0, 1, 2)]
+
+
+def test_random_features_approach_the_kernel():
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    waves = A.kernel_waves(4, [0.25, 0.01], 256)
+    phi = A._waves(x, waves)
+    gaps = ((x[:, None] - x[None]) ** 2).sum(2)
+    for g, gamma in enumerate([0.25, 0.01]):
+        assert np.abs(phi[g] @ phi[g].T - np.exp(-gamma * gaps)).max() < 5 * 0.7 / 256 ** 0.5
+    assert np.abs(np.diag(phi[0] @ phi[0].T) - 1).max() < 1e-9
+
+
+def test_kernel_grid_against_the_exact_kernel(spark):
+    rnd = np.random.default_rng(2)
+    inner, outer = rnd.normal(size=(300, 2)), rnd.normal(size=(30, 2)) + 12
+    rows = [(float(a), float(b), 1) for a, b in inner] + [(float(a), float(b), -1) for a, b in outer]
+    df = spark.createDataFrame(rows + [(None, float("nan"), 1)], "a double, b double, y int")
+    got = A.kernel_grid_f1(df, df.filter("y = 1"), ["a", "b"], "y", nus=[0.01, 0.1], gammas=["scale", 0.01]).collect()
+    z = np.vstack([(inner - inner.mean(0)) / inner.std(0), np.zeros((1, 2))])
+    assert [(r["nu"], r["gamma"]) for r in got] == [(0.01, "scale"), (0.01, "0.01"), (0.1, "scale"), (0.1, "0.01")]
+    assert sum(r["best"] for r in got) == 1
+    for r in got:
+        exact = np.exp(-r["width"] * ((z[:, None] - z[None]) ** 2).sum(2)).mean(1)
+        assert abs(r["boundary"] - np.quantile(exact, r["nu"])) < 0.06
+    assert max(r["f1"] for r in got) > 0.9
+    none = df.filter("y = 1").limit(0)
+    assert A.kernel_grid_f1(df, none, ["a", "b"], "y").count() == 0
+
+
+def test_rolled_sketches_equal_a_direct_sketch(spark):
+    df = spark.range(40000).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, id % 48) AS ts", "id % 9000 AS e", "cast(id % 7 AS double) AS d",
+                                       "id % 2 AS field").unionByName(
+        spark.sql("SELECT cast(null AS timestamp_ntz) ts, 1L e, 1D d, 0L field UNION ALL SELECT timestamp_ntz'2024-01-01', null, null, 0L"))
+    rolled = Q.distinct_rollup(Q.distinct_sketches(df, "1 hour", ["field"], "e"), "1 day", ["field"])
+    direct = Q.distinct_rollup(Q.distinct_sketches(df, "1 day", ["field"], "e"), "1 day", ["field"])
+    a = {(r["start"], r["field"]): r["n_distinct"] for r in rolled.collect()}
+    assert a == {(r["start"], r["field"]): r["n_distinct"] for r in direct.collect()} and len(a) == 4
+    exact = df.filter("ts IS NOT NULL").groupBy(F.window("ts", "1 day").alias("w"), "field").agg(F.countDistinct("e").alias("n"))
+    for r in exact.collect():
+        assert abs(a[r["w"]["start"], r["field"]] / r["n"] - 1) < 0.02
+    sevens = Q.distinct_rollup(Q.distinct_sketches(df, "1 day", [], "d"), "1 day", [])
+    assert {r["n_distinct"] for r in sevens.collect()} == {7}
+
+
+def test_short_series_have_no_live_forecast(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(12)] + [("b", 0, 1.0)], "k string, t int, value double")
+    got = {(r["k"], r["step"]): r["forecast"] for r in J.forecast(df, ["k"], ["t"], least=10).collect()}
+    assert set(k for k, _ in got) == {"a"} and got["a", 1] == pytest.approx(12.0)
