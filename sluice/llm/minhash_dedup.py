@@ -7,8 +7,11 @@ again. Pairs that the sketches leave open are confirmed on the full sets, and th
 links are contracted to components. Nothing but counts reaches the driver.
 
 The number of trees follows from the wanted recall: a linked pair meets in one tree with the
-probability ``p = j^2`` (two tokens a level, two branches a level keep it there), so
-``trees = log(miss) / log(1 - p)``.
+probability ``p = j^2`` (two tokens choose the first node), so ``trees = log(miss) / log(1 - p)``.
+In nodes crowded with more than ``NODE_ROWS`` classes it must also meet in one of two branches a
+level, and may be lost in all of them: at j = 0.8 the chance per tree falls from 0.64 to 0.44 or
+more, so 16 trees miss such a pair with up to 1e-4. A lost pair is a lost link only where no
+other links join its groups.
 """
 
 from __future__ import annotations
