@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.operators import patterns as P
 from sluice.operators import windows as W
 from sluice.streaming import keyed as K
+from sluice.streaming.jobs import run_batches, run_to_table
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, ts timestamp_ntz, entity string, value double"
@@ -102,3 +103,21 @@ def test_window_features_equal_the_batch_features(spark):
     names = K.feature_names(["value"])
     for w, g in zip(want, got, strict=True):
         assert [w[n] for n in names] == [None if np.isnan(x) else pytest.approx(x) for x in g]
+
+
+def test_keyed_streams_run_in_a_session_with_another_state_store(spark, tmp_path):
+    rows = random_rows()
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before, plain = spark.conf.get(name), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        settled = run_to_table(sums(stream), "plain").count()
+        seen = []
+        run_batches(sums(stream), "plain", lambda batch, _: seen.append(batch.count()))
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
+    assert settled == sum(seen) > 100
