@@ -189,3 +189,20 @@ def test_a_busy_stretch_is_spread(spark):
     out = W.moving_aggregate(rows, ["entity"], 2 * 86_400).withColumn("task", F.spark_partition_id())
     with_one = out.groupBy("task").count().agg(F.max("count")).first()[0]
     assert out.count() == 2_000 and with_one < 1_000
+
+
+def test_group_quantiles_count_only_the_values_near_the_ranks(spark, monkeypatch):
+    values = np.random.default_rng(5).normal(size=60_000).round(4)
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "k bigint, v double")
+    counted = []
+    total = R.running_total
+    monkeypatch.setattr(R, "running_total", lambda df, *rest: counted.append(df.count()) or total(df, *rest))
+    qs = [0.9, 0.25, 0.0, 1.0]
+    got = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", qs, max_rows=5_000).collect()}
+    assert got == {k: pytest.approx(np.quantile(values[k::2], qs), abs=1e-12) for k in (0, 1)}
+    assert counted[0] < 2_000 and len(counted) == 1
+    # A sketch that errs is noticed.
+    monkeypatch.setattr(R.F, "percentile_approx", lambda c, ends, accuracy: F.array(*[F.lit(float(e)) for e in ends]))
+    got = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", qs, max_rows=5_000).collect()}
+    assert got == {k: pytest.approx(np.quantile(values[k::2], qs), abs=1e-12) for k in (0, 1)}
+    assert len(counted) == 3
