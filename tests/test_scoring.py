@@ -303,3 +303,12 @@ def test_short_series_have_no_live_forecast(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(12)] + [("b", 0, 1.0)], "k string, t int, value double")
     got = {(r["k"], r["step"]): r["forecast"] for r in J.forecast(df, ["k"], ["t"], least=10).collect()}
     assert set(k for k, _ in got) == {"a"} and got["a", 1] == pytest.approx(12.0)
+
+
+def test_kernel_density_in_blocks_equals_the_features(monkeypatch):
+    rnd = np.random.default_rng(4)
+    x, waves, centre = rnd.normal(size=(45, 3)), A.kernel_waves(3, [0.3, 0.01], 32), rnd.normal(size=(2, 64))
+    monkeypatch.setattr(A, "KERNEL_BLOCK", 20)
+    want = np.matmul(A._waves(x, waves), centre[:, :, None])[:, :, 0].T
+    assert A.kernel_density(x, waves, centre) == pytest.approx(want, abs=1e-12)
+    assert A.kernel_density(x[:0], waves, centre).shape == (0, 2)
