@@ -30,12 +30,16 @@ UNITS = [
 
 def marked(text: Column) -> Column:
     """Lower-case words without punctuation; a name (a capitalised word within a sentence), a
-    number, or a unit after a number carries a mark before its value."""
-    names = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    numbers = F.regexp_replace(names, r"(?<![\p{L}\p{N}])([0-9]+(?:[.,:/][0-9]+)*)", NUMBER + "$1")
+    number, or a unit after a number carries a mark before its value.
+
+    Each pattern begins with a test of one or two letters that it implies, so most places cost no look back.
+    """
+    names = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    numbers = F.regexp_replace(names, r"(?=[0-9])(?<![\p{L}\p{N}])([0-9]+(?:[.,:/][0-9]+)*)", NUMBER + "$1")
     units = F.regexp_replace(
-        numbers, rf"(?<={NUMBER}[0-9.,:/]{{1,24}} )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT + "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(units), r"[^\p{L}\p{N}\x01-\x03 \t-\r]+", ""), r"[ \t-\r]+", " "))
+        numbers, rf"(?<=[0-9.,:/] )(?<={NUMBER}[0-9.,:/]{{1,24}} )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT + "$1")
+    bare = F.regexp_replace(F.lower(units), r"[^\p{L}\p{N}\x01-\x03 \t-\r]+", "")
+    return F.trim(F.regexp_replace(bare, r"[ \t-\r]{2,}|[\t-\r]", " "))
 
 
 def template(words: Column) -> Column:
