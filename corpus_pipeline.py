@@ -45,13 +45,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays. Of rows equal in id and text the one
     with the least other columns stays; different texts under one id are different documents."""
-    chosen = near_rows(docs).filter("kept").select("doc_id", "text_md5").distinct().alias("w")
-    same = (F.col("d.doc_id") == F.col("w.doc_id")) & F.md5("d.text").eqNullSafe(F.col("w.text_md5"))
-    kept = docs.alias("d").join(chosen, same, "left_semi")
+    chosen = near_rows(docs).filter("kept").select("doc_id", F.coalesce("text_md5", F.lit("")).alias("_md5")).distinct()
+    return _least_rows(docs, chosen)
+
+
+def _least_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of the rows in ``chosen (doc_id, _md5)`` one for each id and text. The grouping keeps the join's dealing, so
+    texts are dealt out once."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    if not rest:
-        return kept.distinct()
-    least = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    marked = docs.select("doc_id", "text", F.struct(*rest).alias("_rest") if rest else F.lit(0).alias("_rest"),
+                         F.coalesce(F.md5("text"), F.lit("")).alias("_md5"))
+    kept = marked.join(chosen, ["doc_id", "_md5"], "left_semi")
+    least = kept.groupBy("doc_id", "_md5", "text").agg(F.min("_rest").alias("_rest"))
     return least.select(*[F.col(c if c in ("doc_id", "text") else f"_rest.`{c}`") for c in docs.columns])
 
 

@@ -356,6 +356,15 @@ def confirmed(pairs: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame
     return shared.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
+def _representatives(named: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of ``named`` for each class of ``first (doc_id, text_md5, class)``, under the class's number.
+
+    Copies of a row go by the join's own columns and the class: the sketches are not dealt out again.
+    """
+    chosen = named.join(first, ["doc_id", "text_md5"]).dropDuplicates(["doc_id", "text_md5", "class"])
+    return chosen.drop("text_md5", "doc_id").withColumnRenamed("class", "doc_id")
+
+
 def near_rows(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """``doc_id, text_md5, n_shingles, component_id, kept``: what :func:`near_duplicates` gives, with
     the digest of the text, so that rows of one id can be told apart.
@@ -374,8 +383,7 @@ def near_rows(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS
     classes = stored(classes.select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.text_md5").alias("text_md5"),
                                     F.monotonically_increasing_id().alias("class")), "classes")
     first = classes.select(F.col("rep").alias("doc_id"), "text_md5", "class")
-    reps = stored(named.drop("digest").join(first, ["doc_id", "text_md5"]).dropDuplicates(["class"])
-                  .drop("text_md5", "doc_id").withColumnRenamed("class", "doc_id"), "reps")
+    reps = stored(_representatives(named.drop("digest"), first), "reps")
 
     def texts(wanted: DataFrame) -> DataFrame:
         chosen = first.join(wanted.select(F.col("doc_id").alias("class")), "class", "left_semi")

@@ -71,3 +71,25 @@ def test_pipeline_stage_keeps_one_text_of_each_group(spark):
     docs = spark.createDataFrame([(1, a, "s"), (5, a, "s"), (5, b, "s"), (7, b, "s"), (7, b, "s")], "doc_id bigint, text string, source string")
     kept = P.near_copies(spark, docs, "")
     assert sorted((r["doc_id"], r["text"][0]) for r in kept.collect()) == [(1, "a"), (5, "b")]
+
+
+def test_texts_and_sketches_are_dealt_out_once(spark, capsys):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "a", "t"), (1, "a", "s"), (1, "b", "s"), (2, None, "s"), (None, "a", "s"), (3, "c", "s")],
+                                 "doc_id bigint, text string, source string")
+    chosen = spark.createDataFrame([(1, "0cc175b9c0f1b6a831c399e269772661"), (2, ""), (None, "0cc175b9c0f1b6a831c399e269772661")],
+                                   "doc_id bigint, _md5 string")
+    named = spark.createDataFrame([(1, "m", b"x"), (1, "m", b"x"), (1, "n", b"y"), (2, "o", b"z")], "doc_id bigint, text_md5 string, low binary")
+    first = spark.createDataFrame([(1, "m", 7), (2, "o", 8)], "doc_id bigint, text_md5 string, class bigint")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        for df in (P._least_rows(docs, chosen), M._representatives(named, first)):
+            df.explain()
+            assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+        assert sorted(map(tuple, P._least_rows(docs, chosen).collect())) == [(1, "a", "s"), (2, None, "s")]
+        assert sorted((r["doc_id"], bytes(r["low"])) for r in M._representatives(named, first).collect()) == [(7, b"x"), (8, b"z")]
+    finally:
+        spark.conf.set(name, before)
