@@ -12,7 +12,7 @@ of its intervals hold the row. No permutations, no background rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 from math import factorial
 
@@ -48,7 +48,8 @@ class Paths:
 
 
 def node_table(model) -> tuple[pd.DataFrame, list[float]]:
-    """(tree, node, prediction, rows, left, right, feature, threshold), and the weight of each tree in a prediction.
+    """(tree, node, prediction, rows, left, right, feature, threshold), and the weight of each tree in a prediction;
+    ``rows`` are the training rows by their weight.
 
     The fitted model is written to the shared folder, and its nodes are read back; their number is bounded by
     trees and depth, not by data.
@@ -57,7 +58,7 @@ def node_table(model) -> tuple[pd.DataFrame, list[float]]:
     path = scratch_path(session, "trees")
     model.save(path)
     nodes = session.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), "nodeData.prediction", F.col("nodeData.rawCount").alias("rows"),
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), "nodeData.prediction", F.get("nodeData.impurityStats", F.lit(0)).alias("rows"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.col("nodeData.split.numCategories").alias("categories")).toPandas()
@@ -180,7 +181,7 @@ def tree_attribution(model, rows: DataFrame, ids: Sequence[str], columns: Sequen
     """
     columns = list(columns)
     paths = paths_of(*node_table(model), len(columns))
-    shared = rows.sparkSession.sparkContext.broadcast(paths)
+    shared = rows.sparkSession.sparkContext.broadcast(replace(paths, leaves=[]) if paths.tables else paths)
     fields = {f.name: f for f in rows.schema.fields}
     schema = T.StructType([fields[i] for i in ids] + [T.StructField(f"phi_{k}", T.DoubleType()) for k in range(len(columns))])
     names = list(ids)
