@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sluice import schema as S
 from sluice.functions.clean import NUMERIC, attack_flag, present
+from sluice.operators.cells import grouped
 from sluice.operators.series import group_quantiles
 from sluice.sources.readers import sample_n
 
@@ -163,12 +164,14 @@ def _equal_width(c: str, lo, hi, bins: int):
 
 def forest_importance(df: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 100, depth: int = 10,
                       seed: int = 42) -> DataFrame:
-    """(feature, importance) of a distributed random forest."""
+    """(feature, importance) of a distributed random forest. Many rows are learned as cells of equal bins and label
+    (``operators.cells``)."""
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
                        F.col(label).cast("double").alias("_y"))
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(at_full_width(filled)).select("_x", "_y")
+    learned = grouped(at_full_width(filled), columns, "_y", classes=True, seed=seed)
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(learned.rows).drop(*columns)
     model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
-                                   maxMemoryInMB=TREE_MEMORY_MB).fit(rows)
+                                   maxMemoryInMB=TREE_MEMORY_MB, **learned.settings).fit(rows)
     scores = model.featureImportances.toArray()
     return _per_feature(df.sparkSession, [(c, float(s)) for c, s in zip(columns, scores)], "feature string, importance double")
 

@@ -66,3 +66,14 @@ def test_a_fit_on_cells_is_judged_and_explained_over_all_rows(table, monkeypatch
     phi = trees.tree_attribution(model, test, ["id"], NAMES).groupBy("id").agg(F.sum("phi").alias("phi"))
     apart = scored.join(phi, "id").select((F.col("prediction") - F.col("phi")).alias("base")).agg(F.max("base") - F.min("base")).first()[0]
     assert apart == pytest.approx(0.0, abs=1e-9)
+
+
+def test_importance_on_cells_is_that_of_the_rows(table, monkeypatch):
+    data = table.filter("a < 100")
+
+    def found():
+        return {r["feature"]: r["importance"] for r in G.forest_importance(data, NAMES, "kind", trees=8, depth=4).collect()}
+
+    whole = found()
+    monkeypatch.setattr(C, "WHOLE_ROWS", 500)
+    assert found() == pytest.approx(whole, abs=0.05)
