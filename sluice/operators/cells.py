@@ -65,9 +65,10 @@ def binned(df: DataFrame, values: dict[str, list[float]]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grouped:
-    """``rows`` for a learner and its settings for them; without ``values`` they are the rows as given."""
+    """``rows`` for a learner, ``count`` of them, and its settings for them; without ``values`` they are the rows as given."""
 
     rows: DataFrame
+    count: int
     settings: dict
     values: dict[str, list[float]] | None = None
 
@@ -79,8 +80,9 @@ def grouped(df: DataFrame, columns: Sequence[str], target: str, classes: bool =
     given enough bins to look at every group for its thresholds, so these are ``edges`` of the values.
     """
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.coalesce(F.col(target).cast("double"), F.lit(float("nan"))).alias(target))
-    if df.count() <= WHOLE_ROWS:
-        return Grouped(df, {})
+    rows = df.count()
+    if rows <= WHOLE_ROWS:
+        return Grouped(df, rows, {})
     values = bin_values(df, columns)
     keys = [*columns, target] if classes else list(columns)
     rows, width = binned(df, values), df.sparkSession.sparkContext.defaultParallelism
@@ -95,7 +97,8 @@ def grouped(df: DataFrame, columns: Sequence[str], target: str, classes: bool =
     parts = round(WHOLE_ROWS / out.count())
     if parts > 1:
         out = dealt(parts)
-    return Grouped(out, {"weightCol": WEIGHT, "maxBins": max(BINS, isqrt(out.count()) + 1)}, values)
+    groups = out.count()
+    return Grouped(out, groups, {"weightCol": WEIGHT, "maxBins": max(BINS, isqrt(groups) + 1)}, values)
 
 
 def cell_moments(df: DataFrame, values: dict[str, list[float]], target: str) -> DataFrame:

@@ -398,9 +398,9 @@ def surrogate_dataset(spark, sf_dir):
 def surrogate_fit(spark, sf_dir):
     """Held-out error of both tree surrogates, with the operator's trees and depth."""
     data = stored_surrogate(spark, sf_dir)
-    rows = []
+    split, rows = X.surrogate_split(data, COLUMNS, IDS), []
     for kind in ("forest", "boosted"):
-        _, quality = X.surrogate_fit(data, COLUMNS, IDS, kind=kind)
+        _, quality = X.surrogate_fit(data, COLUMNS, IDS, kind=kind, split=split)
         rows.append((kind, quality["rmse"], quality["r2"]))
     return spark.createDataFrame(rows, "kind string, rmse double, r2 double")
 
