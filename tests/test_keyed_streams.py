@@ -3,6 +3,8 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,64 @@ def test_keyed_streams_run_in_a_session_with_another_state_store(spark, tmp_path
     finally:
         spark.conf.set(name, before)
     assert settled == sum(seen) > 100
+
+
+def test_many_series_share_few_keys_of_the_state_store(spark, tmp_path):
+    """The work and the state of a batch go by groups of series, not by series."""
+    rows = [(i, at(i // 3000), str(i % 3000), float(i)) for i in range(9000)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    pairs = K.series_windows(stream, ["entity"], ["ts", "event_id"], ["value"], 2, K.window_sums, ["total"])
+    query = pairs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 3000
+    got = {r["event_id"]: r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: 2.0 * i - 3000 for i in range(3000, 6000)}
+
+
+def test_series_of_one_group_keep_their_own_clocks(spark, tmp_path, monkeypatch):
+    """Two keys with nulls, all in three groups: the batch's rows, also across files that bring only some series, and
+    rows without a tie."""
+    monkeypatch.setattr(K, "GROUPS", 3)
+    monkeypatch.setattr(K, "OUT_ROWS", 7)
+    rnd = np.random.default_rng(5)
+    schema = "event_id bigint, ts timestamp_ntz, name string, part int, value double"
+    names, parts = [None, "a", "b", ""], [None, 1, 2]
+    rows = [(i if i % 50 else None, at(int(m)), names[rnd.integers(4)], parts[rnd.integers(3)], float(rnd.integers(0, 100)) if rnd.random() > 0.1 else None)
+            for i, m in enumerate(np.sort(rnd.permutation(4000)[:400]))]
+    source = tmp_path / "in"
+    for lo in range(0, 400, 80):
+        spark.createDataFrame(rows[lo:lo + 80], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    got = run_to_table(K.series_windows(stream, ["name", "part"], ["ts", "event_id"], ["value"], 4, K.window_sums, ["total"]), "groups").collect()
+    last = {(r[2], r[3]): r[1] for r in rows}
+    want = W.rolling_sum(spark.createDataFrame(rows, schema), ["name", "part"], ["ts", "event_id"], F.col("value"), "total", 4).collect()
+    want = {(r["name"], r["part"], r["ts"], r["event_id"]): r["total"] for r in want if r["ts"] < last[r["name"], r["part"]]}
+    assert len(want) > 300 and {(r["name"], r["part"], r["ts"], r["event_id"]): r["total"] for r in got} == want
+
+
+def test_a_silent_series_does_not_settle_those_of_its_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "GROUPS", 1)
+    batches = [[(1, at(0), "a", 1.0), (2, at(0), "b", 2.0), (3, at(0), "c", 3.0)], [(4, at(1), "a", 4.0), (5, at(2), "c", 5.0)], [(6, at(1), "b", 6.0)]]
+    got = streamed(spark, tmp_path, batches, lambda s: K.series_windows(
+        s, ["entity"], ["ts", "event_id"], ["value"], 1, K.window_sums, ["total"], idle_seconds=3600)).collect()
+    assert sorted((r["event_id"], r["kind"]) for r in got) == [(1, "row"), (2, "row"), (3, "row")]
+    settled = K.Windows(["entity"], 1, 0, 60, 1, K.window_sums, ["total"], "double")
+    settled.state = type("State", (), {"get": lambda s: getattr(s, "kept", None), "update": lambda s, v: setattr(s, "kept", v)})()
+    settled.handle = type("Handle", (), {"listTimers": lambda s: [], "registerTimer": lambda s, ms: None, "deleteTimer": lambda s, ms: None})()
+
+    def now(ms):
+        return type("Now", (), {"getCurrentWatermarkInMs": lambda s: ms})()
+
+    def arrive(ms, *rows):
+        cells = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.float64()))]
+        block = K._to_bytes(pa.table(cells, ["row_k0", "row_us", "row_tie", "row_v0"]))
+        return list(settled.handleInputRows((0,), iter([pd.DataFrame({"block": [block]})]), now(ms)))
+
+    arrive(0, ("a", 5, 1, 1.0), ("b", 7, 2, 2.0))
+    arrive(30_000, ("b", 7, 3, 3.0))
+    expired = type("Expired", (), {"getExpiryTimeInMs": lambda s: 60_000})()
+    out = list(settled.handleExpiredTimer((0,), now(70_000), expired))
+    assert [r["tie"] for part in out for r in K._to_table(part["made"][0]).to_pylist()] == [1]
+    assert not list(settled.handleExpiredTimer((0,), now(70_000), expired))
