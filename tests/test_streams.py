@@ -146,3 +146,15 @@ def test_progress_metrics(spark, rows, tmp_path):
     got = listener.drain(spark)
     assert got.filter("metric = 'batch_rows'").agg(F.sum("value")).first()[0] >= rows.count()
     assert listener.drain(spark).count() == 0
+
+
+def test_scoring_stores_scores_and_not_their_windows(spark, rows, tmp_path, monkeypatch):
+    stored, cut = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    store = A.ParameterStore(spark, str(tmp_path / "fit"))
+    store.save(A.batch_moments(rows, ["value"]), 0)
+    windows = W.sequence_windows(rows, ENTITY, ORDER, ["value"]).withColumn("kind", F.lit("row"))
+    job = R.score_job(store, ["value"], LivePercentile(spark, str(tmp_path / "live")), [*ORDER, *ENTITY], writer(tmp_path / "s"), writer(tmp_path / "n"))
+    job(windows, 0)
+    assert len(stored) == 1 and "sequence" not in stored[0]
+    assert spark.read.parquet(str(tmp_path / "s")).count() == windows.count()
