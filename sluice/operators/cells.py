@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.session import cut_lineage
@@ -49,18 +50,26 @@ def edges(values: Sequence[float]) -> list[float]:
     return [float(e) for e in (x[1:] + x[:-1]) / 2]
 
 
-def _nearest(column: Column, values: Sequence[float], cuts: Sequence[float]) -> Column:
-    """The value of the bin, by halving; a row on a threshold goes below it, as in the trees."""
-    if not cuts:
-        return F.lit(float(values[0]))
-    k = len(cuts) // 2
-    return F.when(column <= F.lit(cuts[k]), _nearest(column, values[:k + 1], cuts[:k])).otherwise(
-        _nearest(column, values[k + 1:], cuts[k + 1:]))
-
-
 def binned(df: DataFrame, values: dict[str, list[float]]) -> DataFrame:
-    """``df`` with each column replaced by the value that stands for its bin; NaN stays, for the learner to judge."""
-    return df.withColumns({c: F.when(F.isnan(c), F.col(c)).otherwise(_nearest(F.col(c), v, edges(v))) for c, v in values.items()})
+    """``df`` with each column replaced by the value that stands for its bin, found by halving; a row on a threshold goes below it,
+    as in the trees, and NaN stays, for the learner to judge. One pass in Arrow batches: as expressions, many columns
+    outgrow what the engine compiles."""
+    stand, cuts = {c: np.array(v, float) for c, v in values.items()}, {c: np.array(edges(v)) for c, v in values.items()}
+    names = df.columns
+
+    def bins(batches):
+        for batch in batches:
+            columns = []
+            for c, column in zip(names, batch.columns):
+                if c in stand:
+                    x = column.to_numpy(zero_copy_only=False)
+                    found = stand[c][np.searchsorted(cuts[c], x, "left")]
+                    column = pa.array(np.where(np.isnan(x), x, found), mask=column.is_null().to_numpy(zero_copy_only=False))
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ready = df.withColumns({c: F.col(c).cast("double") for c in values})
+    return ready.mapInArrow(bins, ready.schema)
 
 
 @dataclass(frozen=True)
@@ -104,4 +113,4 @@ def grouped(df: DataFrame, columns: Sequence[str], target: str, classes: bool =
 def cell_moments(df: DataFrame, values: dict[str, list[float]], target: str) -> DataFrame:
     """Per cell the columns, ``target`` as the mean, ``n`` rows and ``spread``, their squared distances from the mean."""
     one = F.count(F.lit(1)).cast("double")
-    return binned(df, values).groupBy(*values).agg(F.avg(target).alias(target), one.alias("n"), (F.var_pop(target) * one).alias("spread"))
+    return binned(df.select(*values, target), values).groupBy(*values).agg(F.avg(target).alias(target), one.alias("n"), (F.var_pop(target) * one).alias("spread"))

@@ -136,16 +136,23 @@ def linear_surrogate(df: DataFrame, columns: Sequence[str], target: str = "lstm_
     return LinearSurrogate(columns, [float(w) for w in weights], float(row[f"m{len(columns)}"] - np.dot(weights, means)), means)
 
 
-def mean_abs_importance(phi: DataFrame) -> DataFrame:
-    """(feature, importance, normalised): mean absolute contribution, and over the largest."""
-    mean = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+def mean_abs_importance(phi: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(feature, importance, normalised): mean absolute contribution, and over the largest. ``phi`` is long, or wide with ``columns``."""
+    if columns is None:
+        mean = phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+    else:
+        mean = phi.agg(*[F.avg(F.abs(c)).alias(c) for c in columns]).unpivot([], list(columns), "feature", "importance")
     top = F.max("importance").over(Window.partitionBy(F.lit(0)))
     return mean.withColumn("normalised", F.when(top > 0, F.col("importance") / top).otherwise(F.col("importance")))
 
 
-def topk_last(phi: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5) -> DataFrame:
-    """Per series: the last row's contributions over the largest of them, the top ``k`` by size."""
-    last = phi.groupBy(*keys, "feature").agg(F.max_by("phi", F.struct(*order)).alias("phi"))
+def topk_last(phi: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per series: the last row's contributions over the largest of them, the top ``k`` by size. ``phi`` is long, or wide with ``columns``."""
+    if columns is None:
+        last = phi.groupBy(*keys, "feature").agg(F.max_by("phi", F.struct(*order)).alias("phi"))
+    else:
+        rows = phi.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+        last = rows.select(*keys, "_last.*").unpivot(list(keys), list(columns), "feature", "phi")
     w = Window.partitionBy(*keys)
     top = F.max(F.abs("phi")).over(w)
     scaled = last.withColumn("scaled", F.when(top > 0, F.col("phi") / top).otherwise(F.col("phi")))

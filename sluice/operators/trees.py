@@ -5,8 +5,8 @@ each. The Shapley values of that game are sums over leaves: a leaf's path says f
 features an interval and the share ``z`` of training rows that keep to it, and whether a row lies in the interval is
 all that matters. Written out over subsets T of a path's features, a leaf adds ``coefficient(T)`` wherever
 the row lies in all intervals of T. With few distinct intervals these boxes are summed once into tables over the grid of
-all thresholds, and a row is one look-up per subset; otherwise each leaf has a table over which
-of its intervals hold the row. No permutations, no background rows.
+all thresholds, and a row is one look-up per subset; otherwise each subtree has a table over the outcomes of
+its splits and the intervals on the way to it. No permutations, no background rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from sluice.session import scratch_path
 #: Largest grid of thresholds that is tabled; a table of it is 8 MB per feature.
 GRID_CELLS = 1 << 20
 BATCH_ROWS = 8192
+#: Splits and intervals of a subtree that is tabled as one, and numbers in all these tables (32 MB).
+SUBTREE_BITS, SUBTREE_CELLS = 10, 1 << 22
 
 
 @dataclass
@@ -37,6 +39,16 @@ class Leaf:
     intervals: dict[int, tuple[int, int, float]]
 
 
+@dataclass
+class Subtree:
+    """``table[i, case]`` is added to feature ``names[i]``; bit k of the case says whether condition k (feature, lowest, highest
+    bin) holds the row."""
+
+    conditions: list[tuple[int, int, int]]
+    names: list[int]
+    table: np.ndarray
+
+
 @dataclass
 class Paths:
     """All leaves of a fitted ensemble, each value times its tree's weight."""
@@ -45,6 +57,7 @@ class Paths:
     leaves: list[Leaf]
     base: float = 0.0
     tables: dict[tuple[int, ...], np.ndarray] = field(default_factory=dict)
+    subtrees: list[Subtree] = field(default_factory=list)
 
 
 def node_table(model) -> tuple[pd.DataFrame, list[float]]:
@@ -90,6 +103,8 @@ def paths_of(nodes: pd.DataFrame, weights: Sequence[float], width: int) -> Paths
     out.base = sum(x.value * float(np.prod([z for _, _, z in x.intervals.values()])) for x in out.leaves)
     if np.prod([len(t) + 1.0 for t in thresholds]) <= GRID_CELLS:
         out.tables = _grid_tables(out, width)
+    else:
+        out.subtrees = _subtree_tables(nodes, weights, thresholds)
     return out
 
 
@@ -135,22 +150,79 @@ def _grid_tables(paths: Paths, width: int) -> dict[tuple[int, ...], np.ndarray]:
     return tables
 
 
-def _leaf_tables(paths: Paths) -> list[tuple[list[int], list[tuple[int, int]], np.ndarray]]:
-    """Per leaf its features, their intervals, and the contributions for every set of intervals that hold."""
-    out = []
-    for leaf in paths.leaves:
-        names = sorted(leaf.intervals)
-        place = {f: k for k, f in enumerate(names)}
-        table = np.zeros((1 << len(names), len(names)))
-        for inside, adds in _coefficients(leaf):
-            mask = sum(1 << place[f] for f in inside)
-            table[mask] += [adds[f] for f in names]
-        # A row adds every subset of the intervals that hold it.
-        for k in range(len(names)):
-            with_k = np.flatnonzero(np.arange(len(table)) >> k & 1)
-            table[with_k] += table[with_k ^ (1 << k)]
-        out.append((names, [leaf.intervals[f][:2] for f in names], table))
-    return out
+def _leaf_table(value: float, shares: Sequence[float]) -> np.ndarray:
+    """A leaf's contributions to its features, for every set of its intervals that hold a row."""
+    d = len(shares)
+    inside = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(bool)
+    share = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
+    size = inside.sum(axis=1)[:, None]
+    rest = value * np.prod(np.where(inside, 1.0, np.asarray(shares, float)), axis=1)[:, None]
+    table = rest * np.where(inside, np.r_[0.0, share][size], -np.r_[share, 0.0][size])
+    # A row adds every subset of the intervals that hold it.
+    for k in range(d):
+        with_k = np.flatnonzero(np.arange(len(table)) >> k & 1)
+        table[with_k] += table[with_k ^ (1 << k)]
+    return table
+
+
+def _subtrees(rows: dict, cuts: dict[int, int], splits: dict[int, int], ends: Sequence[int], bits: int) -> Iterator[tuple[int, dict]]:
+    """(top node, intervals on the way to it) of the largest subtrees whose splits and intervals are at most ``bits``, or of one leaf."""
+    stack = [(0, {})]
+    while stack:
+        at, known = stack.pop()
+        if not splits[at] or len(known) + splits[at] <= bits:
+            yield at, known
+        else:
+            stack += [(child, now) for child, now, _ in _children(rows, cuts, ends, at, known)]
+
+
+def _children(rows: dict, cuts: dict[int, int], ends: Sequence[int], at: int, known: dict) -> list[tuple[int, dict, int]]:
+    n = rows[at]
+    f, cut = int(n.feature), cuts[at]
+    lo, hi, z = known.get(f, (0, ends[f], 1.0))
+    return [(child, {**known, f: (a, b, z * rows[child].rows / n.rows)}, way)
+            for child, a, b, way in ((int(n.left), lo, min(hi, cut), 1), (int(n.right), max(lo, cut + 1), hi, 0))]
+
+
+def _subtree_table(rows: dict, cuts: dict[int, int], ends: Sequence[int], top: int, known: dict, weight: float) -> Subtree:
+    conditions = [(f, *known[f][:2]) for f in sorted(known)]
+    stack, leaves = [(top, known, {f: [(k, 1)] for k, f in enumerate(sorted(known))})], []
+    while stack:
+        at, now, held = stack.pop()
+        if rows[at].left < 0:
+            leaves.append((float(rows[at].prediction) * weight, now, held))
+            continue
+        f = int(rows[at].feature)
+        conditions.append((f, 0, cuts[at]))
+        for child, inside, way in _children(rows, cuts, ends, at, now):
+            stack.append((child, inside, {**held, f: [*held.get(f, []), (len(conditions) - 1, way)]}))
+    names = sorted({f for _, now, _ in leaves for f in now})
+    cases = np.arange(1 << len(conditions))
+    table = np.zeros((len(names), len(cases)))
+    for value, now, held in leaves:
+        mine = sorted(now)
+        place = np.zeros(len(cases), np.int64)
+        for k, f in enumerate(mine):
+            place |= np.all([(cases >> bit & 1) == way for bit, way in held[f]], axis=0).astype(np.int64) << k
+        table[[names.index(f) for f in mine]] += _leaf_table(value, [now[f][2] for f in mine]).T[:, place]
+    return Subtree(conditions, names, table)
+
+
+def _subtree_tables(nodes: pd.DataFrame, weights: Sequence[float], thresholds: list[np.ndarray]) -> list[Subtree]:
+    """All trees as subtrees, as large as ``SUBTREE_BITS`` and ``SUBTREE_CELLS`` allow."""
+    ends, trees = [len(t) for t in thresholds], []
+    for tree, part in nodes.groupby("tree"):
+        rows = {r.node: r for r in part.itertuples(index=False)}
+        cuts = {k: int(np.searchsorted(thresholds[int(r.feature)], r.threshold)) for k, r in rows.items() if r.left >= 0}
+        splits: dict[int, int] = {}
+        for k in sorted(rows, reverse=True):  # children have higher numbers
+            splits[k] = 1 + splits[int(rows[k].left)] + splits[int(rows[k].right)] if k in cuts else 0
+        trees.append((rows, cuts, splits, weights[int(tree)]))
+    for bits in range(SUBTREE_BITS, -1, -1):
+        parts = [(t, list(_subtrees(t[0], t[1], t[2], ends, bits))) for t in trees]
+        if not bits or sum(1 << len(known) + t[2][at] for t, tops in parts for at, known in tops) * len(ends) <= SUBTREE_CELLS:
+            break
+    return [_subtree_table(t[0], t[1], ends, at, known, t[3]) for t, tops in parts for at, known in tops]
 
 
 class Contributions:
@@ -158,30 +230,39 @@ class Contributions:
 
     def __init__(self, paths: Paths):
         self.paths, self.width = paths, len(paths.thresholds)
-        self.leaves = None if paths.tables else _leaf_tables(paths)
+        self.kind = np.min_scalar_type(max((len(t) for t in paths.thresholds), default=0))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        bins = np.stack([np.searchsorted(t, x[:, f], "left") for f, t in enumerate(self.paths.thresholds)], axis=1)
+        bins = [np.searchsorted(t, x[:, f], "left").astype(self.kind) for f, t in enumerate(self.paths.thresholds)]
         out = np.zeros(x.shape)
         for inside, table in self.paths.tables.items():
-            out += table[tuple(bins[:, f] for f in inside)]
-        for names, spans, table in self.leaves or ():
-            held = np.zeros(len(x), np.int64)
-            for k, (f, (lo, hi)) in enumerate(zip(names, spans)):
-                held |= ((bins[:, f] >= lo) & (bins[:, f] <= hi)).astype(np.int64) << k
-            out[:, names] += table[held]
+            out += table[tuple(bins[f] for f in inside)]
+        if self.paths.subtrees:
+            out += self._by_subtrees(bins, len(x)).T
+        return out
+
+    def _by_subtrees(self, bins: list[np.ndarray], n: int) -> np.ndarray:
+        out, known = np.zeros((self.width, n)), {}
+        for part in self.paths.subtrees:
+            case = np.zeros(n, np.int64)
+            for k, (f, lo, hi) in enumerate(part.conditions):
+                if (f, lo, hi) not in known:
+                    known[f, lo, hi] = bins[f] <= hi if not lo else (bins[f] >= lo) & (bins[f] <= hi)
+                case += np.multiply(known[f, lo, hi], 1 << k, dtype=np.int64)
+            for f, row in zip(part.names, part.table):
+                out[f] += row.take(case)
         return out
 
 
-def tree_attribution(model, rows: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Long (ids, feature, phi) for every row: the exact path-dependent Shapley values of a fitted forest or of
-    boosted trees. They add up to the prediction less the mean prediction of the training rows.
+def tree_attribution(model, rows: DataFrame, ids: Sequence[str], columns: Sequence[str], wide: bool = False) -> DataFrame:
+    """Long (ids, feature, phi) for every row, or ``wide`` with one column per feature: the exact path-dependent Shapley
+    values of a fitted forest or of boosted trees. They add up to the prediction less the mean prediction of the training rows.
 
     One pass over ``rows`` in Arrow batches, no shuffle. A null value counts as 0.
     """
     columns = list(columns)
     paths = paths_of(*node_table(model), len(columns))
-    shared = rows.sparkSession.sparkContext.broadcast(replace(paths, leaves=[]) if paths.tables else paths)
+    shared = rows.sparkSession.sparkContext.broadcast(replace(paths, leaves=[]))
     fields = {f.name: f for f in rows.schema.fields}
     schema = T.StructType([fields[i] for i in ids] + [T.StructField(f"phi_{k}", T.DoubleType()) for k in range(len(columns))])
     names = list(ids)
@@ -195,6 +276,8 @@ def tree_attribution(model, rows: DataFrame, ids: Sequence[str], columns: Sequen
                 yield pd.concat([part[names].reset_index(drop=True), pd.DataFrame(phi, columns=[f"phi_{k}" for k in range(len(columns))])], axis=1)
 
     ready = rows.select(*names, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{k}") for k, c in enumerate(columns)])
-    wide = ready.mapInPandas(explain, schema)
+    explained = ready.mapInPandas(explain, schema)
+    if wide:
+        return explained.select(*names, *[F.col(f"phi_{k}").alias(c) for k, c in enumerate(columns)])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"phi_{k}").alias("phi")) for k, c in enumerate(columns)])
-    return wide.select(*names, F.explode(pairs).alias("_p")).select(*names, "_p.feature", "_p.phi")
+    return explained.select(*names, F.explode(pairs).alias("_p")).select(*names, "_p.feature", "_p.phi")

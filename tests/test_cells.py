@@ -77,3 +77,12 @@ def test_importance_on_cells_is_that_of_the_rows(table, monkeypatch):
     whole = found()
     monkeypatch.setattr(C, "WHOLE_ROWS", 500)
     assert found() == pytest.approx(whole, abs=0.05)
+
+
+def test_many_columns_are_binned_in_one_pass(table):
+    """Expressions nested over every bin of every column are compiled to code too long to be run fast."""
+    values = {c: [float(k) for k in range(32)] for c in NAMES}
+    got = C.binned(table.withColumn("few", F.when(F.col("id") == 1, float("nan")).when(F.col("id") > 1, F.col("few"))), values)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") == 1  # the test's own
+    rows = {r["id"]: r for r in got.filter("id < 3").collect()}
+    assert rows[0]["few"] is None and np.isnan(rows[1]["few"]) and rows[2]["few"] in (0.0, 1.0, 2.0)

@@ -312,3 +312,29 @@ def test_kernel_density_in_blocks_equals_the_features(monkeypatch):
     want = np.matmul(A._waves(x, waves), centre[:, :, None])[:, :, 0].T
     assert A.kernel_density(x, waves, centre) == pytest.approx(want, abs=1e-12)
     assert A.kernel_density(x[:0], waves, centre).shape == (0, 2)
+
+
+def test_wide_contributions_tell_what_the_long_ones_do(spark, monkeypatch):
+    """Whole subtrees are looked up at once, whatever fits into a table, and rows need not be made long."""
+    names, rnd = [f"f{i}" for i in range(7)], np.random.default_rng(9)
+    x = rnd.normal(size=(400, 7))
+    rows = [(i, *map(float, r), float(3 * r[0] * r[3] - r[1] + r[6])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names) + ", lstm_score double").cache()
+    model, _ = X.surrogate_fit(df, names, ["id"], trees=5, depth=6)
+    monkeypatch.setattr(trees, "GRID_CELLS", 0)
+    nodes, weights = trees.node_table(model)
+    found = []
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(trees, "SUBTREE_CELLS", cells)
+        paths = trees.paths_of(nodes, weights, 7)
+        found.append((len(paths.subtrees), trees.Contributions(paths)(x)))
+    assert found[0][0] * 3 < found[1][0] == len(paths.leaves)
+    assert found[0][1] == pytest.approx(found[1][1], abs=1e-12)
+    long = X.tree_attribution(model, df, ["id"], names)
+    wide = X.tree_attribution(model, df, ["id"], names, wide=True)
+    assert wide.columns == ["id", *names] and wide.count() == 400
+    for got, want in ((X.mean_abs_importance(wide, names), X.mean_abs_importance(long)),
+                      (X.topk_last(wide, [], ["id"], 4, names), X.topk_last(long, [], ["id"], 4))):
+        got, want = ({r["feature"]: r for r in f.collect()} for f in (got, want))
+        assert got.keys() == want.keys()
+        assert all(got[k][c] == pytest.approx(want[k][c]) for k in got for c in want[k].asDict())
